@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import buffer_of, documents, pieces, small_batches, span_hashes, texts_of
 
@@ -222,7 +223,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFr
             array = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns, array, pa.array(plain, pa.string())], names=[*names, "ids", "decoded"])
 
-    schema = df.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
     return df.mapInArrow(run, schema)
 
 
