@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .sentence_pieces import op10_sentence_pieces
+from .token_store import op9_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_token_store": op9_token_store,
         "op10_sentence_pieces": op10_sentence_pieces,
     }
 
