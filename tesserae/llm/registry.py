@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP1_SQL, op1_decontamination
+from .ngram_join import op8_ngram_join
 from .sentence_pieces import op10_sentence_pieces
 from .token_store import op9_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op8_ngram_join": op8_ngram_join,
         "op9_token_store": op9_token_store,
         "op10_sentence_pieces": op10_sentence_pieces,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": OP1_SQL,
+    }
