@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP1_SQL, op1_decontamination
+from .language import op6_language
 from .ngram_join import op8_ngram_join
 from .sentence_pieces import op10_sentence_pieces
 from .token_store import op9_token_store
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op6_language": op6_language,
+        "op7_toxicity": op7_toxicity,
         "op8_ngram_join": op8_ngram_join,
         "op9_token_store": op9_token_store,
         "op10_sentence_pieces": op10_sentence_pieces,
