@@ -3,7 +3,7 @@
 Every text is encoded, an end id is appended, and a rolling hash over the last ids cuts the stream into chunks, so that equal
 passages give equal chunks wherever they stand. Three Parquet folders make up the store:
 
-    chunks    digest binary, n int, ids binary          each distinct chunk once; ids as little-endian unsigned 32-bit integers
+    chunks    digest binary, n int, width int, ids binary     each distinct chunk once; ids as little-endian unsigned integers of width bytes
     recipes   doc_id, row_id, start, n_tokens, root, chunks array<struct<digest, n>>, part    in ascending doc_id order
     manifest  part, n_docs, n_tokens, root              one Merkle node per part of recipes, and one over them all (part -1)
 
@@ -25,11 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, buffer_of, documents, pieces, removed, scratch, small_batches, span_hashes, stored, texts_of
+from .common import NOT_SPACE, buffer_of, documents, pieces, removed, scratch, shuffles_freed, small_batches, span_hashes, stored, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
-SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 50256
-CUT_BITS, WINDOW, LONGEST = 9, 8, 1 << 14
+SPECIAL = "<|endoftext|>"
+CUT_BITS, WINDOW, LONGEST = 10, 8, 1 << 14
+REMEMBERED = 300_000
 
 
 @lru_cache(4)
@@ -47,11 +48,11 @@ def loaded(path: str | None):
 def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts and the offset of each text's first id (with a last entry).
 
-    A single space between two other characters always begins a token's word, so texts are cut there and equal segments
-    are encoded once, in one call, with the separator's token between them. Texts that hold the separator are encoded whole.
+    A single space between two other characters always begins a token's word, so texts are cut there and equal segments are
+    encoded once, in one call, with the separator's token between them. Texts that hold the separator are encoded whole.
     """
     tokenizer = loaded(path)
-    mark = SEPARATOR.encode()
+    mark = SPECIAL.encode()
     whole = {i: tokenizer.encode(t.decode(), add_special_tokens=False).ids for i, t in enumerate(texts) if mark in t}
     texts = [b"" if i in whole else t for i, t in enumerate(texts)]
     buf, begins = buffer_of(texts)
@@ -72,10 +73,10 @@ def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np
         _, first, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         raw = buf.tobytes()
         segments = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        ids = np.array(tokenizer.encode((mark.join(segments) + mark).decode(), add_special_tokens=False).ids, np.uint32)
-        stops = np.flatnonzero(ids == SEPARATOR_ID)
-        offs = np.concatenate([[0], stops + 1])
-        n = (stops - offs[:-1])[inverse]
+        parts = segment_ids(segments, tokenizer)
+        ids = np.frombuffer(b"".join(parts), np.uint32)
+        offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])])
+        n = np.diff(offs)[inverse]
         total = np.concatenate([[0], np.cumsum(n)])
         spread = np.repeat(offs[:-1][inverse] - total[:-1], n) + np.arange(total[-1])
         ids, offs = ids[spread], total[np.searchsorted(starts, begins)]
@@ -87,6 +88,44 @@ def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np
     return ids, offs
 
 
+_seen: dict[bytes, bytes] = {}
+
+
+def segment_ids(segments: list[bytes], tokenizer) -> list[bytes]:
+    """Ids (unsigned, 32 bits) of each segment. Frequent ones stay in a bounded table of the worker.
+
+    Segments that begin with a space stay words of their own side by side, so all new ones go through the tokenizer in one
+    call; the lengths of the ids' byte strings tell where each ends.
+    """
+    if len(_seen) > REMEMBERED:
+        _seen.clear()
+    new = [s for s in segments if s not in _seen]
+    spaced, other = [s for s in new if s[:1] == b" "], [s for s in new if s[:1] != b" "]
+    known = _seen if len(_seen) + len(new) <= 2 * REMEMBERED else dict(_seen)
+    if spaced:
+        ids = np.array(tokenizer.encode_batch_fast([b"".join(spaced).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        reach = np.cumsum(id_lengths(tokenizer)[ids])
+        cuts = np.searchsorted(reach, np.cumsum([len(s) for s in spaced])) + 1
+        raw = ids.tobytes()
+        known.update(zip(spaced, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
+    if other:
+        known.update(zip(other, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([s.decode() for s in other], add_special_tokens=False)), strict=True))
+    return [known[s] for s in segments]
+
+
+_lengths: dict[int, np.ndarray] = {}
+
+
+def id_lengths(tokenizer) -> np.ndarray:
+    """Bytes that each id stands for: the characters of its byte-level token."""
+    if id(tokenizer) not in _lengths:
+        table = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, k in tokenizer.get_vocab().items():
+            table[k] = len(token)
+        _lengths[id(tokenizer)] = table
+    return _lengths[id(tokenizer)]
+
+
 def with_end(ids: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(ids, offs[1:], np.uint32(end)), offs + np.arange(len(offs))
 
@@ -108,7 +147,9 @@ def chunk_ends(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def chunked(df: DataFrame, text: str = "text", end: int = 2, path: str | None = None) -> DataFrame:
-    """One row per chunk occurrence: doc_id, row_id, seq, n, digest, ids."""
+    """One row per chunk occurrence: doc_id, row_id, seq, n, digest, ids. Ids take 2 bytes if the vocabulary and the end id allow it, else 4."""
+    kind = "<u2" if max(loaded(path).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+    width = int(kind[2])
     small_batches(df.sparkSession, 1024)
     rows = df.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.col(text).alias("text"))
     kinds = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("seq", pa.int32()), ("n", pa.int32()), ("digest", pa.binary()), ("ids", pa.binary())])
@@ -116,14 +157,14 @@ def chunked(df: DataFrame, text: str = "text", end: int = 2, path: str | None =
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in pieces(texts, 1 << 22):
+            for a, b in pieces(texts, 1 << 21):
                 ids, offs = with_end(*encoded(texts[a:b], path), end)
                 ends = chunk_ends(ids, offs)
                 starts = np.concatenate([[0], ends[:-1]])
                 of = np.searchsorted(offs, starts, side="right") - 1
                 seq = np.arange(len(starts)) - np.searchsorted(starts, offs[:-1])[of]
-                raw = ids.astype("<u4").tobytes()
-                payload = [raw[4 * x : 4 * y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                raw = ids.astype(kind).tobytes()
+                payload = [raw[width * x : width * y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
                 digest = [hashlib.blake2b(p, digest_size=16).digest() for p in payload]
                 keys = [batch.column(k).slice(a, b - a).take(pa.array(of)) for k in ("doc_id", "row_id")]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(seq, pa.int32()), pa.array(ends - starts, pa.int32()), pa.array(digest, pa.binary()), pa.array(payload, pa.binary())], schema=kinds)
@@ -136,7 +177,8 @@ def write_store(df: DataFrame, base: str, text: str = "text", end: int = 2, path
     spark = df.sparkSession
     cut = stored(chunked(df.select(F.col("doc_id").cast("long").alias("doc_id"), text), text, end, path), "chunked")
     distinct = cut.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids"))
-    distinct.write.option("compression", "zstd").parquet(f"{base}/chunks")
+    distinct.withColumn("width", (F.octet_length("ids") / F.col("n")).cast("int")).write.option("compression", "zstd").parquet(f"{base}/chunks")
+    del distinct
     listed = cut.groupBy("doc_id", "row_id").agg(F.sum(F.col("n").cast("long")).alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest", "n"))).alias("chunks"))
     listed = listed.select("doc_id", "row_id", "n_tokens", F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"))).alias("chunks"))
     # Ascending order: ranges of doc_id, each a part of its own; a part's first position is the sum over the parts before it.
@@ -156,6 +198,8 @@ def write_store(df: DataFrame, base: str, text: str = "text", end: int = 2, path
     )
     recipes.write.option("compression", "zstd").parquet(f"{base}/recipes")
     removed(ranged)
+    del cut, listed, ranged, recipes
+    shuffles_freed(spark)
     kept = spark.read.parquet(f"{base}/recipes")
     root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"]), "").cast("binary"), 256)
     parts = kept.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), root.alias("root"))
@@ -168,9 +212,9 @@ def write_store(df: DataFrame, base: str, text: str = "text", end: int = 2, path
 def read_store(spark: SparkSession, base: str) -> DataFrame:
     """doc_id, row_id, start, n_tokens and ids (binary) of every document, rebuilt from recipes and chunks and verified."""
     recipes = spark.read.parquet(f"{base}/recipes")
-    chunks = spark.read.parquet(f"{base}/chunks").select("digest", F.col("ids").alias("part_ids"))
+    chunks = spark.read.parquet(f"{base}/chunks").select("digest", "width", F.col("ids").alias("part_ids"))
     needed = recipes.select("doc_id", "row_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("seq", "c")).select("doc_id", "row_id", "start", "n_tokens", "root", "seq", F.col("c.digest").alias("digest"))
-    found = needed.join(chunks, "digest", "left").groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("seq", "part_ids"))).alias("parts"))
+    found = needed.join(chunks, "digest", "left").groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("seq", "part_ids"))).alias("parts"))
     kinds = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
@@ -184,6 +228,7 @@ def read_store(spark: SparkSession, base: str) -> DataFrame:
                 if any(p is None for p in own) or hashlib.sha256("".join(hashlib.blake2b(p, digest_size=16).hexdigest().upper() for p in own).encode()).hexdigest() != root:
                     raise ValueError("a document doesn't match its root in the manifest")
                 out.append(b"".join(own))
+            out = [np.frombuffer(p, f"<u{width}").astype("<u4").tobytes() for p, width in zip(out, batch.column("width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "row_id", "start", "n_tokens")), pa.array(out, pa.binary())], schema=kinds)
 
     return found.mapInArrow(run, "doc_id long, row_id long, start long, n_tokens long, ids binary")
