@@ -49,7 +49,7 @@ def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np
     """Ids of the texts and the offset of each text's first id (with a last entry).
 
     A single space between two other characters always begins a token's word, so texts are cut there and equal segments are
-    encoded once, in one call, with the separator's token between them. Texts that hold the separator are encoded whole.
+    encoded once. Texts that hold the vocabulary's special token are encoded whole.
     """
     tokenizer = loaded(path)
     mark = SPECIAL.encode()
