@@ -9,8 +9,9 @@ link when 100 * intersection >= 75 * union, so a text of n shingles links only w
 2. Texts that remain, one for each distinct set, get inverted lists (shingle -> texts). DivideSkip: a text's shingles are
    ordered by the length of their lists; only the shortest n - T + 1, of which a partner must share one, are merged (by Spark's
    shuffle); the long rest is never merged but probed by binary search in the candidate's sorted set.
-3. First the shortest text of each merged list is held against the others. Only pairs of a list that these links have not
-   joined yet are taken next, pruned by the number of merged lists they share. So large groups of near copies cost no pairs within.
+3. In LEADERS rounds one text of each merged list is held against the others, and links join components. Then all pairs of a list that
+   are not joined yet are taken, pruned by their places in the lists' order and the number of lists they share. So large groups of
+   near copies cost few pairs within.
 
 Shingles and sets are told apart by 64-bit hashes. Null and empty texts have an empty set and link with nothing. A row with a null
 doc_id takes part in no link and has a null component_id. Rows that share a doc_id are texts of their own with the same name;
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, documents, grams, hashed_words, mixed, pieces, removed, small_batches, stored, texts_of
 
-WORDS, PERCENT = 5, 75
-BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_SHINGLES = 60_000, 2_000_000, 500_000
+WORDS, PERCENT, LEADERS = 5, 75, 3
+BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_SHINGLES = 60_000, 1_000_000, 500_000
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -188,7 +189,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (between distinct sets, found on the way) for every row of df (doc_id, text)."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row of df (doc_id, text)."""
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(sized(df, words, percent), "sized")
     classes = rows.where("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("node")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("alone").alias("alone"))
@@ -210,41 +211,59 @@ def linked_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT)
     order = Window.partitionBy("node").orderBy("length", "shingle")
     lists = lists.select("shingle", "node", "n", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("node")).alias("shared"))
     # Shingles that no other text holds are the rarest, so they come first among the n - T + 1.
-    short = lists.where(F.col("at") <= F.col("n") - least_overlap(F.col("n"), percent) + 1 - (F.col("n") - F.col("shared")))
-    short = stored(short.select("shingle", "node", "n"), "short-lists")
-
-    head = short.groupBy("shingle").agg(F.min(F.struct("n", "node")).alias("head"), F.count("*").alias("length")).where("length > 1")
-    first = short.join(head, "shingle").where((F.col("node") != F.col("head.node")) & (F.col("head.n") >= least_overlap(F.col("n"), percent)))
-    links = stored(verified(first.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "links")
-    labels = components(links)
-
-    named = short.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("label", "node").alias("label"))
-    several = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
-    named = stored(named.join(several, "shingle", "left_semi"), "open-lists")
-    x = named.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = named.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    apart = (F.col("la") != F.col("lb")) & ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))) & (F.col("na") >= least_overlap(F.col("nb"), percent))
-    pairs = x.join(y, "shingle").where(apart).groupBy("a", "b").agg(F.count("*").alias("merged"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # Shared shingles outside the merged lists lie in the long rest of one of the two texts.
-    needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    pairs = pairs.where(F.col("merged") + least_overlap(F.col("nb"), percent) - 1 >= needed)
-    more = verified(pairs.select("a", "b"), sets, percent)
-    links = stored(links.union(more), "links")
-    labels = components(links)
-
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    grouped = classes.join(labels, "node").join(degree, "node", "left")
+    lists = lists.withColumn("at", F.col("at") + F.col("n") - F.col("shared"))
+    short = stored(lists.where(F.col("at") <= F.col("n") - least_overlap(F.col("n"), percent) + 1), "short-lists")
+
+    labels = stored(short.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
+    for k in range(LEADERS + 1):
+        open_lists = several_labels(short, labels)
+        if k < LEADERS:
+            first = F.struct("n", "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
+            heads = open_lists.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "shared", "at", "label"), first).alias("x"))
+            pairs = open_lists.join(heads.select("shingle", "x.*").toDF("shingle", *(f"{c}_x" for c in ("node", "n", "shared", "at", "label"))), "shingle").where(may_link(percent))
+            pairs = pairs.select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
+        else:
+            other = open_lists.toDF("shingle", *(f"{c}_x" for c in open_lists.columns[1:]))
+            once = (F.col("n_x") < F.col("n")) | (F.col("n_x") == F.col("n")) & (F.col("node_x") < F.col("node"))
+            pairs = open_lists.join(other, "shingle").where(may_link(percent) & once)
+            pairs = pairs.groupBy(F.col("node_x").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("merged"), F.first("n_x").alias("na"), F.first("n").alias("nb"))
+            # Shared shingles outside the merged lists lie in the long rest of one of the two texts.
+            pairs = pairs.where((F.col("merged") + least_overlap(F.greatest("na", "nb"), percent) - 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+        links = verified(pairs.select("a", "b"), sets, percent)
+        ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        links = stored(links.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+        if links.isEmpty():
+            continue
+        joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = stored(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+    grouped = classes.join(labels, "node")
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    grouped = grouped.join(least, "label").select(F.col("node").alias("sig"), "component_id", "n_links")
-    named = classes.select(F.col("node").alias("sig"), "least").join(grouped, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    grouped = grouped.join(least, "label").select(F.col("node").alias("sig"), "component_id")
+    named = classes.select(F.col("node").alias("sig"), "least").join(grouped, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"))
     alone = F.when(F.col("sig").isNull(), F.col("doc_id"))
     return rows.join(named, "sig", "left").select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)).alias("component_id")
     )
 
 
+def several_labels(short: DataFrame, labels: DataFrame) -> DataFrame:
+    """shingle, node, n, at, shared, label: the short lists whose texts are not all joined yet."""
+    named = short.join(labels, "node").select("shingle", "node", "n", "at", "shared", "label")
+    open_ = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    return stored(named.join(open_, "shingle", "left_semi"), "open-lists")
+
+
+def may_link(percent: int) -> Column:
+    """Whether two texts of a list, one with columns named _x, can still share enough shingles and are not joined yet.
+
+    They share no more than either shares with anyone, and, up from the places of a common shingle in the two orders, no more than the
+    smaller number before and the smaller number after.
+    """
+    n, m, i, j = F.col("n"), F.col("n_x"), F.col("at"), F.col("at_x")
+    most = F.least("shared", "shared_x", F.least(i, j) + F.least(n - i, m - j))
+    return (F.col("label") != F.col("label_x")) & (most * (100 + percent) >= (n + m) * percent)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(documents(spark, sf_dir))
