@@ -23,10 +23,10 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from .common import crc_of, documents, pieces, small_batches, texts_of
 from .subwords import letter_buffer, windows
 
-SAMPLE, PASSAGE = 12_000, 600
+SAMPLE, PASSAGE = 8_000, 400
 SIZES, BITS, DIMENSIONS = (2, 3, 4), 16, 16
-EPOCHS, BATCH, RATE = 6, 64, 0.5
-KEPT = 0.999
+EPOCHS, BATCH, LEAST_STEPS, RATE = 4, 64, 500, 0.5
+KEPT = 0.9999
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,19 +49,17 @@ class Model:
         order = rng.permutation(len(texts))
         apart = order[: max(len(texts) // 6, 1)]
         train = order[len(apart) :] if len(texts) > 1 else order
-        doc, bucket = features(texts)
-        edges = np.searchsorted(doc, np.arange(len(texts) + 1))
         e = rng.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32)
         w = np.zeros((DIMENSIONS, len(self.names)), np.float32)
         bias = np.zeros(len(self.names), np.float32)
 
         def gathered(rows):
-            n = edges[rows + 1] - edges[rows]
-            where = np.repeat(edges[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            return bucket[where], np.repeat(np.arange(len(rows)), n), np.maximum(n, 1).astype(np.float32)
+            of, bucket = features([texts[k] for k in rows])
+            return bucket, of, np.maximum(np.bincount(of, minlength=len(rows)), 1).astype(np.float32)
 
-        steps, done = EPOCHS * -(-len(train) // BATCH), 0
-        for _ in range(EPOCHS):
+        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(train)))
+        steps, done = epochs * -(-len(train) // BATCH), 0
+        for _ in range(epochs):
             rng.shuffle(train)
             for k in range(0, len(train), BATCH):
                 rows = train[k : k + BATCH]
@@ -80,9 +78,9 @@ class Model:
         self.table = (e @ w).astype(np.float32)
         self.bias = bias
         self.heat, self.least = 1.0, 0.0
-        z = self.scores([texts[k] for k in apart])
+        z = np.concatenate([self.scores([texts[k] for k in apart[a : a + 256]]) for a in range(0, len(apart), 256)])
         loss = lambda t: -np.log(softmax(z / t)[np.arange(len(apart)), y[apart]] + 1e-12).mean()
-        self.heat = min(np.geomspace(0.05, 8, 60).tolist(), key=loss)
+        self.heat = min(np.geomspace(0.25, 8, 60).tolist(), key=loss)
         p = softmax(z / self.heat)
         right = p.max(1)[p.argmax(1) == y[apart]]
         self.least = float(min(0.5, np.quantile(right, 1 - KEPT))) if len(right) else 0.0
