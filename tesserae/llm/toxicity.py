@@ -2,7 +2,7 @@
 
 Features are the hashed windows of 4 to 6 bytes inside words that a text holds (once each). A first Spark job counts over all labelled
 rows in how many toxic and other texts each bucket occurs. The log of the ratio of the two smoothed rates scales the feature; buckets
-whose rates don't differ significantly get the scale 0. A logistic regression on the scaled features is fitted by gradient descent
+whose rates don't differ significantly (LEAST_Z standard errors) and by a factor of LEAST_RATIO get the scale 0. A logistic regression on the scaled features is fitted by gradient descent
 on a bounded sample (SAMPLE rows of each label, weighted back to the labels' true share). Scoring reads whole texts.
 
 Null and empty texts hold no feature and get the score of the bias alone. Rows without a label teach nothing; a doc_id labelled more
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_of, documents, pieces, small_batches, texts_of
+from .common import crc_of, documents, pieces, removed, shuffles_freed, small_batches, stored, texts_of
 from .subwords import letter_buffer, windows
 
 SIZES, BITS, SAMPLE = (4, 5, 6), 20, 4_000
-LEAST_Z, LEAST_DOCS, LIMIT = 5.0, 3, 0.3
+LEAST_Z, LEAST_RATIO, LIMIT = 5.0, 2.0, 0.3
 
 
 def held(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,7 @@ class Model:
         self.keep = scale != 0
         self.scale, self.weight, self.bias = scale.astype(np.float64), np.ones(len(scale)), 0.0
 
-    def fit(self, doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, importance: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> None:
+    def fit(self, doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, importance: np.ndarray, rounds: int = 400, penalty: float = 1e-3) -> None:
         used, col = np.unique(bucket, return_inverse=True)
         x = self.scale[used][col]
         w, b = np.zeros(len(used)), float(np.log((importance * y).sum() / (importance * (1 - y)).sum()))
@@ -70,7 +70,7 @@ def learned(df: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAM
     """A model from the rows of df (doc_id, text) that may teach and have a label (doc_id, toxic)."""
     small_batches(df.sparkSession)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = df.where(teaches).select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    rows = stored(df.where(teaches).select("doc_id", "text").join(marks, "doc_id").select("text", "toxic"), "labelled")
 
     def count(batches):
         for batch in batches:
@@ -89,7 +89,7 @@ def learned(df: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAM
     p1, p0 = (F.col("a") + 1) / (n1 + 2), (F.col("b") + 1) / (n0 + 2)
     p = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    chosen = counts.where((z >= LEAST_Z) & (F.col("a") + F.col("b") >= LEAST_DOCS)).select("bucket", F.log(p1 / p0).alias("ratio")).toPandas()
+    chosen = counts.where((z >= LEAST_Z) & (F.abs(F.log(p1 / p0)) >= float(np.log(LEAST_RATIO)))).select("bucket", F.log(p1 / p0).alias("ratio")).toPandas()
     scale = np.zeros(1 << BITS)
     scale[chosen["bucket"].to_numpy(np.int64)] = chosen["ratio"].to_numpy()
     model = Model(scale)
@@ -105,6 +105,8 @@ def learned(df: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAM
 
     chance = F.when(F.col("toxic") == 1, min(1.0, sample / n1)).otherwise(min(1.0, sample / n0))
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < chance * (1 << 30)).withColumn("toxic", (F.col("toxic") == 1).cast("int")).mapInArrow(listed, "toxic int, buckets array<long>").toPandas()
+    removed(rows)
+    shuffles_freed(df.sparkSession)
     y = drawn["toxic"].to_numpy(np.float64)
     if len(drawn) and 0 < y.sum() < len(y):
         n = drawn["buckets"].map(len).to_numpy()
