@@ -10,8 +10,10 @@ from .decontamination import OP1_SQL, op1_decontamination
 from .language import op6_language
 from .line_templates import OP3_SQL, op3_line_templates
 from .maxent import op2_maxent
+from .neighbours import op4_neighbours
 from .ngram_join import op8_ngram_join
 from .sentence_pieces import op10_sentence_pieces
+from .sharding import op5_sharding
 from .token_store import op9_token_store
 from .toxicity import op7_toxicity
 
@@ -21,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_maxent": op2_maxent,
         "op3_line_templates": op3_line_templates,
+        "op4_neighbours": op4_neighbours,
+        "op5_sharding": op5_sharding,
         "op6_language": op6_language,
         "op7_toxicity": op7_toxicity,
         "op8_ngram_join": op8_ngram_join,
