@@ -32,7 +32,7 @@ END = np.uint64(0x6A09E667F3BCC909)
 VOCABULARY, FREQUENT, CLASSES, NEIGHBOURS = 1 << 15, 1 << 17, 48, 48
 CONTEXTS, OWN, WORD_CONTEXTS = 4096, 3072, 64
 SKIPS, ROUNDS, BATCH = 4, 3, 8192
-BLOCK = 4096
+BLOCK, TASK_BYTES = 4096, 16 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -242,6 +242,9 @@ def moved(table: np.ndarray, at: np.ndarray, gradient: np.ndarray, rate: float)
 def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
     spark = df.sparkSession
     model = Model(vocabulary, classes(neighbours(df, vocabulary), vocabulary.c[: vocabulary.own]))
+    # Each task returns as many numbers as the model has weights, so a task takes TASK_BYTES of text or more.
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
     slices = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast((model, vocabulary))
@@ -274,7 +277,7 @@ def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
                 total += np.frombuffer(change, np.float32)
             return pd.DataFrame({"block": pdf.block[:1], "change": [(total / pdf.seen.sum()).astype(np.float32).tobytes()]})
 
-        updates = df.where(slices == k).select("text").mapInArrow(run, "block long, seen long, change binary")
+        updates = df.where(slices == k).select("text").coalesce(tasks).mapInArrow(run, "block long, seen long, change binary")
         update = updates.groupBy("block").applyInPandas(averaged, "block long, change binary").toPandas().sort_values("block")
         if len(update):
             flat = np.frombuffer(b"".join(update["change"]), np.float32)
