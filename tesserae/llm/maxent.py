@@ -2,7 +2,8 @@
 
 Tokens are words (runs of other bytes than white space, A-Z lower-cased) and one end for each text. One job counts all training
 tokens. Words with a share of at least 1/VOCABULARY of them, so at most VOCABULARY words, are the model's own; a second job counts what
-stands before those, and words with like neighbours share a class. All other words form the class `rest`, inside which a word's
+stands before those, and words with like neighbours share a class. In classes of up to SMALL_CLASS words the context also says
+which word; in larger ones the words keep their shares. All other words form the class `rest`, inside which a word's
 probability is its add-one share of the rest's counts, one unseen word included; so the model is a distribution over all words.
 
     log P(word | context) = log P(class | context) + log P(word | class, context)
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, crc_of, documents, hashed_words, mixed, pieces, removed, small_batches, stored, texts_of
 
 END = np.uint64(0x6A09E667F3BCC909)
-VOCABULARY, FREQUENT, CLASSES, NEIGHBOURS = 1 << 15, 1 << 17, 48, 48
+VOCABULARY, CLASSES, SMALL_CLASS, NEIGHBOURS = 1 << 17, 40, 64, 32
 CONTEXTS, OWN, WORD_CONTEXTS = 4096, 3072, 64
-SKIPS, ROUNDS, BATCH = 4, 3, 8192
+SKIPS, ROUNDS, BATCH = 3, 3, 8192
 BLOCK, TASK_BYTES = 4096, 16 << 20
 
 
@@ -73,20 +74,19 @@ def counted(df: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Frequent words by hash, with their counts; the model's own words come first, most frequent first."""
+    """The model's own words by hash, most frequent first, with their counts."""
 
     def __init__(self, frequent: pd.DataFrame, n: int, v: int) -> None:
         frequent = frequent.sort_values(["c", "word"], ascending=[False, True])
         words, self.c = frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64)
-        self.n, self.v = n, v
-        self.own = int((self.c * VOCABULARY >= max(n, 1)).sum())
+        self.n, self.v, self.own = n, v, len(words)
         self.place = np.argsort(words)
         self.sorted = words[self.place]
         # A word outside the model's own has (c + 1) / rest of its class; all such words and one unseen make up the whole.
-        self.rest = float(n + v - (self.c[: self.own] + 1).sum() + 1)
+        self.rest = float(n + v - (self.c + 1).sum() + 1)
 
     def looked_up(self, h: np.ndarray) -> np.ndarray:
-        """Rank of each token, or the number of frequent words for others."""
+        """Rank of each token, or the number of own words for others."""
         if not len(self.sorted):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
@@ -158,22 +158,28 @@ def classes(near: np.ndarray, c: np.ndarray, rounds: int = 15) -> np.ndarray:
 
 
 class Model:
-    """Weights: outer[feature, context, class] and inner[feature, context, word], words ordered by class."""
+    """Weights: outer[feature, context, class], and inner[feature, context, word] for the words of small classes; these come first."""
 
     def __init__(self, vocabulary: Vocabulary, of: np.ndarray) -> None:
-        c = vocabulary.c[: vocabulary.own].astype(float)
-        order = np.argsort(of, kind="stable")
+        c = vocabulary.c.astype(float)
+        size = np.bincount(of)
+        by_size = np.argsort(np.where(size == 0, len(of) + 1, size), kind="stable")
+        name = np.empty(len(size), np.int64)
+        name[by_size] = np.arange(len(size))
+        self.of, self.size = name[of], size[by_size]
+        order = np.argsort(self.of, kind="stable")
         self.slot = np.empty(len(of), np.int64)
         self.slot[order] = np.arange(len(of))
-        self.of = of
-        self.k = int(of.max()) + 2 if len(of) else 1  # the last class is the rest
-        self.first = np.searchsorted(of[order], np.arange(self.k))
-        self.size = np.diff(np.append(self.first, len(of)))
-        mass = np.append(np.bincount(of, c, self.k - 1) if len(of) else [], max(vocabulary.n - c.sum(), 1.0))
+        self.k = len(size) + 1  # the last class is the rest
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.small = int(((self.size <= SMALL_CLASS) & (self.size > 0)).sum())
+        mass = np.bincount(self.of, c, len(size))
+        self.inside = np.log10(np.maximum(c, 0.5) / mass[self.of])  # of a word in its class, without context
+        mass = np.append(mass, max(vocabulary.n - c.sum(), 1.0))
         self.outer_bias = np.log(np.maximum(mass, 0.5) / mass.sum()).astype(np.float32)
         self.inner_bias = np.log(np.maximum(c[order], 0.5)).astype(np.float32)
         self.outer = np.zeros((SKIPS + 1, CONTEXTS, self.k), np.float32)
-        self.inner = np.zeros((2, WORD_CONTEXTS, len(of)), np.float32)
+        self.inner = np.zeros((2, WORD_CONTEXTS, int(self.first[self.small])), np.float32)
 
     def classes_of(self, rank: np.ndarray) -> np.ndarray:
         return np.append(self.of, self.k - 1)[np.minimum(rank, len(self.of))]
@@ -197,8 +203,8 @@ class Model:
 
     def by_class(self, kind: np.ndarray):
         order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.k))
-        for c in range(self.k - 1):
+        edges = np.searchsorted(kind[order], np.arange(self.small + 1))
+        for c in range(self.small):
             if edges[c + 1] > edges[c]:
                 yield c, order[edges[c] : edges[c + 1]]
 
@@ -224,6 +230,8 @@ class Model:
             kind = self.classes_of(rank)
             p = self.outer_probabilities(text.features[cut])
             s = np.log10(p[np.arange(len(p)), kind].astype(float))
+            large = np.flatnonzero((kind >= self.small) & (kind < self.k - 1))
+            s[large] += self.inside[rank[large]]
             for c, rows in self.by_class(kind):
                 q = self.inner_probabilities(c, inner[rows])
                 s[rows] += np.log10(q[np.arange(len(rows)), self.slot[rank[rows]] - self.first[c]].astype(float))
@@ -241,7 +249,7 @@ def moved(table: np.ndarray, at: np.ndarray, gradient: np.ndarray, rate: float)
 
 def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
     spark = df.sparkSession
-    model = Model(vocabulary, classes(neighbours(df, vocabulary), vocabulary.c[: vocabulary.own]))
+    model = Model(vocabulary, classes(neighbours(df, vocabulary), vocabulary.c))
     # Each task returns as many numbers as the model has weights, so a task takes TASK_BYTES of text or more.
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
@@ -294,21 +302,19 @@ def scored(df: DataFrame, held_out: Column) -> DataFrame:
     train = df.where(~held_out).select("text")
     counts = stored(counted(train), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    vocabulary = Vocabulary(counts.where(F.col("c") * FREQUENT >= n).toPandas(), n, v)
+    vocabulary = Vocabulary(counts.where(F.col("c") * VOCABULARY >= n).toPandas(), n, v)
     model = trained(train, vocabulary)
     known = spark.sparkContext.broadcast((model, vocabulary))
 
     def run(batches):
         model, vocabulary = known.value
-        c = np.append(vocabulary.c, 0)
-        logs = np.log10(c + 1.0)
+        logs = np.log10(np.append(vocabulary.c, 0) + 1.0)
         for batch in batches:
             texts = texts_of(batch)
             for a, b in pieces(texts):
                 t = Text(texts[a:b], vocabulary)
-                offs, rare = t.offs, t.rank == len(vocabulary.c)
-                inside = np.where(t.rank < vocabulary.own, 0.0, logs[t.rank])
-                sums = [np.add.reduceat(x, offs[:-1]) for x in (~rare, logs[t.rank], model.scores(t) + inside, t.rank >= vocabulary.own)]
+                offs, rare = t.offs, t.rank == vocabulary.own
+                sums = [np.add.reduceat(x, offs[:-1]) for x in (~rare, logs[t.rank], model.scores(t), rare)]
                 edges = np.concatenate([[0], np.cumsum(rare)])[offs]
                 words = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(t.h[rare].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in ("row_id", "doc_id", "held_out")), pa.array(np.diff(offs)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(sums[3].astype(np.int64)), words], names=["row_id", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rest", "rare"])
