@@ -3,7 +3,7 @@
 Every text is encoded, an end id is appended, and a rolling hash over the last ids cuts the stream into chunks, so that equal
 passages give equal chunks wherever they stand. Three Parquet folders make up the store:
 
-    chunks    digest binary, n int, width int, ids binary     each distinct chunk once; ids as little-endian unsigned integers of width bytes
+    chunks    digest binary, n int, width int, ids binary     each distinct chunk once; ids: a zstd frame of little-endian unsigned integers of width bytes
     recipes   doc_id, row_id, start, n_tokens, root, chunks array<struct<digest, n>>, part    in ascending doc_id order
     manifest  part, n_docs, n_tokens, root              one Merkle node per part of recipes, and one over them all (part -1)
 
@@ -17,20 +17,23 @@ order; a null doc_id comes first. Without rows the store is empty.
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, buffer_of, documents, pieces, removed, scratch, shuffles_freed, small_batches, span_hashes, stored, texts_of
+from .common import FOLD, NOT_SPACE, buffer_of, documents, pieces, removed, scratch, shuffles_freed, small_batches, span_hashes, stored, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 SPECIAL = "<|endoftext|>"
 CUT_BITS, WINDOW, LONGEST = 10, 8, 1 << 14
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 
 @lru_cache(4)
@@ -48,8 +51,9 @@ def loaded(path: str | None):
 def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts and the offset of each text's first id (with a last entry).
 
-    A single space between two other characters always begins a token's word, so texts are cut there and equal segments are
-    encoded once. Texts that hold the vocabulary's special token are encoded whole.
+    The tokenizer's words never reach across a space after another character, a line feed after one or a single one before a letter, or a punctuation mark
+    after a letter, so texts are cut there and equal segments are encoded once. Texts that hold the vocabulary's special token are
+    encoded whole.
     """
     tokenizer = loaded(path)
     mark = SPECIAL.encode()
@@ -57,11 +61,16 @@ def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np
     texts = [b"" if i in whole else t for i, t in enumerate(texts)]
     buf, begins = buffer_of(texts)
     # Next to characters from U+0800 on, and from U+0080 to U+00BF, no cut is made: some of them are spaces too.
-    plain, lead = NOT_SPACE[buf] & (buf < 0x80), (buf >= 0xC3) & (buf < 0xE0)
-    before = plain.copy()
+    low = FOLD[buf]
+    letter, plain, lead = (low >= 97) & (low <= 122), NOT_SPACE[buf] & (buf < 0x80), (buf >= 0xC3) & (buf < 0xE0)
+    before, word_end, feed = plain.copy(), letter.copy(), buf == 0x0A
     before[1:] |= lead[:-1]
+    word_end[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+    mark_ = plain & ~letter & ~((buf >= 48) & (buf <= 57))
     cut = np.zeros(len(buf), bool)
     cut[1:-1] = (buf[1:-1] == 0x20) & before[:-2] & (plain | lead)[2:]
+    cut[1:] |= mark_[1:] & word_end[:-1] | feed[1:] & before[:-1]
+    cut[2:] |= letter[2:] & feed[1:-1] & before[:-2]
     cut[begins[:-1]] = True
     cut[begins[1:] - 1] = True
     starts = np.flatnonzero(cut)
@@ -88,29 +97,49 @@ def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np
     return ids, offs
 
 
-_seen: dict[bytes, bytes] = {}
+LETTERS_ONLY = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: The sign that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others in order from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def pack(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_recent: dict[bytes, bytes] = {}
+_before: dict[bytes, bytes] = {}
 
 
 def segment_ids(segments: list[bytes], tokenizer) -> list[bytes]:
-    """Ids (unsigned, 32 bits) of each segment. Frequent ones stay in a bounded table of the worker.
+    """Ids (unsigned, 32 bits) of each segment. Those seen lately stay in two tables of the worker of bounded size.
 
-    Segments that begin with a space stay words of their own side by side, so all new ones go through the tokenizer in one
-    call; the lengths of the ids' byte strings tell where each ends.
+    A segment of letters (with a space before them or not) is one word, whose bytes the vocabulary's merges take as they are. Other
+    segments that begin with a space stay words of their own side by side, so all new ones go through the tokenizer in one call; the
+    lengths of the ids' byte strings tell where each ends.
     """
-    if len(_seen) > REMEMBERED:
-        _seen.clear()
-    new = [s for s in segments if s not in _seen]
+    global _recent, _before
+    if len(_recent) > REMEMBERED:
+        _recent, _before = {}, _recent
+    out = list(map(_recent.get, segments))
+    new = [s for s, ids in zip(segments, out, strict=True) if ids is None]
+    found = {s: ids for s in new if (ids := _before.get(s)) is not None}
+    new = [s for s in new if s not in found]
+    plain = list(filter(LETTERS_ONLY.fullmatch, new))
+    merges = tokenizer.model.tokenize
+    found.update((s, pack(*[t.id for t in merges(s.decode("latin-1").translate(BYTE_SIGNS))])) for s in plain)
+    new = [s for s in new if s not in found]
     spaced, other = [s for s in new if s[:1] == b" "], [s for s in new if s[:1] != b" "]
-    known = _seen if len(_seen) + len(new) <= 2 * REMEMBERED else dict(_seen)
     if spaced:
         ids = np.array(tokenizer.encode_batch_fast([b"".join(spaced).decode()], add_special_tokens=False)[0].ids, np.uint32)
         reach = np.cumsum(id_lengths(tokenizer)[ids])
         cuts = np.searchsorted(reach, np.cumsum([len(s) for s in spaced])) + 1
         raw = ids.tobytes()
-        known.update(zip(spaced, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
+        found.update(zip(spaced, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
     if other:
-        known.update(zip(other, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([s.decode() for s in other], add_special_tokens=False)), strict=True))
-    return [known[s] for s in segments]
+        found.update(zip(other, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([s.decode() for s in other], add_special_tokens=False)), strict=True))
+    _recent.update(found)
+    return [found[s] if ids is None else ids for s, ids in zip(segments, out, strict=True)]
 
 
 _lengths: dict[int, np.ndarray] = {}
@@ -146,15 +175,20 @@ def chunk_ends(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return ends[ends > 0]
 
 
+def id_width(end: int, path: str | None) -> int:
+    return 2 if max(loaded(path).get_vocab_size(), end + 1) <= 1 << 16 else 4
+
+
 def chunked(df: DataFrame, text: str = "text", end: int = 2, path: str | None = None) -> DataFrame:
     """One row per chunk occurrence: doc_id, row_id, seq, n, digest, ids. Ids take 2 bytes if the vocabulary and the end id allow it, else 4."""
-    kind = "<u2" if max(loaded(path).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
-    width = int(kind[2])
+    width = id_width(end, path)
+    kind = f"<u{width}"
     small_batches(df.sparkSession, 1024)
     rows = df.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.col(text).alias("text"))
     kinds = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("seq", pa.int32()), ("n", pa.int32()), ("digest", pa.binary()), ("ids", pa.binary())])
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             texts = texts_of(batch)
             for a, b in pieces(texts, 1 << 21):
@@ -167,7 +201,7 @@ def chunked(df: DataFrame, text: str = "text", end: int = 2, path: str | None =
                 payload = [raw[width * x : width * y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
                 digest = [hashlib.blake2b(p, digest_size=16).digest() for p in payload]
                 keys = [batch.column(k).slice(a, b - a).take(pa.array(of)) for k in ("doc_id", "row_id")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(seq, pa.int32()), pa.array(ends - starts, pa.int32()), pa.array(digest, pa.binary()), pa.array(payload, pa.binary())], schema=kinds)
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(seq, pa.int32()), pa.array(ends - starts, pa.int32()), pa.array(digest, pa.binary()), pa.array(list(map(squeeze, payload)), pa.binary())], schema=kinds)
 
     return rows.mapInArrow(run, "doc_id long, row_id long, seq int, n int, digest binary, ids binary")
 
@@ -177,7 +211,7 @@ def write_store(df: DataFrame, base: str, text: str = "text", end: int = 2, path
     spark = df.sparkSession
     cut = stored(chunked(df.select(F.col("doc_id").cast("long").alias("doc_id"), text), text, end, path), "chunked")
     distinct = cut.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids"))
-    distinct.withColumn("width", (F.octet_length("ids") / F.col("n")).cast("int")).write.option("compression", "zstd").parquet(f"{base}/chunks")
+    distinct.withColumn("width", F.lit(id_width(end, path))).write.option("compression", "zstd").parquet(f"{base}/chunks")
     del distinct
     listed = cut.groupBy("doc_id", "row_id").agg(F.sum(F.col("n").cast("long")).alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest", "n"))).alias("chunks"))
     listed = listed.select("doc_id", "row_id", "n_tokens", F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"))).alias("chunks"))
@@ -218,9 +252,10 @@ def read_store(spark: SparkSession, base: str) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             lists = batch.column("parts")
-            flat = lists.flatten().field("part_ids").to_pylist()
+            flat = [p and unsqueeze(p) for p in lists.flatten().field("part_ids").to_pylist()]
             at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).tolist()
             out = []
             for a, b, root in zip(at[:-1], at[1:], batch.column("root").to_pylist(), strict=True):
