@@ -9,9 +9,9 @@ link when 100 * intersection >= 75 * union, so a text of n shingles links only w
 2. Texts that remain, one for each distinct set, get inverted lists (shingle -> texts). DivideSkip: a text's shingles are
    ordered by the length of their lists; only the shortest n - T + 1, of which a partner must share one, are merged (by Spark's
    shuffle); the long rest is never merged but probed by binary search in the candidate's sorted set.
-3. In LEADERS rounds one text of each merged list is held against the others, and links join components. Then all pairs of a list that
-   are not joined yet are taken, pruned by their places in the lists' order and the number of lists they share. So large groups of
-   near copies cost few pairs within.
+3. In LEADERS rounds one text of each merged list is held against the others, and links join components. Lists whose texts are not all
+   joined by then are merged whole, for pairs of blocks of texts, into counts of shared shingles; only texts that reach the
+   required overlap leave a block. So no pair within a group is ever a row, and no group has to fit into one task.
 
 Shingles and sets are told apart by 64-bit hashes. Null and empty texts have an empty set and link with nothing. A row with a null
 doc_id takes part in no link and has a null component_id. Rows that share a doc_id are texts of their own with the same name;
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, documents, grams, hashed_words, mixed, pieces, removed, small_batches, stored, texts_of
 
-WORDS, PERCENT, LEADERS = 5, 75, 3
+WORDS, PERCENT, LEADERS, GROUP_BLOCK = 5, 75, 3, 512
 BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_SHINGLES = 60_000, 1_000_000, 500_000
 
 
@@ -221,17 +221,12 @@ def linked_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT)
             first = F.struct("n", "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
             heads = open_lists.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "shared", "at", "label"), first).alias("x"))
             pairs = open_lists.join(heads.select("shingle", "x.*").toDF("shingle", *(f"{c}_x" for c in ("node", "n", "shared", "at", "label"))), "shingle").where(may_link(percent))
-            pairs = pairs.select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
+            links = verified(pairs.select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+            ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+            links = links.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         else:
-            other = open_lists.toDF("shingle", *(f"{c}_x" for c in open_lists.columns[1:]))
-            once = (F.col("n_x") < F.col("n")) | (F.col("n_x") == F.col("n")) & (F.col("node_x") < F.col("node"))
-            pairs = open_lists.join(other, "shingle").where(may_link(percent) & once)
-            pairs = pairs.groupBy(F.col("node_x").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("merged"), F.first("n_x").alias("na"), F.first("n").alias("nb"))
-            # Shared shingles outside the merged lists lie in the long rest of one of the two texts.
-            pairs = pairs.where((F.col("merged") + least_overlap(F.greatest("na", "nb"), percent) - 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-        links = verified(pairs.select("a", "b"), sets, percent)
-        ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        links = stored(links.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+            links = merged_in_blocks(open_lists, sets, percent)
+        links = stored(links.distinct(), "links")
         if links.isEmpty():
             continue
         joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
@@ -254,6 +249,48 @@ def several_labels(short: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(named.join(open_, "shingle", "left_semi"), "open-lists")
 
 
+def merged_in_blocks(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: labels of texts that link, of all pairs that share an open list.
+
+    Texts that open lists connect form groups. A group is cut into blocks of GROUP_BLOCK texts; a task takes two blocks, merges the lists
+    of all shingles that both hold into a table of counts, and returns the labels of the pairs that reach the required overlap.
+    """
+    heads = open_lists.groupBy("shingle").agg(F.min("node").alias("a"))
+    edges = open_lists.join(heads, "shingle").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    nodes = components(edges).select("node", F.col("label").alias("group"))
+    parts = nodes.groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("parts"))
+    named = open_lists.select("node", "label").distinct()
+    rows = nodes.join(parts, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(named, "node").join(sets, "node")
+    rows = stored(rows.select("group", "block", "parts", "label", "members"), "groups")
+    keys = ["group", "i", "j"]
+    left = rows.select("group", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("j"), "label", "members")
+    right = rows.where("block > 0").select("group", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), "label", "members")
+
+    def counted(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y if len(y) else x
+        if not len(x) or x.i.iloc[0] != x.j.iloc[0] and y is x:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        xs, ys = ([np.frombuffer(m, np.uint64) for m in side.members] for side in (x, y))
+        nx, ny = (np.array([len(m) for m in side]) for side in (xs, ys))
+        common = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+        both = np.zeros((len(xs), len(ys)), np.float32)
+        where = [[np.searchsorted(common, m[np.isin(m, common, assume_unique=True)]) for m in side] for side in (xs, ys)]
+        for start in range(0, len(common), 4096):
+            tables = []
+            for side in where:
+                table = np.zeros((len(side), 4096), np.float32)
+                for r, at in enumerate(side):
+                    table[r, at[np.searchsorted(at, start) : np.searchsorted(at, start + 4096)] - start] = 1
+                tables.append(table)
+            both += tables[0] @ tables[1].T
+        la, lb = x.label.to_numpy(), y.label.to_numpy()
+        r, c = np.nonzero((100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (la[:, None] != lb[None, :]))
+        pairs = np.unique(np.sort(np.column_stack([la[r], lb[c]]), axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(counted, "a long, b long")
+
+
 def may_link(percent: int) -> Column:
     """Whether two texts of a list, one with columns named _x, can still share enough shingles and are not joined yet.
 
