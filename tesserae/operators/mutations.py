@@ -25,7 +25,7 @@ def replace_by_source(arrivals: DataFrame) -> DataFrame:
     """
     sets = arrivals.groupBy(*KEY, "seq").agg(F.max("ts").alias("newest"))
     best = sets.groupBy(*KEY).agg(F.max(F.struct("newest", "seq"))["seq"].alias("seq"))
-    return arrivals.join(best, [*KEY, "seq"]).distinct()
+    return arrivals.join(best, [*KEY, "seq"]).select(arrivals.columns).distinct()
 
 
 def stale_sets(arrivals: DataFrame) -> DataFrame:
