@@ -108,8 +108,8 @@ class Text:
             x[at < k] = CONTEXTS - 1  # before the text
             before.append(x)
         pair = (mixed((before[0] * CONTEXTS + before[1]).astype(np.uint64)) >> np.uint64(20)).astype(np.int64)
-        self.features = np.column_stack([*before, pair % CONTEXTS]).astype(np.int32)
-        self.inner = np.column_stack([np.where(before[0] < WORD_CONTEXTS - 16, before[0], WORD_CONTEXTS - 16 + before[0] % 16), pair % WORD_CONTEXTS]).astype(np.int32)
+        self.features = np.column_stack([*before, pair % CONTEXTS]).astype(np.uint16)  # sixteen bits sort by radix
+        self.inner = np.column_stack([np.where(before[0] < WORD_CONTEXTS - 16, before[0], WORD_CONTEXTS - 16 + before[0] % 16), pair % WORD_CONTEXTS]).astype(np.uint16)
 
 
 def neighbours(df: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -124,11 +124,11 @@ def neighbours(df: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             texts = texts_of(batch)
             for a, b in pieces(texts):
                 h, offs = tokens(texts[a:b])
-                rank = v.looked_up(h)
+                rank, doc = v.looked_up(h), np.repeat(np.arange(b - a), np.diff(offs))
                 for k in (1, 2):
                     near = rank[:-k]
                     ok = (near < min(NEIGHBOURS, v.own)) & (rank[k:] < v.own)
-                    ok &= np.searchsorted(offs, np.arange(len(near)), side="right") == np.searchsorted(offs, np.arange(k, len(rank)), side="right")
+                    ok &= doc[k:] == doc[:-k]
                     total += np.bincount(rank[k:][ok] * NEIGHBOURS + near[ok], minlength=len(total))
         table = total.reshape(-1, NEIGHBOURS)
         some = np.flatnonzero(table.any(1))
@@ -202,7 +202,7 @@ class Model:
         return z
 
     def by_class(self, kind: np.ndarray):
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.uint16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(self.small + 1))
         for c in range(self.small):
             if edges[c + 1] > edges[c]:
@@ -242,9 +242,10 @@ class Model:
 def moved(table: np.ndarray, at: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """A step for each row of the table: the mean gradient of the tokens that point to it, damped where they are few."""
     order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
-    n = np.diff(np.append(first, len(at)))[:, None]
-    table[at[order][first]] += rate * np.add.reduceat(gradient[order], first, axis=0) / (n + 20.0)
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    n = np.diff(np.append(first, len(at)))[:, None].astype(np.float32)
+    table[at[first]] += rate * np.add.reduceat(gradient[order], first, axis=0) / (n + np.float32(20))
 
 
 def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
