@@ -70,7 +70,7 @@ def learned(df: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAM
     """A model from the rows of df (doc_id, text) that may teach and have a label (doc_id, toxic)."""
     small_batches(df.sparkSession)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = stored(df.where(teaches).select("doc_id", "text").join(marks, "doc_id").select("text", "toxic"), "labelled")
+    rows = stored(df.where(teaches).select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("text", "toxic"), "labelled")
 
     def count(batches):
         for batch in batches:
