@@ -376,13 +376,13 @@ def semantic_vector(spark, d):
 _RANKED = "a AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank, 'p' || CAST(p_partkey AS VARCHAR) AS entity_id FROM part), b AS (SELECT row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank, 'p' || CAST(p_partkey AS VARCHAR) AS entity_id FROM part)"
 
 
-@query(f"WITH {_RANKED}, m AS (SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, round(coalesce(1.0 / (60 + CAST(a.rank AS DOUBLE)), 0) + coalesce(1.0 / (60 + CAST(b.rank AS DOUBLE)), 0), 9) AS score, a.rank AS first_rank, b.rank AS second_rank FROM (SELECT * FROM a WHERE rank <= 100) a FULL JOIN (SELECT * FROM b WHERE rank <= 100) b ON a.entity_id = b.entity_id) SELECT row_number() OVER (ORDER BY score DESC, entity_id) AS rank, * FROM (SELECT * FROM m ORDER BY score DESC, entity_id LIMIT 50)")
+@query(f"WITH {_RANKED}, m AS (SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, round(coalesce(1.0 / (60 + CAST(a.rank AS DOUBLE)), 0) + coalesce(1.0 / (60 + CAST(b.rank AS DOUBLE)), 0), 9) AS score, coalesce(a.rank, 0) AS first_rank, coalesce(b.rank, 0) AS second_rank FROM (SELECT * FROM a WHERE rank <= 100) a FULL JOIN (SELECT * FROM b WHERE rank <= 100) b ON a.entity_id = b.entity_id) SELECT row_number() OVER (ORDER BY score DESC, entity_id) AS rank, * FROM (SELECT * FROM m ORDER BY score DESC, entity_id LIMIT 50)")
 def rrf_merge(spark, d):
     from pyspark.sql import Window
 
     part = spark.read.parquet(f"{d}/part.parquet").withColumn("entity_id", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
     top = lambda c: part.orderBy(F.col(c).desc(), "p_partkey").limit(search.DEPTH).select(F.row_number().over(Window.orderBy(F.col(c).desc(), "p_partkey")).cast("long").alias("rank"), "entity_id")
-    return search.rrf(top("p_retailprice"), top("p_size"), 50)
+    return search.rrf(top("p_retailprice"), top("p_size"), 50).fillna(0, ["first_rank", "second_rank"])
 
 
 @query()
