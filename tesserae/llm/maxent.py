@@ -2,14 +2,15 @@
 
 Tokens are words (runs of other bytes than white space, A-Z lower-cased) and one end for each text. One job counts all training
 tokens. Words with a share of at least 1/VOCABULARY of them, so at most VOCABULARY words, are the model's own; a second job counts what
-stands before those, and words with like neighbours share a class. In classes of up to SMALL_CLASS words the context also says
-which word; in larger ones the words keep their shares. All other words form the class `rest`, inside which a word's
-probability is its add-one share of the rest's counts, one unseen word included; so the model is a distribution over all words.
+stands before those, and words with like neighbours share a class. A class is cut by frequency into groups of up to SMALL_CLASS words
+and has up to SMALL_CLASS groups (a class with more words becomes several), so the context says which class, group and word, for every
+own word. All other words form the class `rest`, inside which a word's probability is its add-one share of the rest's counts, one unseen
+word included; so the model is a distribution over all words.
 
-    log P(word | context) = log P(class | context) + log P(word | class, context)
+    log P(word | context) = log P(class | context) + log P(group | class, context) + log P(word | group, context)
 
-Both factors are softmaxes over hashed features of the context: the words one to four places before (skip features) and the pair
-before; inside a class, the word and the pair before. Training passes once over all training texts, in ROUNDS slices. In each, every task
+All factors are softmaxes over hashed features of the context: the words one to three places before (skip features) and the pair
+before; inside a class and a group, the word and the pair before. Training passes once over all training texts, in ROUNDS slices. In each, every task
 takes gradient steps from the weights of the round before over its part of the slice; Spark averages the tasks' updates, weighted
 by tokens, and the driver holds the weights only, whose size doesn't depend on the corpus. Scoring is numpy over batches of
 sparse features. Counts of words that are too rare to be broadcast are joined by a shuffle.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, crc_of, documents, hashed_words, mixed, pieces, removed, small_batches, stored, texts_of
+from .common import NOT_SPACE, crc_of, documents, hashed_words, mixed, pieces, shuffles_freed, small_batches, stored, texts_of
 
 END = np.uint64(0x6A09E667F3BCC909)
 VOCABULARY, CLASSES, SMALL_CLASS, NEIGHBOURS = 1 << 17, 40, 64, 32
@@ -158,94 +159,112 @@ def classes(near: np.ndarray, c: np.ndarray, rounds: int = 15) -> np.ndarray:
 
 
 class Model:
-    """Weights: outer[feature, context, class], and inner[feature, context, word] for the words of small classes; these come first."""
+    """Weights: outer[feature, context, class], middle[feature, context and class, group] and inner[feature, context and group, word]."""
 
     def __init__(self, vocabulary: Vocabulary, of: np.ndarray) -> None:
         c = vocabulary.c.astype(float)
-        size = np.bincount(of)
-        by_size = np.argsort(np.where(size == 0, len(of) + 1, size), kind="stable")
-        name = np.empty(len(size), np.int64)
-        name[by_size] = np.arange(len(size))
-        self.of, self.size = name[of], size[by_size]
-        order = np.argsort(self.of, kind="stable")
-        self.slot = np.empty(len(of), np.int64)
-        self.slot[order] = np.arange(len(of))
-        self.k = len(size) + 1  # the last class is the rest
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-        self.small = int(((self.size <= SMALL_CLASS) & (self.size > 0)).sum())
-        mass = np.bincount(self.of, c, len(size))
-        self.inside = np.log10(np.maximum(c, 0.5) / mass[self.of])  # of a word in its class, without context
-        mass = np.append(mass, max(vocabulary.n - c.sum(), 1.0))
+        # Words are in order of frequency, so their order inside a class is too.
+        order = np.argsort(of, kind="stable")
+        within = np.empty(len(of), np.int64)
+        within[order] = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+        parts = within.max(initial=0) // SMALL_CLASS**2 + 1
+        self.of = np.unique(of * parts + within // SMALL_CLASS**2, return_inverse=True)[1].reshape(-1)
+        within %= SMALL_CLASS**2
+        width = int(np.ceil(np.sqrt(within.max(initial=0) + 1)))  # of groups and of classes, SMALL_CLASS at most
+        self.branch, self.leaf = within // width, within % width
+        self.group = np.unique(self.of * width + self.branch, return_inverse=True)[1].reshape(-1)
+        own = int(self.of.max(initial=-1)) + 1
+        self.k = own + 1  # the last class is the rest
+        self.small = int(self.group.max(initial=-1)) + 1
+        mass = np.append(np.bincount(self.of, c, own), max(vocabulary.n - c.sum(), 1.0))
         self.outer_bias = np.log(np.maximum(mass, 0.5) / mass.sum()).astype(np.float32)
-        self.inner_bias = np.log(np.maximum(c[order], 0.5)).astype(np.float32)
+        self.middle_bias = np.zeros((own, width))
+        np.add.at(self.middle_bias, (self.of, self.branch), np.maximum(c, 0.5))
+        self.inner_bias = np.zeros((self.small, width))
+        self.inner_bias[self.group, self.leaf] = np.maximum(c, 0.5)
+        with np.errstate(divide="ignore"):  # places without a word have no probability
+            self.middle_bias, self.inner_bias = np.log(self.middle_bias).astype(np.float32), np.log(self.inner_bias).astype(np.float32)
         self.outer = np.zeros((SKIPS + 1, CONTEXTS, self.k), np.float32)
-        self.inner = np.zeros((2, WORD_CONTEXTS, int(self.first[self.small])), np.float32)
+        self.middle = np.zeros((2, WORD_CONTEXTS * own, width), np.float32)
+        self.inner = np.zeros((2, WORD_CONTEXTS * self.small, width), np.float32)
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return [self.outer, self.middle, self.inner]
+
+    @weights.setter
+    def weights(self, tables: list[np.ndarray]) -> None:
+        self.outer, self.middle, self.inner = tables
 
     def classes_of(self, rank: np.ndarray) -> np.ndarray:
         return np.append(self.of, self.k - 1)[np.minimum(rank, len(self.of))]
 
     def outer_probabilities(self, features: np.ndarray) -> np.ndarray:
-        z = self.outer[0][features[:, 0]] + self.outer_bias
-        for f in range(1, SKIPS + 1):
-            z += self.outer[f][features[:, f]]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
-
-    def inner_probabilities(self, c: int, inner: np.ndarray) -> np.ndarray:
-        own = slice(self.first[c], self.first[c] + self.size[c])
-        z = self.inner[0, :, own][inner[:, 0]] + self.inner[1, :, own][inner[:, 1]] + self.inner_bias[own]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
-
-    def by_class(self, kind: np.ndarray):
-        order = np.argsort(kind.astype(np.uint16), kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.small + 1))
-        for c in range(self.small):
-            if edges[c + 1] > edges[c]:
-                yield c, order[edges[c] : edges[c + 1]]
+        return softmax(self.outer, features, self.outer_bias)
+
+    def middle_probabilities(self, c: np.ndarray | int, inner: np.ndarray) -> np.ndarray:
+        return softmax(self.middle, placed(inner, c, len(self.middle_bias)), self.middle_bias[c])
+
+    def inner_probabilities(self, g: np.ndarray | int, inner: np.ndarray) -> np.ndarray:
+        return softmax(self.inner, placed(inner, g, len(self.inner_bias)), self.inner_bias[g])
 
     def step(self, rank: np.ndarray, features: np.ndarray, inner: np.ndarray, rate: float) -> None:
-        kind = self.classes_of(rank)
-        g = -self.outer_probabilities(features)
-        g[np.arange(len(g)), kind] += 1
-        for f in range(SKIPS + 1):
-            moved(self.outer[f], features[:, f], g, rate / 2)
-        for c, rows in self.by_class(kind):
-            own = slice(self.first[c], self.first[c] + self.size[c])
-            g = -self.inner_probabilities(c, inner[rows])
-            g[np.arange(len(rows)), self.slot[rank[rows]] - self.first[c]] += 1
-            for f in range(2):
-                moved(self.inner[f, :, own], inner[rows, f], g, rate)
+        changed(self.outer, features, self.outer_probabilities(features), self.classes_of(rank), rate / 2)
+        known = rank < len(self.of)
+        rank, inner = rank[known], inner[known]
+        if len(rank):
+            c, g = self.of[rank], self.group[rank]
+            changed(self.middle, placed(inner, c, len(self.middle_bias)), self.middle_probabilities(c, inner), self.branch[rank], rate)
+            changed(self.inner, placed(inner, g, len(self.inner_bias)), self.inner_probabilities(g, inner), self.leaf[rank], rate)
 
     def scores(self, text: Text) -> np.ndarray:
         """log10 P of each token; for the rest's words, of their class alone."""
         out = np.empty(len(text.rank))
-        for a in range(0, len(out), 4 * BATCH):
-            cut = slice(a, a + 4 * BATCH)
+        for a in range(0, len(out), 2 * BATCH):
+            cut = slice(a, a + 2 * BATCH)
             rank, inner = text.rank[cut], text.inner[cut]
-            kind = self.classes_of(rank)
             p = self.outer_probabilities(text.features[cut])
-            s = np.log10(p[np.arange(len(p)), kind].astype(float))
-            large = np.flatnonzero((kind >= self.small) & (kind < self.k - 1))
-            s[large] += self.inside[rank[large]]
-            for c, rows in self.by_class(kind):
-                q = self.inner_probabilities(c, inner[rows])
-                s[rows] += np.log10(q[np.arange(len(rows)), self.slot[rank[rows]] - self.first[c]].astype(float))
+            s = np.log10(p[np.arange(len(p)), self.classes_of(rank)].astype(float))
+            known = np.flatnonzero(rank < len(self.of))
+            if len(known):
+                rank, inner, at = rank[known], inner[known], np.arange(len(known))
+                s[known] += np.log10(self.middle_probabilities(self.of[rank], inner)[at, self.branch[rank]].astype(float))
+                s[known] += np.log10(self.inner_probabilities(self.group[rank], inner)[at, self.leaf[rank]].astype(float))
             out[cut] = s
         return out
 
 
+def placed(inner: np.ndarray, at: np.ndarray | int, n: int) -> np.ndarray:
+    """Rows of a table over contexts and n classes or groups."""
+    return inner.astype(np.int32) * np.int32(n) + np.broadcast_to(at, len(inner)).astype(np.int32)[:, None]
+
+
+def softmax(tables: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = tables[0].take(rows[:, 0], 0)
+    for f in range(1, len(tables)):
+        z += tables[f].take(rows[:, f], 0)
+    z += bias
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def changed(tables: np.ndarray, rows: np.ndarray, p: np.ndarray, right: np.ndarray, rate: float) -> None:
+    """A step of all tables from the probabilities p, which it overwrites."""
+    np.negative(p, out=p)
+    p[np.arange(len(p)), right] += 1
+    for f in range(len(tables)):
+        moved(tables[f], rows[:, f], p, rate)
+
+
 def moved(table: np.ndarray, at: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """A step for each row of the table: the mean gradient of the tokens that point to it, damped where they are few."""
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     n = np.diff(np.append(first, len(at)))[:, None].astype(np.float32)
-    table[at[first]] += rate * np.add.reduceat(gradient[order], first, axis=0) / (n + np.float32(20))
+    table[at[first]] += rate * np.add.reduceat(gradient.take(order, 0), first, axis=0) / (n + np.float32(20))
 
 
 def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
@@ -261,8 +280,8 @@ def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
 
         def run(batches, now=now, rate=rate):
             model, vocabulary = now.value
-            old, seen = (model.outer.copy(), model.inner.copy()), 0
-            model.outer, model.inner = model.outer.copy(), model.inner.copy()
+            old, seen = model.weights, 0
+            model.weights = [x.copy() for x in old]
             try:
                 for batch in batches:
                     texts = texts_of(batch)
@@ -273,25 +292,31 @@ def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
                             rows = order[s : s + BATCH]
                             model.step(t.rank[rows], t.features[rows], t.inner[rows], rate)
                         seen += len(order)
-                change = np.concatenate([(model.outer - old[0]).reshape(-1), (model.inner - old[1]).reshape(-1)]) * np.float32(seen)
+                change = np.concatenate([(x - y).reshape(-1) for x, y in zip(model.weights, old, strict=True)]) * np.float32(seen)
             finally:
-                model.outer, model.inner = old
+                model.weights = old
             if seen:
-                cuts = [change[s : s + BLOCK].tobytes() for s in range(0, len(change), BLOCK)]
+                # Blocks without a change go without numbers; their weight still counts.
+                cuts = [x.tobytes() if x.any() else b"" for x in (change[s : s + BLOCK] for s in range(0, len(change), BLOCK))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array([seen] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], names=["block", "seen", "change"])
 
         def averaged(pdf):
-            total = np.zeros(len(pdf.change.iloc[0]) // 4)
+            total = np.zeros(pdf.change.str.len().max() // 4)
             for change in pdf.change:
-                total += np.frombuffer(change, np.float32)
+                if change:
+                    total += np.frombuffer(change, np.float32)
             return pd.DataFrame({"block": pdf.block[:1], "change": [(total / pdf.seen.sum()).astype(np.float32).tobytes()]})
 
         updates = df.where(slices == k).select("text").coalesce(tasks).mapInArrow(run, "block long, seen long, change binary")
         update = updates.groupBy("block").applyInPandas(averaged, "block long, change binary").toPandas().sort_values("block")
         if len(update):
-            flat = np.frombuffer(b"".join(update["change"]), np.float32)
-            model.outer = model.outer + flat[: model.outer.size].reshape(model.outer.shape)
-            model.inner = model.inner + flat[model.outer.size :].reshape(model.inner.shape)
+            flat = np.zeros(sum(x.size for x in model.weights), np.float32)
+            for block, change in zip(update["block"], update["change"], strict=True):
+                flat[block * BLOCK : block * BLOCK + len(change) // 4] = np.frombuffer(change, np.float32)
+            cuts = np.split(flat, np.cumsum([x.size for x in model.weights])[:-1])
+            model.weights = [x + y.reshape(x.shape) for x, y in zip(model.weights, cuts, strict=True)]
+        del updates, update
+        shuffles_freed(spark)
     return model
 
 

@@ -108,6 +108,25 @@ def test_language_model_is_a_distribution(spark):
     assert vocabulary.rest == 130 + 20 - (50 + 30 + 20 + 3) + 1
 
 
+@pytest.mark.parametrize("own", [3, 5000, 40_000])
+def test_language_model_gives_every_word_its_context(own):
+    c = np.sort(np.random.default_rng(0).integers(1, 1000, own))[::-1]
+    vocabulary = maxent.Vocabulary(__import__("pandas").DataFrame({"word": np.arange(own), "c": c}), int(c.sum()) + 30, own + 20)
+    model = maxent.Model(vocabulary, np.where(np.arange(own) % 3 == 0, 0, np.arange(own) % 7 + 2))
+    assert max(np.bincount(model.group).max(), model.inner.shape[2], model.middle.shape[2]) <= maxent.SMALL_CLASS
+    text = maxent.Text([b"x"], vocabulary)
+    text.rank = np.arange(own + 1)
+    text.features, text.inner = np.zeros((own + 1, maxent.SKIPS + 1), np.uint16), np.zeros((own + 1, 2), np.uint16)
+    for _ in range(2):
+        assert (10 ** model.scores(text)).sum() == pytest.approx(1, rel=1e-4)
+        model.weights = [x + np.random.default_rng(1).normal(size=x.shape).astype(np.float32) for x in model.weights]
+    plain = model.scores(text)
+    text.inner[:] = 1
+    other = model.scores(text)
+    shared = np.bincount(model.of)[model.of] > 1  # a word alone in its class has no choice inside
+    assert (plain[:-1] != other[:-1])[shared].all() and plain[-1] == other[-1]
+
+
 def test_language_model_of_awkward_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "a")], "doc_id long, text string")
     got = maxent.scored(df, F.lit(False)).collect()
