@@ -1,10 +1,11 @@
 """Operator 4: approximate nearest neighbours by cross-polytope hashing.
 
-The nearest are those of the largest inner product. Vectors are first turned into unit vectors whose angles keep that order: a
-candidate x becomes (x / M, sqrt(1 - |x|^2 / M^2)) with M the largest norm, a query q becomes (q / |q|, 0). Each table turns them by a
-pseudo-random rotation (three rounds of random signs and a fast Hadamard transform) and assigns a candidate to the nearest signed
-axis. A query probes, in each table, the PROBES axes nearest to it. All candidates found so are ranked exactly, by the inner product of
-the original vectors in double precision, ties by the smaller id.
+The nearest are those of the largest inner product. Norms are told apart by bands, BANDS to each doubling. Bands of up to BLOCK rows,
+such as outliers and the largest norms, are hashed nowhere: every query visits all their rows. The rows of other bands are
+indexed by their direction, which doesn't depend on the norms of others: each table turns it by a pseudo-random rotation (three
+rounds of random signs and a fast Hadamard transform) and assigns the row to the nearest signed axis. A query probes, in each table,
+the PROBES axes nearest to it. All candidates found so are ranked exactly, by the inner product of the original vectors in double
+precision, ties by the smaller id. A query that finds fewer than k is answered by an exact pass over all rows.
 
 A bucket with more than BLOCK candidates is split; its queries visit every part, and the parts' best are merged. No candidate
 is left out. The index holds every row; nothing is fitted.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-TABLES, PROBES, BLOCK, SEED = 16, 16, 4096, 11
+TABLES, PROBES, BLOCK, BANDS, SEED = 16, 16, 4096, 2, 11
+EVERYWHERE = -1  # the place of rows that every query visits
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -43,10 +45,10 @@ def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return x
 
 
-def padded(x: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    width = 1 << int(np.ceil(np.log2(x.shape[1] + 1)))
-    out = np.zeros((len(x), width))
-    out[:, : x.shape[1]], out[:, x.shape[1]] = x, extra
+def directions(x: np.ndarray) -> np.ndarray:
+    """Unit vectors, with zeros up to a width of a power of two."""
+    out = np.zeros((len(x), 1 << int(np.ceil(np.log2(x.shape[1] + 1)))))
+    out[:, : x.shape[1]] = x / np.sqrt((x * x).sum(1, keepdims=True))
     return out
 
 
@@ -90,30 +92,36 @@ def usable(df: DataFrame) -> DataFrame:
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row of df (vec_id, embedding) that is_query holds for."""
-    rows = stored(usable(df), "vectors")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    largest = rows.agg(F.max(norm)).first()[0] or 1.0
+    # The quarter keeps equal norms that are powers of two, and differ by rounding, off the edge of a band.
+    rows = stored(usable(df).withColumn("band", F.floor(F.log2(norm) * BANDS + 0.25)), "vectors")
+    hashed = [r.band for r in rows.groupBy("band").count().where(F.col("count") > BLOCK).collect()]
+    few = ~F.col("band").isin(hashed)
+    rows, schema = rows.withColumn("few", few).drop("band"), "place long, vec_id long, vector array<double>"
+
+    def axes_of(vectors, n):
+        unit = directions(np.stack(vectors.to_list()))
+        for t in range(tables):
+            yield t << 16 | nearest_axes(rotated(unit, t), min(n, 2 * unit.shape[1]))
 
     def placed(batches):
         for pdf in batches:
-            x = np.stack(pdf.vector.to_list()) / largest
-            unit = padded(x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0)))
-            for t in range(tables):
-                yield pd.DataFrame({"place": t << 16 | nearest_axes(rotated(unit, t), 1)[:, 0], "vec_id": pdf.vec_id, "vector": pdf.vector})
+            for axes in axes_of(pdf.vector, 1):
+                yield pd.DataFrame({"place": axes[:, 0], "vec_id": pdf.vec_id, "vector": pdf.vector})
 
     def probed(batches):
         for pdf in batches:
-            x = np.stack(pdf.vector.to_list())
-            unit = padded(x / np.sqrt((x * x).sum(1, keepdims=True)), 0)
-            for t in range(tables):
-                axes = nearest_axes(rotated(unit, t), min(probes, 2 * unit.shape[1]))
+            for axes in axes_of(pdf.vector, probes):
                 n = axes.shape[1]
-                yield pd.DataFrame({"place": t << 16 | axes.reshape(-1), "vec_id": np.repeat(pdf.vec_id.to_numpy(), n), "vector": [v for v in pdf.vector for _ in range(n)]})
-
-    schema = "place long, vec_id long, vector array<double>"
-    index = stored(rows.mapInPandas(placed, schema), "index")
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = asked.mapInPandas(probed, schema)
+                yield pd.DataFrame({"place": axes.reshape(-1), "vec_id": np.repeat(pdf.vec_id.to_numpy(), n), "vector": [v for v in pdf.vector for _ in range(n)]})
+
+    queries = stored(rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    index = rows.where("few").select(F.lit(EVERYWHERE).cast("long").alias("place"), "vec_id", "vector")
+    asked = queries.select(F.lit(EVERYWHERE).cast("long").alias("place"), "vec_id", "vector")
+    if hashed:
+        index = index.unionAll(rows.where("not few").select("vec_id", "vector").mapInPandas(placed, schema))
+        asked = asked.unionAll(queries.mapInPandas(probed, schema))
+    index = stored(index, "index")
     # Of a bucket, which are tables * axes at most in number, how many parts it takes.
     parts = index.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     index = index.join(F.broadcast(parts), "place").withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).cast("int")).drop("parts")
@@ -122,23 +130,40 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES,
     def ranked(candidates, queries):
         if not len(candidates) or not len(queries):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        candidates = candidates.sort_values("vec_id", kind="stable")
         x, ids = np.stack(candidates.vector.to_list()), candidates.vec_id.to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         out = []
         for a in range(0, len(queries), 128):
             some = queries.iloc[a : a + 128]
             scores = products(np.stack(some.vector.to_list()), x)
             own = some.vec_id.to_numpy()
-            scores[own[:, None] == ids[None, :]] = -np.inf
-            r, c = best(scores, ids, k)
-            out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": scores[r, c]}))
+            scores = np.maximum.reduceat(scores, first, axis=1)  # an id counts once
+            scores[own[:, None] == ids[None, first]] = -np.inf
+            r, c = best(scores, ids[first], k)
+            out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[first][c], "score": scores[r, c]}))
         out = pd.concat(out)
         return out[out.score > -np.inf]
 
-    keys = ["place", "part"]
-    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(ranked, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    def answered(index, asked):
+        keys = ["place", "part"]
+        found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(ranked, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    found = answered(index, asked)
+    if not hashed:
+        return found
+    found = stored(found, "found")
+    enough = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stored(queries.join(enough, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    blocks = rows.count() // BLOCK + 1
+    everything = rows.select(F.lit(EVERYWHERE).cast("long").alias("place"), "vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("part"))
+    asked = short.select(F.lit(EVERYWHERE).cast("long").alias("place"), "vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    return found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id").select(found.columns).unionAll(answered(everything, asked))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

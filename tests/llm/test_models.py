@@ -47,6 +47,34 @@ def test_buckets_that_are_split_lose_nothing(spark, monkeypatch):
     assert [r.vec_id for r in got] == list(range(20))
 
 
+def best_of(ids, x, q):
+    s = np.where(ids == ids[q], -np.inf, x @ x[q])
+    return ids[np.lexsort((ids, -s))[: min(20, len(ids) - 1)]].tolist()
+
+
+@pytest.mark.parametrize("kind", ["outlier", "mixed"])
+def test_neighbours_recall_where_norms_differ(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(1500) == 777, 30, 1)[:, None] if kind == "outlier" else np.exp(rng.normal(size=(1500, 1)))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("found")).collect()
+    assert len(got) == 75 and {len(r.found) for r in got} == {20}
+    assert np.mean([len(set(best_of(np.arange(1500), x, r.query_id)) & set(r.found)) for r in got]) >= 0.9 * 20
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_neighbours_of_a_small_table_are_all(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    x = np.random.default_rng(5).normal(size=(15, 64))
+    x[:8] = -x[:1]  # far from the others
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(3, x[3].tolist())] * 30, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") == 0, probes=1, tables=2).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == best_of(np.arange(15), x, 0)
+
+
 def test_language(spark):
     got = registry.queries()["op6_language"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
