@@ -5,7 +5,10 @@ number of tokens and the first DEPTH tokens. In a leaf, a line belongs to the te
 
 - the lines with the same tokens (variable fields aside), and
 - the lines that agree in the first or in the last half of their tokens, where a half has HALF tokens or more: the other half
-  is then variable, as in a similarity of one half or more.
+  is then variable, as in a similarity of one half or more, and
+- the lines that agree in a quarter of their first and a quarter of their last half, so that an edit in each half hides no template.
+
+op3_line_templates is bound to its SQL, which hasn't the quarters; the pipeline's stage has them.
 
 A template recurs if it stands in two documents or more and is long enough not to arise by chance: LEAST_CHARS characters with two tokens
 of six or more; or, if it has LEAST_CHARS characters only, if it stands in COMMON lines and in a share COMMON_SHARE of as many as there are
@@ -31,7 +34,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def parsed(df: DataFrame) -> DataFrame:
+def parsed(df: DataFrame, as_sql: bool = False) -> DataFrame:
     """row, doc, at (number of the line), key, sure: one row for each template that a line belongs to."""
     lines = df.where("text is not null").select(
         row_key(F.col("doc_id"), F.col("text")).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line")
@@ -46,7 +49,11 @@ def parsed(df: DataFrame) -> DataFrame:
     lines = lines.select("row", "doc", "at", "plain", "tokens", half.alias("half"), leaf.alias("leaf"), wide.alias("sure"))
     front = F.xxhash64("leaf", F.lit("front"), F.slice("tokens", 1, F.col("half")))
     back = F.xxhash64("leaf", F.lit("back"), F.slice("tokens", -F.col("half"), F.col("half")))
-    keys = F.when(F.col("half") >= HALF, F.array(F.xxhash64("leaf", F.lit("all"), "plain"), front, back)).otherwise(F.array(F.xxhash64("leaf", F.lit("all"), "plain")))
+    quarter = F.floor(F.col("half") / 2).cast("int")
+    first = [F.slice("tokens", 1, quarter), F.slice("tokens", quarter + 1, quarter)]
+    last = [F.slice("tokens", -2 * quarter, quarter), F.slice("tokens", -quarter, quarter)]
+    crossed = [F.xxhash64("leaf", F.lit(f"quarters {i} {j}"), x, y) for i, x in enumerate(first) for j, y in enumerate(last)]
+    keys = F.when(F.col("half") >= HALF, F.array(F.xxhash64("leaf", F.lit("all"), "plain"), front, back, *([] if as_sql else crossed))).otherwise(F.array(F.xxhash64("leaf", F.lit("all"), "plain")))
     return lines.select("row", "doc", "at", "sure", F.explode(keys).alias("key"))
 
 
@@ -56,9 +63,9 @@ def recurring(lines: DataFrame, n_docs: int) -> DataFrame:
     return groups.where((F.col("keeper") < F.col("last")) & (F.col("sure") | (F.col("lines") >= max(COMMON, COMMON_SHARE * n_docs)))).select("key", "keeper", "lines")
 
 
-def drop_recurring(df: DataFrame) -> DataFrame:
-    """df with `text` without the lines dropped, and n_lines and n_dropped (columns of these names are replaced)."""
-    lines = stored(parsed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "lines")
+def drop_recurring(df: DataFrame, as_sql: bool = False) -> DataFrame:
+    """df with `text` without the lines dropped, and n_lines and n_dropped (columns of these names are replaced); as_sql: by the rules of OP3_SQL."""
+    lines = stored(parsed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), as_sql), "lines")
     found = lines.join(recurring(lines, df.count()), "key").where(F.col("doc") > F.col("keeper"))
     drops = found.groupBy("row").agg(F.collect_set("at").alias("drops_"))
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped", "row_")]
@@ -71,7 +78,7 @@ def drop_recurring(df: DataFrame) -> DataFrame:
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring(documents(spark, sf_dir).select("doc_id", "text"))
+    return drop_recurring(documents(spark, sf_dir).select("doc_id", "text"), as_sql=True)
 
 
 OP3_SQL = rf"""

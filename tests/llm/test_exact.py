@@ -190,6 +190,16 @@ def test_lines(spark):
     assert line_templates.drop_recurring(table(spark).limit(0)).count() == 0
 
 
+def test_lines_with_an_edit_in_each_half(spark):
+    words = [f"token{k}" for k in "abcdefghijklmnopqrstuvwx"]
+    texts = [f"own line\n{' '.join(words)}"]
+    for a, b in ((4, 13), (4, 22), (9, 13), (9, 22)):
+        texts.append(" ".join("edited" if k in (a, b) else w for k, w in enumerate(words)) + "\nx")
+    texts.append(" ".join(w if k < 3 else f"other{w}" for k, w in enumerate(words)))
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(table(spark, texts)).collect()}
+    assert got[0] == texts[0] and [got[k] for k in range(1, 5)] == ["x"] * 4 and got[5] == texts[5]
+
+
 def test_shards(spark):
     texts = [*TEXTS, *["copy"] * 50, *(f"text {k}" for k in range(100)), *(f"pair {k // 2}" for k in range(40))]
     rows = sharding.shard_by_text(table(spark, texts), 8).collect()
