@@ -11,8 +11,9 @@ number of tokens and the first DEPTH tokens. In a leaf, a line belongs to the te
 op3_line_templates is bound to its SQL, which hasn't the quarters; the pipeline's stage has them.
 
 A template recurs if it stands in two documents or more and is long enough not to arise by chance: LEAST_CHARS characters with two tokens
-of six or more; or, if it has LEAST_CHARS characters only, if it stands in COMMON lines and in a share COMMON_SHARE of as many as there are
-documents. Of a recurring template the document with the smallest doc_id keeps its lines; all other documents lose theirs.
+of six or more, or LONG_CHARS characters however they are spaced; or, if it has LEAST_CHARS characters only, if it stands in COMMON
+lines, whatever the size of the table. (The SQL of op3_line_templates doesn't know LONG_CHARS, and asks for lines in a share COMMON_SHARE
+of as many as there are documents.) Of a recurring template the document with the smallest doc_id keeps its lines; all other documents lose theirs.
 
 Blank lines and lines that are too short belong to no template and stay. A null text stays null, with 0 lines. Rows that share a
 doc_id are one document; rows with a null doc_id are one document that comes last. Repeated rows are returned as often as
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 
 DEPTH, HALF, LEAST_CHARS, COMMON, COMMON_SHARE = 3, 8, 20, 10, 0.0005
+LONG_CHARS = 60
 LAST = (1 << 63) - 1
 
 
@@ -46,6 +48,8 @@ def parsed(df: DataFrame, as_sql: bool = False) -> DataFrame:
     half = F.floor(F.col("n") / 2).cast("int")
     leaf = F.xxhash64("n", F.slice("tokens", 1, DEPTH))
     wide = F.size(F.filter("tokens", lambda t: F.length(t) >= 6)) >= 2
+    if not as_sql:
+        wide = wide | (F.length("plain") >= LONG_CHARS)
     lines = lines.select("row", "doc", "at", "plain", "tokens", half.alias("half"), leaf.alias("leaf"), wide.alias("sure"))
     front = F.xxhash64("leaf", F.lit("front"), F.slice("tokens", 1, F.col("half")))
     back = F.xxhash64("leaf", F.lit("back"), F.slice("tokens", -F.col("half"), F.col("half")))
@@ -57,16 +61,17 @@ def parsed(df: DataFrame, as_sql: bool = False) -> DataFrame:
     return lines.select("row", "doc", "at", "sure", F.explode(keys).alias("key"))
 
 
-def recurring(lines: DataFrame, n_docs: int) -> DataFrame:
+def recurring(lines: DataFrame, common: float) -> DataFrame:
     """key, keeper (the document that keeps its lines), lines: the templates that recur across documents."""
     groups = lines.groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("lines"), F.max("sure").alias("sure"))
-    return groups.where((F.col("keeper") < F.col("last")) & (F.col("sure") | (F.col("lines") >= max(COMMON, COMMON_SHARE * n_docs)))).select("key", "keeper", "lines")
+    return groups.where((F.col("keeper") < F.col("last")) & (F.col("sure") | (F.col("lines") >= common))).select("key", "keeper", "lines")
 
 
 def drop_recurring(df: DataFrame, as_sql: bool = False) -> DataFrame:
     """df with `text` without the lines dropped, and n_lines and n_dropped (columns of these names are replaced); as_sql: by the rules of OP3_SQL."""
     lines = stored(parsed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), as_sql), "lines")
-    found = lines.join(recurring(lines, df.count()), "key").where(F.col("doc") > F.col("keeper"))
+    common = max(COMMON, COMMON_SHARE * df.count()) if as_sql else COMMON
+    found = lines.join(recurring(lines, common), "key").where(F.col("doc") > F.col("keeper"))
     drops = found.groupBy("row").agg(F.collect_set("at").alias("drops_"))
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped", "row_")]
     out = df.select(*names, row_key(F.col("doc_id").cast("long"), F.col("text")).alias("row_")).join(drops.withColumnRenamed("row", "row_"), "row_", "left")

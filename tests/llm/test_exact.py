@@ -200,6 +200,15 @@ def test_lines_with_an_edit_in_each_half(spark):
     assert got[0] == texts[0] and [got[k] for k in range(1, 5)] == ["x"] * 4 and got[5] == texts[5]
 
 
+def test_short_lines_recur_at_every_size(spark):
+    short, long = "we all saw it in may and june", "これは空白のない一行の長い文章です" * 5
+    texts = [f"{short}\nown{k}" for k in range(10)] + [f"{long}\nfirst", f"{long}\nsecond"]
+    rest = spark.range(100, 22_100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(table(spark, texts).select("doc_id", "text").where("doc_id is not null").unionAll(rest)).where("doc_id < 100").collect()}
+    assert got[0] == texts[0] and [got[k] for k in range(1, 10)] == [f"own{k}" for k in range(1, 10)]
+    assert got[10] == texts[10] and got[11] == "second"
+
+
 def test_shards(spark):
     texts = [*TEXTS, *["copy"] * 50, *(f"text {k}" for k in range(100)), *(f"pair {k // 2}" for k in range(40))]
     rows = sharding.shard_by_text(table(spark, texts), 8).collect()
