@@ -15,7 +15,6 @@ from .sources.tables import SHOP, TEXT, triples, triples_sql
 
 ALL = SHOP + TEXT
 REGION0, SUPPLIER1, PART7 = f"{t.REGION}0", f"{t.SUPPLIER}1", f"{t.PART}7"
-QUESTION = ["how many orders last 3 days", "pumps in zone-b within 5 km of 48.5,11.25", "average of the pressure and not count", "top 5 parts like red plate", "what is related to sensor-001"]
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
@@ -509,7 +508,8 @@ def radius_bbox(spark, d):
 
 @query()
 def question_hints(spark, d):
-    return hints.hints(spark.createDataFrame([(q,) for q in QUESTION], "question string"), F.lit("2026-03-11 12:00:00").cast("timestamp"))
+    questions = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("text").alias("question"))
+    return hints.hints(questions, F.lit("2026-03-11 12:00:00").cast("timestamp"))
 
 
 @query("""WITH r AS (SELECT user_id AS entity_id, event_id AS record_id, ts AS "at", lag(event_type) OVER w AS from_phase, event_type AS to_phase FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -36,3 +36,8 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_runs(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
+
+
+def test_question_hints_reads_every_text(spark):
+    texts = sorted(r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").select("text").collect())
+    assert sorted(r.question for r in queries.queries()["question_hints"](spark, SF).collect()) == texts
