@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -31,10 +32,12 @@ def crc_of(doc_id: Column) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, local mode gets one of its own; a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -67,8 +70,10 @@ def shuffles_freed(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts go to Python in batches of a few hundred, so that long ones don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Whole texts go to Python in batches of a few hundred, so that long ones don't fill a worker. The session keeps a smaller setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 # ---------------------------------------------------------------- words as hashes
@@ -86,38 +91,64 @@ WORD = byte_table(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            have = np.full(max(n, 1 << 20), base, np.uint64)
-            have[0] = 1
-            have = np.cumprod(have, dtype=np.uint64)
-        _powers[kind] = have
-    return have[:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: spreads differences over all bits."""
+    """A 64-bit finaliser: spreads differences over all bits; different numbers stay different."""
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(31))
 
 
+#: Of a number read from eight bytes, those that belong to a span with so many left.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of the buffer on, as one number; zeros stand after the end."""
+    return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def later_eights(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of spans longer than eight bytes: which have them, where each begins in the list of all their numbers but the first, and each number's place in its span."""
+    long = np.flatnonzero(length > 8)
+    n = (length[long] - 1) >> 3
+    first = np.cumsum(n) - n
+    return long, first, np.arange(n.sum()) - np.repeat(first, n) + 1
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, all at once, from one running sum over the buffer."""
-    n = len(buf)
+    """64-bit hash of each span of bytes, all at once.
+
+    Eight bytes are one number. Each number is mixed with its place, which no arrangement of bytes undoes, and the sum is
+    mixed again. Spans of up to eight bytes and the same length never collide.
+    """
+    wide, length = eights(buf), ends - starts
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=total[1:])
-        raw = (total[ends] - total[starts]) * _power("down", n + 1)[starts]
-    return mixed(raw ^ (ends - starts).astype(np.uint64) << np.uint64(56))
+        h = mixed((wide[starts] & _OWN[np.minimum(length, 8)]) ^ mixed(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+        long, first, place = later_eights(length)
+        if len(long):
+            of = np.repeat(long, (length[long] - 1) >> 3)
+            part = wide[starts[of] + 8 * place] & _OWN[np.minimum(length[of] - 8 * place, 8)]
+            h[long] = mixed(h[long] + np.add.reduceat(mixed(part ^ mixed(place.astype(np.uint64))), first))
+    return h
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each kind, and of every span which kind it is. Hashes find the kinds; their bytes are compared."""
+    _, first, kind = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    wide, length, like = eights(buf), ends - starts, first[kind]
+    own = _OWN[np.minimum(length, 8)]
+    same = (length == length[like]).all() and ((wide[starts] & own) == (wide[starts[like]] & own)).all()
+    if same:
+        long, _, place = later_eights(length)
+        of = np.repeat(long, (length[long] - 1) >> 3)
+        own = _OWN[np.minimum(length[of] - 8 * place, 8)]
+        same = ((wide[starts[of] + 8 * place] & own) == (wide[starts[like[of]] + 8 * place] & own)).all()
+    if not same:
+        raw, kinds = buf.tobytes(), {}
+        kind = np.array([kinds.setdefault(raw[a:b], len(kinds)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        first = np.unique(kind, return_index=True)[1]
+    return first, kind
 
 
 def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

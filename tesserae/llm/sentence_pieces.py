@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import buffer_of, documents, pieces, small_batches, span_hashes, texts_of
+from .common import buffer_of, distinct_spans, documents, pieces, small_batches, texts_of
 
 MODEL = "piece_bpe_32k.model"
 NONE = np.int32(2**31 - 1)
@@ -176,7 +176,7 @@ class Pieces:
         real = np.ones(len(starts), bool)
         real[np.searchsorted(starts, begins[1:] - 1)] = False  # the separators
         starts, ends = starts[real], ends[real]
-        _, first, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        first, inverse = distinct_spans(buf, starts, ends)
         s, length = starts[first], (ends - starts)[first]
         where = np.repeat(s - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(s) else np.zeros(0, np.int64)
         ids, offs = self.merged(buf[where].tobytes(), length)

@@ -5,18 +5,22 @@ passages give equal chunks wherever they stand. Three Parquet folders make up th
 
     chunks    digest binary, n int, width int, ids binary     each distinct chunk once; ids: a zstd frame of little-endian unsigned integers of width bytes
     recipes   doc_id, row_id, start, n_tokens, root, chunks array<struct<digest, n>>, part    in ascending doc_id order
-    manifest  part, n_docs, n_tokens, root              one Merkle node per part of recipes, and one over them all (part -1)
+    manifest  part, level, place, n_docs, n_tokens, root     Merkle nodes: of each part of recipes, and over the parts (part -1)
 
-A document's root is the hash of its chunks' digests; a part's root the hash of its documents' roots in order. Reading recomputes
-the digest of every chunk and the root of every document and fails if one differs.
+A document's root is the hash of its chunks' digests. A node's root is the hash of the roots of up to FAN nodes below it, in
+order, so no list grows with the corpus. Reading computes all nodes anew from the recipes and fails unless they are those of the manifest:
+a lost or added document, a recipe altered together with its root, a lost part and a lost manifest are all noticed. Then
+the digest of every chunk and the root of every document are computed from the ids themselves and compared.
 
-Nulls and empty texts are documents of the end id alone. Rows that share a doc_id stay documents of their own, in a fixed
-order; a null doc_id comes first. Without rows the store is empty.
+Nulls and empty texts are documents of the end id alone. A very long text without a place to cut is encoded as a whole and not remembered.
+Rows that share a doc_id stay documents of their own, in a fixed order; a null doc_id comes first. Repeated rows share their chunks.
+Other columns are ignored. Without rows the store is empty.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 from functools import lru_cache
@@ -25,39 +29,56 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, NOT_SPACE, buffer_of, documents, pieces, removed, scratch, shuffles_freed, small_batches, span_hashes, stored, texts_of
+from .common import FOLD, NOT_SPACE, buffer_of, distinct_spans, documents, pieces, removed, scratch, shuffles_freed, small_batches, stored, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
-SPECIAL = "<|endoftext|>"
-CUT_BITS, WINDOW, LONGEST = 10, 8, 1 << 14
-REMEMBERED = 250_000
+CUT_BITS, WINDOW, LONGEST, FAN = 10, 8, 1 << 14, 1024
+REMEMBERED, REMEMBERED_BYTES = 250_000, 64
+
+
+class Vocabulary:
+    """A tokenizer file, the texts of its special tokens, and whether its words can be told apart beforehand."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        words = spec["pre_tokenizer"] or {}
+        self.marks = [t["content"].encode() for t in spec["added_tokens"]]
+        # Cutting is right for the words that the plain byte-level rule makes of the bytes as they are.
+        self.cuts = words.get("type") == "ByteLevel" and words.get("use_regex") is True and not words.get("add_prefix_space") and not spec["normalizer"] and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes that each id stands for: the characters of its byte-level token
+        for token, k in self.tokenizer.get_vocab().items():
+            self.lengths[k] = len(token)
 
 
 @lru_cache(4)
-def loaded(path: str | None):
+def loaded(path: str | None) -> Vocabulary:
     """Once per worker process; the vocabulary file lies beside the library on every machine."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+    return Vocabulary(path or public_tokenizers.path(VOCABULARY))
 
 
 def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts and the offset of each text's first id (with a last entry).
 
     The tokenizer's words never reach across a space after another character, a line feed after one or a single one before a letter, or a punctuation mark
-    after a letter, so texts are cut there and equal segments are encoded once. Texts that hold the vocabulary's special token are
-    encoded whole.
+    after a letter, so texts are cut there and equal segments are encoded once. Texts that hold a special token of the vocabulary are
+    encoded whole, and so are all texts with a vocabulary whose words follow another rule.
     """
-    tokenizer = loaded(path)
-    mark = SPECIAL.encode()
-    whole = {i: tokenizer.encode(t.decode(), add_special_tokens=False).ids for i, t in enumerate(texts) if mark in t}
+    vocabulary = loaded(path)
+    tokenizer = vocabulary.tokenizer
+    whole = {i: tokenizer.encode(t.decode(), add_special_tokens=False).ids for i, t in enumerate(texts) if t and (not vocabulary.cuts or any(m in t for m in vocabulary.marks))}
     texts = [b"" if i in whole else t for i, t in enumerate(texts)]
     buf, begins = buffer_of(texts)
     # Next to characters from U+0800 on, and from U+0080 to U+00BF, no cut is made: some of them are spaces too.
@@ -79,10 +100,10 @@ def encoded(texts: list[bytes], path: str | None = None) -> tuple[np.ndarray, np
     real[np.searchsorted(starts, begins[1:] - 1)] = False  # the line feeds between texts
     starts, ends = starts[real], ends[real]
     if len(starts):
-        _, first, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        first, inverse = distinct_spans(buf, starts, ends)
         raw = buf.tobytes()
         segments = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        parts = segment_ids(segments, tokenizer)
+        parts = segment_ids(segments, path)
         ids = np.frombuffer(b"".join(parts), np.uint32)
         offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])])
         n = np.diff(offs)[inverse]
@@ -107,23 +128,26 @@ def pack(*ids: int) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_recent: dict[bytes, bytes] = {}
-_before: dict[bytes, bytes] = {}
+#: Segments seen lately and their ids, by vocabulary: of the time now and of the time before.
+_recent: dict[str | None, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
-def segment_ids(segments: list[bytes], tokenizer) -> list[bytes]:
-    """Ids (unsigned, 32 bits) of each segment. Those seen lately stay in two tables of the worker of bounded size.
+def segment_ids(segments: list[bytes], path: str | None = None) -> list[bytes]:
+    """Ids (unsigned, 32 bits) of each segment. Those seen lately stay in two tables of the worker: REMEMBERED segments and those of one batch, of REMEMBERED_BYTES each.
 
     A segment of letters (with a space before them or not) is one word, whose bytes the vocabulary's merges take as they are. Other
     segments that begin with a space stay words of their own side by side, so all new ones go through the tokenizer in one call; the
     lengths of the ids' byte strings tell where each ends.
     """
-    global _recent, _before
-    if len(_recent) > REMEMBERED:
-        _recent, _before = {}, _recent
-    out = list(map(_recent.get, segments))
+    vocabulary = loaded(path)
+    tokenizer = vocabulary.tokenizer
+    recent, before = _recent.get(path, ({}, {}))
+    if len(recent) > REMEMBERED:
+        recent, before = {}, recent
+    _recent[path] = recent, before
+    out = list(map(recent.get, segments))
     new = [s for s, ids in zip(segments, out, strict=True) if ids is None]
-    found = {s: ids for s in new if (ids := _before.get(s)) is not None}
+    found = {s: ids for s in new if (ids := before.get(s)) is not None}
     new = [s for s in new if s not in found]
     plain = list(filter(LETTERS_ONLY.fullmatch, new))
     merges = tokenizer.model.tokenize
@@ -132,29 +156,18 @@ def segment_ids(segments: list[bytes], tokenizer) -> list[bytes]:
     spaced, other = [s for s in new if s[:1] == b" "], [s for s in new if s[:1] != b" "]
     if spaced:
         ids = np.array(tokenizer.encode_batch_fast([b"".join(spaced).decode()], add_special_tokens=False)[0].ids, np.uint32)
-        reach = np.cumsum(id_lengths(tokenizer)[ids])
-        cuts = np.searchsorted(reach, np.cumsum([len(s) for s in spaced])) + 1
+        reach, ends = np.cumsum(vocabulary.lengths[ids]), np.cumsum([len(s) for s in spaced])
+        cuts = np.searchsorted(reach, ends) + 1
+        if not np.array_equal(reach[cuts - 1], ends):
+            raise ValueError("a token of the vocabulary spans two words")
         raw = ids.tobytes()
         found.update(zip(spaced, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
     if other:
         found.update(zip(other, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([s.decode() for s in other], add_special_tokens=False)), strict=True))
-    _recent.update(found)
+    recent.update((s, ids) for s, ids in found.items() if len(s) <= REMEMBERED_BYTES)
     return [found[s] if ids is None else ids for s, ids in zip(segments, out, strict=True)]
 
 
-_lengths: dict[int, np.ndarray] = {}
-
-
-def id_lengths(tokenizer) -> np.ndarray:
-    """Bytes that each id stands for: the characters of its byte-level token."""
-    if id(tokenizer) not in _lengths:
-        table = np.zeros(tokenizer.get_vocab_size(), np.int64)
-        for token, k in tokenizer.get_vocab().items():
-            table[k] = len(token)
-        _lengths[id(tokenizer)] = table
-    return _lengths[id(tokenizer)]
-
-
 def with_end(ids: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(ids, offs[1:], np.uint32(end)), offs + np.arange(len(offs))
 
@@ -176,7 +189,7 @@ def chunk_ends(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def id_width(end: int, path: str | None) -> int:
-    return 2 if max(loaded(path).get_vocab_size(), end + 1) <= 1 << 16 else 4
+    return 2 if max(len(loaded(path).lengths), end + 1) <= 1 << 16 else 4
 
 
 def chunked(df: DataFrame, text: str = "text", end: int = 2, path: str | None = None) -> DataFrame:
@@ -220,7 +233,7 @@ def write_store(df: DataFrame, base: str, text: str = "text", end: int = 2, path
     removed(cut)
     before = ranged.groupBy("part").agg(F.sum("n_tokens").alias("sum")).select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("before"))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "row_id")
-    digests = F.aggregate(F.transform("chunks", lambda c: F.hex(c["digest"])), F.lit(""), lambda a, b: F.concat(a, b))
+    digests = F.array_join(F.transform("chunks", lambda c: F.hex(c["digest"])), "")
     recipes = ranged.join(before, "part").select(
         "doc_id",
         "row_id",
@@ -229,22 +242,58 @@ def write_store(df: DataFrame, base: str, text: str = "text", end: int = 2, path
         F.sha2(digests.cast("binary"), 256).alias("root"),
         "chunks",
         "part",
+        (F.row_number().over(order) - 1).cast("long").alias("place"),
     )
     recipes.write.option("compression", "zstd").parquet(f"{base}/recipes")
     removed(ranged)
     del cut, listed, ranged, recipes
     shuffles_freed(spark)
-    kept = spark.read.parquet(f"{base}/recipes")
-    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"]), "").cast("binary"), 256)
-    parts = kept.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), root.alias("root"))
-    parts = stored(parts, "parts")
-    top = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: x["root"]), "").cast("binary"), 256)
-    whole = parts.agg(F.lit(-1).alias("part"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), top.alias("root"))
-    parts.unionByName(whole).write.parquet(f"{base}/manifest")
+    merkle(spark.read.parquet(f"{base}/recipes")).write.parquet(f"{base}/manifest")
+
+
+def merkle(recipes: DataFrame) -> DataFrame:
+    """part, level, place, n_docs, n_tokens, root: the nodes over the recipes of each part, and (part -1) over the parts' last ones."""
+    nodes = recipes.select("part", "place", F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root")
+    out, leaves = [], nodes.agg(F.max("place")).first()[0]
+
+    def above(nodes: DataFrame, highest: int, level: int) -> DataFrame:
+        while True:
+            in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "root"))), lambda x: x["root"]), "")
+            nodes = nodes.groupBy("part", F.floor(F.col("place") / FAN).cast("long").alias("above")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(in_order.cast("binary"), 256).alias("root"))
+            nodes = nodes.withColumnRenamed("above", "place")
+            if level == 1:  # the only level that reads recipes; its rows are a FAN-th of them
+                nodes = stored(nodes, "merkle")
+            out.append(nodes.withColumn("level", F.lit(level)))
+            highest, level = highest // FAN, level + 1
+            if not highest:
+                return nodes
+
+    heads = above(nodes, leaves or 0, 1)
+    last = heads.agg(F.max("part")).first()[0] or 0
+    above(heads.select(F.lit(-1).alias("part"), F.col("part").cast("long").alias("place"), "n_docs", "n_tokens", "root"), last, 2)
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows.select("part", "level", "place", "n_docs", "n_tokens", "root")
+
+
+def checked(spark: SparkSession, base: str) -> None:
+    """Raises an error unless the nodes over the recipes are those of the manifest."""
+    try:
+        want = spark.read.parquet(f"{base}/manifest")
+        recipes = spark.read.parquet(f"{base}/recipes")
+    except AnalysisException as missing:
+        raise ValueError("the store lacks its manifest or its recipes") from missing
+    got, keys = merkle(recipes), ["part", "level", "place"]
+    values = lambda df, name: df.select(*keys, F.struct("n_docs", "n_tokens", "root").alias(name))
+    differ = values(got, "got").join(values(want, "want"), keys, "full_outer").where(~F.col("got").eqNullSafe(F.col("want")))
+    if bad := differ.orderBy(F.col("level").desc(), *keys).first():
+        raise ValueError(f"recipes don't match the manifest: part {bad.part}, level {bad.level}, node {bad.place}")
 
 
 def read_store(spark: SparkSession, base: str) -> DataFrame:
     """doc_id, row_id, start, n_tokens and ids (binary) of every document, rebuilt from recipes and chunks and verified."""
+    checked(spark, base)
     recipes = spark.read.parquet(f"{base}/recipes")
     chunks = spark.read.parquet(f"{base}/chunks").select("digest", "width", F.col("ids").alias("part_ids"))
     needed = recipes.select("doc_id", "row_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("seq", "c")).select("doc_id", "row_id", "start", "n_tokens", "root", "seq", F.col("c.digest").alias("digest"))
@@ -261,7 +310,7 @@ def read_store(spark: SparkSession, base: str) -> DataFrame:
             for a, b, root in zip(at[:-1], at[1:], batch.column("root").to_pylist(), strict=True):
                 own = flat[a:b]
                 if any(p is None for p in own) or hashlib.sha256("".join(hashlib.blake2b(p, digest_size=16).hexdigest().upper() for p in own).encode()).hexdigest() != root:
-                    raise ValueError("a document doesn't match its root in the manifest")
+                    raise ValueError("a document doesn't match its root in the recipes")
                 out.append(b"".join(own))
             out = [np.frombuffer(p, f"<u{width}").astype("<u4").tobytes() for p, width in zip(out, batch.column("width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "row_id", "start", "n_tokens")), pa.array(out, pa.binary())], schema=kinds)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontamination, line_templates, ngram_join, registry, sentence_pieces, sharding, token_store
+from tesserae.llm import common, decontamination, line_templates, ngram_join, registry, sentence_pieces, sharding, token_store
 
 SF = "/root/testdata/sf0.001"
 COMMON = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -82,19 +82,87 @@ def test_store_gives_back_what_was_put_in(spark, tmp_path):
         start += len(ids)
     chunks = spark.read.parquet(str(tmp_path / "s/chunks"))
     assert chunks.count() == chunks.select("digest").distinct().count()
-    top = spark.read.parquet(str(tmp_path / "s/manifest")).where("part = -1").first()
+    top = spark.read.parquet(str(tmp_path / "s/manifest")).where("part = -1").orderBy(F.desc("level")).first()
     assert (top.n_docs, top.n_tokens) == (len(texts), start)
 
 
-def test_store_notices_a_changed_chunk(spark, tmp_path):
+@pytest.mark.parametrize("fan", [1024, 2])
+def test_store_notices_what_was_changed(spark, tmp_path, monkeypatch, fan):
+    monkeypatch.setattr(token_store, "FAN", fan)
     token_store.write_store(table(spark), str(tmp_path / "a"))
-    bad = spark.read.parquet(str(tmp_path / "a/chunks"))
-    one = bad.orderBy("n").first().digest
-    other = bad.orderBy(F.desc("n")).first()["ids"]
-    bad.withColumn("ids", F.when(F.col("digest") == F.lit(one), F.lit(other)).otherwise(F.col("ids"))).write.parquet(str(tmp_path / "b/chunks"))
-    spark.read.parquet(str(tmp_path / "a/recipes")).write.parquet(str(tmp_path / "b/recipes"))
-    with pytest.raises(Exception, match="root in the manifest"):
-        token_store.read_store(spark, str(tmp_path / "b")).collect()
+    assert token_store.read_store(spark, str(tmp_path / "a")).count() == len(TEXTS) + 1
+    kept = {name: spark.read.parquet(str(tmp_path / "a" / name)) for name in ("chunks", "recipes", "manifest")}
+    chunks, recipes, manifest = kept.values()
+    one, other = chunks.orderBy("n").first(), chunks.orderBy(F.desc("n")).first()
+    first = recipes.orderBy("start").first()
+    longest = recipes.orderBy(F.desc("n_tokens")).first()
+    altered = F.col("row_id") == first.row_id
+    changes = {
+        "chunk": ("chunks", chunks.withColumn("ids", F.when(F.col("digest") == F.lit(one.digest), F.lit(other["ids"])).otherwise(F.col("ids"))), "root in the recipes"),
+        "lost chunk": ("chunks", chunks.where(F.col("digest") != F.lit(one.digest)), "root in the recipes"),
+        "lost document": ("recipes", recipes.where(~altered), "manifest"),
+        "altered recipe with its root": ("recipes", recipes.where(~altered).unionByName(recipes.where(F.col("row_id") == longest.row_id).withColumns({c: F.lit(first[c]) for c in ("doc_id", "row_id", "start", "place", "part")})), "manifest"),
+        "lost part": ("recipes", recipes.where(F.col("part") != first.part), "manifest"),
+        "lost nodes": ("manifest", manifest.where("level > 1"), "manifest"),
+    }
+    for what, (name, rows, error) in changes.items():
+        base = str(tmp_path / what.replace(" ", "-"))
+        for folder, df in kept.items():
+            (rows if folder == name else df).write.parquet(f"{base}/{folder}")
+        with pytest.raises(Exception, match=error):
+            token_store.read_store(spark, base).collect()
+    with pytest.raises(ValueError, match="lacks its manifest"):
+        token_store.read_store(spark, str(tmp_path / "nothing"))
+
+
+def test_other_vocabularies_are_encoded_as_the_library_does(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    texts = [t or "" for t in TEXTS]
+    ids, offs = token_store.encoded([t.encode() for t in texts], str(path))
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_remembered_segments_are_short():
+    token_store.encoded([("z" * 5000 + " short 日本語" * 900).encode()])
+    assert max(len(s) for side in token_store._recent[None] for s in side) <= token_store.REMEMBERED_BYTES
+
+
+def doubled(n, a="a", b="b"):
+    """A text of two letters and its complement, which polynomial hashes modulo a power of two take for equal."""
+    s = a
+    for _ in range(n):
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s, s.translate(str.maketrans(a + b, b + a))
+
+
+def test_texts_that_fool_polynomial_hashes(spark):
+    texts = [*doubled(10), *doubled(12), *("x y z " + t for t in doubled(10)), *(" ".join(t) for t in doubled(10))]
+    raw = [t.encode() for t in texts]
+    for encoded, want in ((sentence_pieces.loaded(None).encoded, piece_model().encode), (token_store.encoded, lambda t: byte_model().encode(t, add_special_tokens=False).ids)):
+        ids, offs = encoded(raw)
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [want(t) for t in texts]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(table(spark, texts)).collect() if r.doc_id is not None}
+    assert got == components(enumerate(texts))
+    items = [(1, doubled(10)[0]), (2, "x y z " + doubled(10)[1])]
+    for r in decontamination.decontaminate(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).where("doc_id is not null").collect():
+        assert (r.n_words, r.n_hit, r["items"], r.contaminated) == hits(texts[r.doc_id], items)
+
+
+def test_kinds_of_spans_are_told_apart_by_their_bytes(monkeypatch):
+    words = ["a", "b", "abcdefgh", "abcdefgi", "abcdefghi", "abcdefghj", "a", "long word of many letters", "long word of many lettert"]
+    buf, begins = common.buffer_of([w.encode() for w in words])
+    for hashed in (common.span_hashes, lambda buf, starts, ends: np.zeros(len(starts), np.uint64)):
+        monkeypatch.setattr(common, "span_hashes", hashed)
+        first, kind = common.distinct_spans(buf, begins[:-1], begins[1:] - 1)
+        assert [words[first[k]] for k in kind] == words and len(first) == len(set(words))
 
 
 def test_empty_store(spark, tmp_path):
