@@ -4,12 +4,14 @@ A text's subwords are its windows of 2 to 4 bytes inside words, hashed into buck
 gives the languages' probabilities; both are trained by stochastic gradient descent in numpy. One part of the sample, left
 out of training, sets the temperature of the probabilities and the confidence below which a prediction is rejected.
 
-The model is fitted on a bounded sample: SAMPLE rows in all (the same number for each language, chosen by a hash of the row), of each
-a passage of PASSAGE characters. Prediction reads whole texts. As the average is linear, embeddings and softmax weights are
-multiplied once, before prediction.
+The model is fitted on a bounded sample of whole texts: SAMPLE rows at most (about the same number for each language), chosen by a hash
+of doc_id and text, so that copies are drawn one by one. Tasks turn them into counts of buckets; only these go to
+the driver. As the average is linear, embeddings and softmax weights are multiplied once, before prediction.
 
 A null text or one without a letter is `und` with score 0 and is rejected; so is every text where nothing could be learned.
-Rows without a language teach nothing but are predicted. Repeated rows are each predicted; other columns pass through.
+Rows without a language teach nothing but are predicted; a null doc_id is like any other. Repeated rows are each predicted. A very
+long text counts in training and in prediction as any other, by its shares of buckets. Other columns pass through, unless they bear
+the name of a result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from .common import crc_of, documents, pieces, small_batches, texts_of
 from .subwords import letter_buffer, windows
 
-SAMPLE, PASSAGE = 8_000, 400
+SAMPLE = 8_000
 SIZES, BITS, DIMENSIONS = (2, 3, 4), 16, 16
 EPOCHS, BATCH, LEAST_STEPS, RATE = 4, 64, 500, 0.5
 KEPT = 0.9999
@@ -39,46 +41,75 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], bucket[order]
 
 
+class Bags:
+    """Texts as buckets and how often each holds them: the bags of row k are b[at[k] : at[k + 1]] and n of the same places."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        """packed: for each text little-endian sixteen-bit buckets, then as many bytes of counts; a count over 255 takes several places."""
+        size = np.array([len(x) // 3 for x in packed], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        self.b, self.n = np.zeros(self.at[-1], np.uint16), np.zeros(self.at[-1], np.uint8)
+        for k, x in enumerate(packed):
+            self.b[self.at[k] : self.at[k + 1]] = np.frombuffer(x, "<u2", size[k])
+            self.n[self.at[k] : self.at[k + 1]] = np.frombuffer(x, np.uint8, offset=2 * size[k])
+
+    def some(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, their shares of their text, and where each text's begin."""
+        size = self.at[rows + 1] - self.at[rows]
+        first = np.cumsum(size) - size
+        where = np.repeat(self.at[rows] - first, size) + np.arange(size.sum())
+        n = self.n[where].astype(np.float32)
+        return self.b[where].astype(np.int64), n / np.repeat(np.add.reduceat(n, first), size), first
+
+
+def packed(texts: list[bytes]) -> list[bytes]:
+    of, bucket = features(texts)
+    keys, n = np.unique(of << BITS | bucket, return_counts=True)
+    times = (n + 254) // 255
+    of, bucket = np.repeat(keys >> BITS, times), np.repeat(keys & ((1 << BITS) - 1), times).astype("<u2")
+    last = np.cumsum(times) - 1
+    count = np.full(len(of), 255, np.uint8)
+    count[last] = n - 255 * (times - 1)
+    edges = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+    return [bucket[a:b].tobytes() + count[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 class Model:
     """Languages, and for each bucket what one subword adds to their scores."""
 
-    def __init__(self, texts: list[bytes], names: list[str], seed: int = 7) -> None:
+    def __init__(self, bags: Bags, names: list[str], seed: int = 7) -> None:
         self.names = sorted(set(names))
-        y = np.array([self.names.index(n) for n in names])
+        place = {x: k for k, x in enumerate(self.names)}
+        y = np.array([place[n] for n in names])
         rng = np.random.default_rng(seed)
-        order = rng.permutation(len(texts))
-        apart = order[: max(len(texts) // 6, 1)]
-        train = order[len(apart) :] if len(texts) > 1 else order
+        order = rng.permutation(len(names))
+        apart = order[: max(len(names) // 6, 1)]
+        train = order[len(apart) :] if len(names) > 1 else order
         e = rng.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32)
         w = np.zeros((DIMENSIONS, len(self.names)), np.float32)
         bias = np.zeros(len(self.names), np.float32)
-
-        def gathered(rows):
-            of, bucket = features([texts[k] for k in rows])
-            return bucket, of, np.maximum(np.bincount(of, minlength=len(rows)), 1).astype(np.float32)
-
         epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(train)))
         steps, done = epochs * -(-len(train) // BATCH), 0
         for _ in range(epochs):
             rng.shuffle(train)
             for k in range(0, len(train), BATCH):
                 rows = train[k : k + BATCH]
-                b, of, n = gathered(rows)
-                mean = np.zeros((len(rows), DIMENSIONS), np.float32)
-                np.add.at(mean, of, e[b])
-                mean /= n[:, None]
+                b, share, first = bags.some(rows)
+                mean = np.add.reduceat(e[b] * share[:, None], first, axis=0)
                 p = softmax(mean @ w + bias)
                 p[np.arange(len(rows)), y[rows]] -= 1
                 rate = RATE * (1 - done / steps)
-                back = (p @ w.T) / n[:, None]
+                back = p @ w.T
                 w -= rate * mean.T @ p / len(rows) * 8
                 bias -= rate * p.mean(0)
-                np.add.at(e, b, -rate * 4 * back[of])
+                of = np.repeat(np.arange(len(rows)), np.diff(np.append(first, len(b))))
+                for d in range(DIMENSIONS):
+                    e[:, d] -= rate * 4 * np.bincount(b, back[of, d] * share, 1 << BITS).astype(np.float32)
                 done += 1
         self.table = (e @ w).astype(np.float32)
         self.bias = bias
         self.heat, self.least = 1.0, 0.0
-        z = np.concatenate([self.scores([texts[k] for k in apart[a : a + 256]]) for a in range(0, len(apart), 256)])
+        z = np.concatenate([np.add.reduceat(self.table[b] * share[:, None], first, axis=0) + self.bias for b, share, first in (bags.some(apart[a : a + 256]) for a in range(0, len(apart), 256))])
         loss = lambda t: -np.log(softmax(z / t)[np.arange(len(apart)), y[apart]] + 1e-12).mean()
         self.heat = min(np.geomspace(0.25, 8, 60).tolist(), key=loss)
         p = softmax(z / self.heat)
@@ -109,17 +140,25 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def learned(df: DataFrame, teaches: Column, sample: int = SAMPLE) -> Model | None:
-    """A model from the rows of df (text, lang) that may teach; None if there are none."""
+    """A model from the rows of df (doc_id, text, lang) that may teach; None if there are none."""
     rows = df.where(teaches & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     if not counts:
         return None
     each = max(sample // len(counts), 1)
     chance = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))))
-    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - PASSAGE, F.lit(1)))
-    drawn = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < chance[F.col("lang")] * (1 << 30))
-    drawn = drawn.select("lang", F.substring("text", (at + 1).cast("int"), PASSAGE).alias("text")).toPandas().sort_values(["lang", "text"])
-    return Model([t.encode() for t in drawn["text"]], drawn["lang"].tolist()) if len(drawn) else None
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch)
+            for a, b in pieces(texts):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("draw", "lang")), pa.array(packed(texts[a:b]), pa.binary())], names=["draw", "lang", "bag"])
+
+    # A text with a letter holds windows, so no bag is empty. Copies with one doc_id share a draw; the limit holds for them too.
+    drawn = rows.select(F.xxhash64("doc_id", "text").alias("draw"), "lang", "text").where(F.pmod("draw", F.lit(1 << 30)) < chance[F.col("lang")] * (1 << 30))
+    drawn = drawn.mapInArrow(run, "draw long, lang string, bag binary").where("length(bag) > 0").orderBy("draw", "lang", "bag").limit(sample).toPandas()
+    return Model(Bags(drawn["bag"].to_list()), drawn["lang"].tolist()) if len(drawn) else None
 
 
 def identify(df: DataFrame, model: Model | None) -> DataFrame:

@@ -80,6 +80,46 @@ def test_language(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
 
 
+@pytest.mark.parametrize("ids", ["own", "one"])
+def test_samples_are_bounded_where_half_the_rows_are_one_text(spark, monkeypatch, ids):
+    """All copies of a text must not be drawn at once, whatever their ids."""
+    texts = spark.range(4000).select(F.when(F.col("id") < 2000, F.col("id") if ids == "own" else F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 2000, F.lit("the same text again")).otherwise(F.concat(F.lit("a text of its own with number n"), F.col("id").cast("string"))).alias("text"))
+    sizes = {"language": [], "toxicity": []}
+    bags, fit = language.Bags.__init__, toxicity.Model.fit
+    monkeypatch.setattr(language.Bags, "__init__", lambda self, rows: (sizes["language"].append(len(rows)), bags(self, rows))[1])
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, bucket, at, y, importance: (sizes["toxicity"].append(len(y)), fit(self, bucket, at, y, importance))[1])
+    language.learned(texts.withColumn("lang", F.lit("en")), F.lit(True), sample=100)
+    toxicity.learned(texts, texts.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).distinct(), F.lit(True), sample=100)
+    assert 20 <= sizes["language"][0] <= 100 and 20 <= sizes["toxicity"][0] <= 200
+
+
+def test_language_bags_hold_the_whole_text():
+    texts = [("x" * 600 + " the cat ").encode() * 3, b"y"]
+    of, bucket = language.features(texts)
+    bags = language.Bags(language.packed(texts))
+    b, share, first = bags.some(np.array([0, 1]))
+    n = np.bincount(bucket[of == 0], minlength=1 << language.BITS)
+    got = np.bincount(b[: first[1]], share[: first[1]], 1 << language.BITS)
+    assert got == pytest.approx(n / n.sum()) and share[first[1] :].sum() == pytest.approx(1)
+
+
+def auc(y, s):
+    order = np.argsort(s, kind="stable")
+    rank = np.empty(len(s))
+    rank[order] = np.arange(len(s))
+    return (rank[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum()
+
+
+def test_toxicity_of_documents_held_out(spark):
+    """The registered query on `documents`: rows apart from training, as `labels` marks them."""
+    got = registry.queries()["op7_toxicity"](spark, SF)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    got = got.toPandas()
+    assert got.held_out.tolist() == [zlib.crc32(str(k).encode()) % 4 == 2 for k in got.doc_id] and got.predicted.tolist() == (got.score >= 0.3).astype(int).tolist()
+    held = got.merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id").query("held_out and toxic == toxic")
+    assert auc(held.toxic.to_numpy(), held.score.to_numpy()) > 0.9
+
+
 def test_language_of_awkward_texts(spark):
     rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 20)] + [(100, None, None), (101, "", "en"), (102, "123 !?", "fr"), (103, "chat", None), (None, "the dog", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
