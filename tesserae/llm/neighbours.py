@@ -1,18 +1,26 @@
 """Operator 4: approximate nearest neighbours by cross-polytope hashing.
 
-The nearest are those of the largest inner product. Norms are told apart by bands, BANDS to each doubling. Bands of up to BLOCK rows,
-such as outliers and the largest norms, are hashed nowhere: every query visits all their rows. The rows of other bands are
-indexed by their direction, which doesn't depend on the norms of others: each table turns it by a pseudo-random rotation (three
-rounds of random signs and a fast Hadamard transform) and assigns the row to the nearest signed axis. A query probes, in each table,
-the PROBES axes nearest to it. All candidates found so are ranked exactly, by the inner product of the original vectors in double
-precision, ties by the smaller id. A query that finds fewer than k is answered by an exact pass over all rows.
+The nearest are those of the largest inner product. Equal vectors are one node, with the k + 1 smallest of their ids, as no other id of
+theirs can be an answer; so a vector that is repeated however often costs nothing.
 
-A bucket with more than BLOCK candidates is split; its queries visit every part, and the parts' best are merged. No candidate
-is left out. The index holds every row; nothing is fitted.
+Index. Each of TABLES tables turns a node's direction by pseudo-random rotations (three rounds of random signs and a fast Hadamard
+transform) and takes the nearest signed axis of two or more of them side by side as its bucket. The number of axes grows with the table, so that a
+bucket holds about LOAD nodes at every size. Only ids are stored in the index.
+
+Norms are told apart by bands, BANDS to each doubling. Bands of up to BLOCK nodes, such as outliers and the largest norms, are not
+hashed: every query visits all their nodes. So one large norm changes nothing for the rest.
+
+Search. A query probes, in each table, the buckets whose axes lie nearest to it, in the order of what their coordinates lack to the nearest
+ones. A node found in enough tables is a candidate; pairs of query and candidate are made distinct before a vector is read,
+and all candidates are ranked exactly, by the inner product of the original vectors in double precision, ties by the smaller id.
+
+Recall is measured on each input: TRIED queries (a bounded sample, by a hash of the id) are answered exactly, and SEEN nodes (another) tell
+what share of the index a setting reads. Of all numbers of probes and of tables asked for that find AIM of the true neighbours, the
+cheapest is taken. If none does, all queries are answered by an exact pass in blocks. So is any query that finds fewer than k.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows with a null id or a vector of another length
 than most. Rows that share an id are all candidates (a query never finds its own id, and an id is returned once, with its best score);
-as queries they count once, with the smallest vector. Without rows the result is empty.
+as queries they count once, with the smallest vector. Very long vectors are like others. Other columns are ignored. Without rows the result is empty.
 """
 
 from __future__ import annotations
@@ -22,62 +30,79 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, stored
 
-TABLES, PROBES, BLOCK, BANDS, SEED = 16, 16, 4096, 2, 11
-EVERYWHERE = -1  # the place of rows that every query visits
+TABLES, LOAD, BLOCK, BANDS, SEED = 32, 3, 4096, 2, 11
+TRIED, SEEN, AIM, MOST_PROBES, MOST_VOTES, DEARER = 64, 2000, 0.93, 4096, 4, 24
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row; the width is a power of two."""
-    width, h = x.shape[1], 1
-    while h < width:
+def hadamard(x: np.ndarray) -> None:
+    """Fast Walsh-Hadamard transform of each row, in place; the width is a power of two."""
+    h = 1
+    while h < x.shape[1]:
         y = x.reshape(len(x), -1, 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(len(x), width)
+        a, b = y[:, :, 0], y[:, :, 1]
+        total = a + b
+        np.subtract(a, b, out=b)
+        a[...] = total
         h *= 2
-    return x / np.sqrt(width)
+    x /= np.sqrt(x.shape[1], dtype=x.dtype)
 
 
-def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
-    rng = np.random.default_rng([seed, table])
+def rotated(x: np.ndarray, table: int, turn: int, seed: int = SEED) -> np.ndarray:
+    rng = np.random.default_rng([seed, table, turn])
+    x = x.copy()
     for _ in range(3):
-        x = hadamard(x * rng.choice([-1.0, 1.0], x.shape[1]))
+        x *= rng.choice(np.array([-1, 1], x.dtype), x.shape[1])
+        hadamard(x)
     return x
 
 
 def directions(x: np.ndarray) -> np.ndarray:
-    """Unit vectors, with zeros up to a width of a power of two."""
-    out = np.zeros((len(x), 1 << int(np.ceil(np.log2(x.shape[1] + 1)))))
+    """Unit vectors, with zeros up to a width of a power of two; scaled first, so that no square overflows."""
+    out = np.zeros((len(x), 1 << int(np.ceil(np.log2(max(x.shape[1], 2))))), np.float32)
+    x = x / np.abs(x).max(1, keepdims=True)
     out[:, : x.shape[1]] = x / np.sqrt((x * x).sum(1, keepdims=True))
     return out
 
 
-def nearest_axes(y: np.ndarray, n: int) -> np.ndarray:
-    """The n signed axes nearest to each row: 2 * axis, and 1 more for the negative side."""
-    sides = np.empty((len(y), 2 * y.shape[1]))
-    sides[:, ::2], sides[:, 1::2] = y, -y
-    if n == 1:
-        return sides.argmax(1)[:, None]
-    return np.argpartition(-sides, n - 1, axis=1)[:, :n]
+def widths(nodes: int, width: int) -> list[int]:
+    """How many axes each polytope of a table has: all, but the last fewer, so that buckets hold about LOAD nodes; two or more."""
+    out, left = [], max(nodes / LOAD, 4)
+    while left > 2 * width:
+        out.append(width)
+        left /= 2 * width
+    out.append(min(width, 1 << max(int(np.round(np.log2(left / 2))), 0)))
+    return out if len(out) > 1 else [max(out[0] // 2, 1), 2]
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products, summed component by component, so that equal vectors have equal scores wherever they stand."""
-    out = np.zeros((len(q), len(x)))
-    for k in range(q.shape[1]):
-        out += q[:, k, None] * x[None, :, k]
-    return out
+def sided(x: np.ndarray, table: int, axes: list[int]) -> list[np.ndarray]:
+    """Coordinates along the signed axes of each polytope of a table."""
+    turned = [rotated(x, table, k)[:, :n] for k, n in enumerate(axes)]
+    return [np.concatenate([y, -y], 1) for y in turned]
+
+
+def buckets(x: np.ndarray, table: int, axes: list[int]) -> np.ndarray:
+    code = np.zeros(len(x), np.int64)
+    for y in sided(x, table, axes):
+        code = code * y.shape[1] + y.argmax(1)
+    return code * TABLES + table
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k best of each row; all that tie with the last come before ids decide."""
-    rows, columns = [], []
-    for r, s in enumerate(scores):
-        some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-        some = some[np.lexsort((ids[some], -s[some]))][:k]
-        rows.append(np.full(len(some), r))
-        columns.append(some)
-    return np.concatenate(rows), np.concatenate(columns)
+def probed_buckets(x: np.ndarray, table: int, axes: list[int], probes: int) -> np.ndarray:
+    """The buckets nearest to each row, by the sum over polytopes of what their coordinates lack to the largest; nearest first."""
+    code, lack = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
+    for y in sided(x, table, axes):
+        order = np.argsort(-y, axis=1, kind="stable")[:, : min(probes, y.shape[1])]
+        own = np.take_along_axis(y, order, 1)
+        both = (lack[:, :, None] + (own[:, :1] - own)[:, None, :]).reshape(len(x), -1)
+        codes = (code[:, :, None] * y.shape[1] + order[:, None, :]).reshape(len(x), -1)
+        n = min(probes, both.shape[1])
+        best = np.argpartition(both, n - 1, axis=1)[:, :n]
+        code, lack = np.take_along_axis(codes, best, 1), np.take_along_axis(both, best, 1)
+        order = np.argsort(lack, axis=1, kind="stable")
+        code, lack = np.take_along_axis(code, order, 1), np.take_along_axis(lack, order, 1)
+    return code * TABLES + table
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -85,85 +110,166 @@ def usable(df: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).where(fine)
-    widths = rows.groupBy(F.size("vector").alias("width")).count()
-    usual = widths.agg(F.max_by("width", F.struct("count", "width")).alias("usual"))
+    sizes = rows.groupBy(F.size("vector").alias("width")).count()
+    usual = sizes.agg(F.max_by("width", F.struct("count", "width")).alias("usual"))
     return rows.join(F.broadcast(usual), F.size("vector") == F.col("usual")).drop("usual")
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest found for each row of df (vec_id, embedding) that is_query holds for."""
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+def nodes_of(rows: DataFrame, k: int) -> DataFrame:
+    """node, vector, ids (the k + 1 smallest, sorted), band: the distinct vectors of rows (vec_id, vector)."""
+    order = Window.partitionBy("vector").orderBy("vec_id")
+    kept = rows.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    nodes = kept.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    most = F.array_max(F.transform("vector", F.abs))
+    norm = F.log2(most) + F.log2(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x / most * (x / most))) / 2
     # The quarter keeps equal norms that are powers of two, and differ by rounding, off the edge of a band.
-    rows = stored(usable(df).withColumn("band", F.floor(F.log2(norm) * BANDS + 0.25)), "vectors")
-    hashed = [r.band for r in rows.groupBy("band").count().where(F.col("count") > BLOCK).collect()]
-    few = ~F.col("band").isin(hashed)
-    rows, schema = rows.withColumn("few", few).drop("band"), "place long, vec_id long, vector array<double>"
+    return nodes.select(F.monotonically_increasing_id().alias("node"), "vector", "ids", F.floor(norm * BANDS + 0.25).alias("band"))
+
+
+def ranked(k: int):
+    """For cogroups: the k best ids of each query among nodes (node, vector, ids); a query names its candidates or, with none, means all."""
+
+    def run(nodes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
+        if len(nodes) and len(queries):
+            nodes = nodes.sort_values("node")
+            x, names, ids = np.stack(nodes.vector.to_list()), nodes.node.to_numpy(), nodes.ids.to_list()
+            for query, q, some in zip(queries.query_id, queries.vector, queries.some, strict=True):
+                at = np.arange(len(x)) if some is None else np.searchsorted(names, np.sort(some))
+                score = (x[at] * q).sum(1)  # row by row in one order, so that equal vectors have equal scores wherever they stand
+                if len(at) > k + 1:
+                    best = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                    at, score = at[best], score[best]
+                own = [ids[a] for a in at.tolist()]
+                vec, score = np.concatenate(own), np.repeat(score, [len(i) for i in own])
+                score, vec = score[vec != query], vec[vec != query]
+                order = np.lexsort((vec, -score))[: 2 * k]
+                for name, value in (("query_id", np.full(len(order), query)), ("vec_id", vec[order]), ("score", score[order])):
+                    out[name].append(value)
+        return pd.DataFrame({name: np.concatenate(values) for name, values in out.items()})
+
+    return run
+
+
+def answered(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: nodes and asked (query_id, vector, some) are dealt by part, of BLOCK nodes at most or about so."""
+    found = nodes.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(ranked(k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def in_parts(nodes: DataFrame, parts: int) -> DataFrame:
+    return nodes.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
+
+
+def everywhere(queries: DataFrame, parts: int) -> DataFrame:
+    """Queries that visit all parts and all nodes in them."""
+    return queries.select("query_id", "vector", F.lit(None).cast("array<bigint>").alias("some"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+
+def exact(nodes: DataFrame, n: int, queries: DataFrame, k: int) -> DataFrame:
+    """The answers to queries (query_id, vector) by an exact pass over all n nodes, in blocks."""
+    parts = n // BLOCK + 1
+    return answered(in_parts(nodes, parts), everywhere(queries, parts), k)
+
+
+def places_in_probes(q: np.ndarray, x: np.ndarray, axes: list[int]) -> np.ndarray:
+    """By table, query and node: how many buckets a query probes before the node's own; MOST_PROBES if it doesn't come to it."""
+    out = np.full((TABLES, len(q), len(x)), MOST_PROBES, np.int16)
+    for t in range(TABLES):
+        codes, own = probed_buckets(q, t, axes, MOST_PROBES), buckets(x, t, axes)
+        for r, code in enumerate(codes):
+            order = np.argsort(code)
+            at = order[np.minimum(np.searchsorted(code, own, sorter=order), len(order) - 1)]
+            out[t, r] = np.where(code[at] == own, at, MOST_PROBES)
+    return out
 
-    def axes_of(vectors, n):
-        unit = directions(np.stack(vectors.to_list()))
-        for t in range(tables):
-            yield t << 16 | nearest_axes(rotated(unit, t), min(n, 2 * unit.shape[1]))
+
+def probes_needed(nodes: DataFrame, n: int, hashed: DataFrame, queries: DataFrame, axes: list[int], k: int) -> tuple[int, int] | None:
+    """The cheapest probes and votes that find AIM of the true neighbours of TRIED queries, as far as these are hashed; None if none do.
+
+    A bucket probed costs as much as a node met in one; a candidate, whose vector is read, as much as DEARER.
+    """
+    tried = stored(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED), "tried")
+    true = exact(nodes, n, tried, k).select("query_id", "vec_id")
+    near = hashed.select("node", "vector", F.explode("ids").alias("vec_id")).join(F.broadcast(true), "vec_id").select("query_id", F.col("vector").alias("near"))
+    pairs, asked = near.toPandas(), tried.toPandas()  # TRIED queries and k for each, however large the table is
+    some = hashed.orderBy(F.xxhash64("node"), "node").limit(SEEN).select("vector").toPandas()
+    removed(tried)
+    q, of = directions(np.stack(asked.vector.to_list())), {x: r for r, x in enumerate(asked.query_id)}
+    other = places_in_probes(q, directions(np.stack(some.vector.to_list())), axes)
+    if len(pairs):
+        rows = pairs.query_id.map(of).to_numpy()
+        x = directions(np.stack(pairs.near.to_list()))
+        place = np.empty((TABLES, len(pairs)), np.int16)
+        for r in range(len(q)):
+            if len(own := np.flatnonzero(rows == r)):
+                place[:, own] = places_in_probes(q[r : r + 1], x[own], axes)[:, 0]
+        place.sort(axis=0)
+    best = None
+    for e in range(4 * MOST_PROBES.bit_length() - 3):
+        probes = int(2 ** (e / 4))
+        met = (other < probes).sum(0)
+        for votes in range(1, MOST_VOTES + 1):
+            if not len(pairs) or (place[votes - 1] < probes).mean() >= AIM:
+                cost = TABLES * probes / n + met.mean() + DEARER * (met >= votes).mean()
+                best = min(best, (cost, probes, votes)) if best else (cost, probes, votes)
+    return best and best[1:]
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest found for each row of df (vec_id, embedding) that is_query holds for."""
+    rows = stored(usable(df), "vectors")
+    queries = stored(rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector")), "queries")
+    nodes = stored(nodes_of(rows, k), "nodes")
+    removed(rows)
+    sizes = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # two a doubling, so some 4,000 at most
+    n, bands = sum(sizes.values()), [band for band, size in sizes.items() if size > BLOCK]
+    if not bands:
+        return exact(nodes, n, queries, k)
+    hashed, few = nodes.where(F.col("band").isin(bands)), nodes.where(~F.col("band").isin(bands))
+    n_hashed = sum(sizes[band] for band in bands)
+    width = 1 << int(np.ceil(np.log2(max(len(hashed.first().vector), 2))))
+    axes = widths(n_hashed, width)
+    setting = probes_needed(nodes, n, hashed, queries, axes, k)
+    if setting is None:
+        return exact(nodes, n, queries, k)
+    probes, votes = setting
 
     def placed(batches):
         for pdf in batches:
-            for axes in axes_of(pdf.vector, 1):
-                yield pd.DataFrame({"place": axes[:, 0], "vec_id": pdf.vec_id, "vector": pdf.vector})
+            for a in range(0, len(pdf), 4096):
+                some = pdf[a : a + 4096]
+                x, node = directions(np.stack(some.vector.to_list())), some.node.to_numpy()
+                for t in range(TABLES):
+                    yield pd.DataFrame({"place": buckets(x, t, axes), "node": node})
 
     def probed(batches):
         for pdf in batches:
-            for axes in axes_of(pdf.vector, probes):
-                n = axes.shape[1]
-                yield pd.DataFrame({"place": axes.reshape(-1), "vec_id": np.repeat(pdf.vec_id.to_numpy(), n), "vector": [v for v in pdf.vector for _ in range(n)]})
-
-    queries = stored(rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    index = rows.where("few").select(F.lit(EVERYWHERE).cast("long").alias("place"), "vec_id", "vector")
-    asked = queries.select(F.lit(EVERYWHERE).cast("long").alias("place"), "vec_id", "vector")
-    if hashed:
-        index = index.unionAll(rows.where("not few").select("vec_id", "vector").mapInPandas(placed, schema))
-        asked = asked.unionAll(queries.mapInPandas(probed, schema))
-    index = stored(index, "index")
-    # Of a bucket, which are tables * axes at most in number, how many parts it takes.
-    parts = index.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    index = index.join(F.broadcast(parts), "place").withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).cast("int")).drop("parts")
-    asked = asked.join(F.broadcast(parts), "place").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def ranked(candidates, queries):
-        if not len(candidates) or not len(queries):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        candidates = candidates.sort_values("vec_id", kind="stable")
-        x, ids = np.stack(candidates.vector.to_list()), candidates.vec_id.to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        out = []
-        for a in range(0, len(queries), 128):
-            some = queries.iloc[a : a + 128]
-            scores = products(np.stack(some.vector.to_list()), x)
-            own = some.vec_id.to_numpy()
-            scores = np.maximum.reduceat(scores, first, axis=1)  # an id counts once
-            scores[own[:, None] == ids[None, first]] = -np.inf
-            r, c = best(scores, ids[first], k)
-            out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[first][c], "score": scores[r, c]}))
-        out = pd.concat(out)
-        return out[out.score > -np.inf]
-
-    def answered(index, asked):
-        keys = ["place", "part"]
-        found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(ranked, "query_id long, vec_id long, score double")
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
-
-    found = answered(index, asked)
-    if not hashed:
-        return found
-    found = stored(found, "found")
-    enough = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    short = stored(queries.join(enough, "vec_id", "left_anti"), "short")
+            for a in range(0, len(pdf), 256):
+                some = pdf[a : a + 256]
+                x = directions(np.stack(some.vector.to_list()))
+                for t in range(TABLES):
+                    places = probed_buckets(x, t, axes, probes)
+                    yield pd.DataFrame({"place": places.reshape(-1), "query_id": np.repeat(some.query_id.to_numpy(), places.shape[1])})
+
+    index = hashed.select("node", "vector").mapInPandas(placed, "place long, node long")
+    spread = queries.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    asked = spread.mapInPandas(probed, "place long, query_id long")
+    pairs = index.join(asked, "place").groupBy("query_id", "node").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+    # Parts of hashed nodes come first, then those of the small bands, where every query goes.
+    parts, more = n_hashed // BLOCK + 1, (n - n_hashed) // BLOCK + 1
+    named = in_parts(pairs, parts).groupBy("query_id", "part").agg(F.collect_list("node").alias("some"))
+    named = named.join(queries, "query_id").select("query_id", "vector", "some", "part")
+    visits = named.unionByName(everywhere(queries, more).withColumn("part", F.col("part") + parts))
+    dealt = in_parts(hashed, parts).unionByName(in_parts(few, more).withColumn("part", F.col("part") + parts))
+    found = stored(answered(dealt, visits, k), "found")
+    enough = found.where(F.col("rank") == min(k, n - 1)).select("query_id")
+    short = stored(queries.join(enough, "query_id", "left_anti"), "short")
     if short.isEmpty():
         return found
-    blocks = rows.count() // BLOCK + 1
-    everything = rows.select(F.lit(EVERYWHERE).cast("long").alias("place"), "vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("part"))
-    asked = short.select(F.lit(EVERYWHERE).cast("long").alias("place"), "vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    return found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id").select(found.columns).unionAll(answered(everything, asked))
+    return found.join(enough, "query_id", "left_semi").unionByName(exact(nodes, n, short, k))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,17 +34,52 @@ def test_neighbours_recall(spark):
 def test_neighbours_of_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [-1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 1.0]), (20, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, probes=256).orderBy("query_id", "rank").collect()
+    got = neighbours.nearest(df.withColumn("score", F.lit("clash")), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.vec_id, r.score) for r in got if r.query_id == 0] == [(2, 2.0), (1, 1.0), (20, 0.0), (8, -1.0)]
     assert [r.vec_id for r in got if r.query_id == 20] == [0, 1, 2, 8]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_buckets_that_are_split_lose_nothing(spark, monkeypatch):
+def test_equal_vectors_are_one_node(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 7)
     df = spark.createDataFrame([(k, [1.0, 0.5]) for k in range(60)], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") == 40).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(20))
+    got = neighbours.nearest(df, F.col("vec_id") == 3).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [k for k in range(21) if k != 3]
+    nodes = neighbours.nodes_of(df.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), 20).collect()
+    assert len(nodes) == 1 and nodes[0].ids == list(range(21))
+
+
+@pytest.mark.parametrize(("clusters", "outlier"), [(False, 1), (True, 10)])
+def test_the_index_reads_a_small_part_of_the_table(spark, monkeypatch, clusters, outlier):
+    """20,000 vectors: under 5 % of them are candidates, and recall is 0.9 or more."""
+    settings, n = [], 20_000
+    needed = neighbours.probes_needed
+    monkeypatch.setattr(neighbours, "probes_needed", lambda *a: settings.append((needed(*a), a[4])) or settings[-1][0])
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, 64)) + (rng.normal(size=(10, 64))[np.arange(n) % 10] if clusters else 0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[777] *= outlier
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 400 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("found")).collect()
+    assert len(got) == 50 and np.mean([len(set(best_of(np.arange(n), x, r.query_id)) & set(r.found)) for r in got]) >= 0.9 * 20
+    ((probes, votes), axes), unit, asked = settings[0], neighbours.directions(x), np.arange(0, n, 400)
+    seen = np.zeros((len(asked), n), np.int16)
+    for t in range(neighbours.TABLES):
+        own, near = neighbours.buckets(unit, t, axes), neighbours.probed_buckets(unit[asked], t, axes, probes)
+        for r in range(len(asked)):
+            seen[r] += np.isin(own, near[r])
+    assert (seen >= votes).mean() < 0.05
+
+
+def test_buckets_hold_about_as_many_nodes_at_every_size():
+    for n in (10_000, 1_000_000, 1_000_000_000):
+        axes = neighbours.widths(n, 64)
+        assert len(axes) >= 2 and 1 <= n / np.prod([2.0 * a for a in axes]) <= 8
+    x = np.random.default_rng(1).normal(size=(5, 64)).astype(np.float32)
+    for axes in ([64, 8], [64, 64, 2]):
+        assert (neighbours.probed_buckets(x, 3, axes, 4)[:, 0] == neighbours.buckets(x, 3, axes)).all()
 
 
 def best_of(ids, x, q):
@@ -71,7 +106,7 @@ def test_neighbours_of_a_small_table_are_all(spark, monkeypatch, block):
     x = np.random.default_rng(5).normal(size=(15, 64))
     x[:8] = -x[:1]  # far from the others
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(3, x[3].tolist())] * 30, "vec_id long, embedding array<double>")
-    got = neighbours.nearest(df, F.col("vec_id") == 0, probes=1, tables=2).orderBy("rank").collect()
+    got = neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in got] == best_of(np.arange(15), x, 0)
 
 
