@@ -26,23 +26,27 @@ SIZES, BITS, SAMPLE = (4, 5, 6), 20, 4_000
 SMOOTHING, SURE, EPOCHS, BATCH, RATE, PENALTY, LIMIT = 1.0, 10.0, 12, 64, 0.2, 1e-4, 0.3
 
 
-def held(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket, once for each bucket that a text holds; of the buckets in keep only."""
+_mark = np.zeros(1 << BITS, np.int32)
+
+
+def held(texts: list[bytes]) -> list[np.ndarray]:
+    """The buckets that each text holds, once each. Of equal ones that is kept whose place the table of marks holds last, so nothing is sorted."""
     buf, begins = letter_buffer(texts)
-    pairs = [np.zeros(0, np.int64)]
-    for at, bucket in windows(buf, SIZES, BITS):
-        if keep is not None:
-            some = keep[bucket]
-            at, bucket = at[some], bucket[some]
-        doc = np.maximum(np.searchsorted(begins, at, side="right") - 1, 0)
-        pairs.append(doc << BITS | bucket)
-    pairs = np.unique(np.concatenate(pairs))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    found = [(bucket, np.searchsorted(at, begins).tolist()) for at, bucket in windows(buf, SIZES, BITS)]
+    for _, edges in found:
+        edges[0] = 0
+    out = []
+    for k in range(len(texts)):
+        own = np.concatenate([bucket[edges[k] : edges[k + 1]] for bucket, edges in found]) if found else np.zeros(0, np.int64)
+        place = np.arange(len(own), dtype=np.int32)
+        _mark[own] = place
+        out.append(own[_mark[own] == place])
+    return out
 
 
 class Model:
     def __init__(self, scale: np.ndarray) -> None:
-        self.scale, self.weight, self.bias, self.keep = scale.astype(np.float32), np.zeros(len(scale), np.float32), 0.0, None
+        self.scale, self.weight, self.bias = scale.astype(np.float32), np.zeros(len(scale), np.float32), 0.0
 
     def fit(self, bucket: np.ndarray, at: np.ndarray, y: np.ndarray, importance: np.ndarray, seed: int = 3) -> None:
         """bucket: of all texts, one after the other; those of text k from at[k] to at[k + 1]. Adagrad over small batches; the last half's weights are averaged."""
@@ -68,11 +72,10 @@ class Model:
             if 2 * epoch >= EPOCHS:
                 mean, b_mean, taken = mean + w, b_mean + b, taken + 1
         self.weight = (mean / taken).astype(np.float32) * self.scale
-        self.bias, self.keep = b_mean / taken, self.weight != 0
+        self.bias = b_mean / taken
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        doc, bucket = held(texts, self.keep)
-        z = np.bincount(doc, self.weight[bucket], len(texts)) + self.bias
+        z = np.array([self.weight[own].sum(dtype=np.float64) for own in held(texts)]) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -87,10 +90,8 @@ def learned(df: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAM
         for batch in batches:
             texts, toxic = texts_of(batch), np.array(batch.column("toxic").to_pylist())
             for a, b in pieces(texts):
-                doc, bucket = held(texts[a:b])
-                of = toxic[a:b][doc] == 1
-                total[0] += np.bincount(bucket[of], minlength=1 << BITS).astype(np.int32)
-                total[1] += np.bincount(bucket[~of], minlength=1 << BITS).astype(np.int32)
+                for own, t in zip(held(texts[a:b]), toxic[a:b].tolist(), strict=True):
+                    total[0 if t == 1 else 1][own] += 1
         some = np.flatnonzero(total.any(0))
         for k in range(0, len(some), 1 << 16):
             cut = some[k : k + (1 << 16)]
@@ -111,14 +112,12 @@ def learned(df: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAM
         for batch in batches:
             texts = texts_of(batch)
             for a, b in pieces(texts):
-                doc, bucket = held(texts[a:b])
-                raw, edges = bucket.astype("<u4").tobytes(), (4 * np.searchsorted(doc, np.arange(b - a + 1))).tolist()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("draw", "toxic")), pa.array([raw[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["draw", "toxic", "buckets"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("draw", "toxic")), pa.array([own.astype("<u4").tobytes() for own in held(texts[a:b])], pa.binary())], names=["draw", "toxic", "buckets"])
 
     drawn = []
     for toxic, n in ((1, n1), (0, n0)):
         some = rows.where((F.col("toxic") == 1) == F.lit(toxic == 1)).select("draw", F.lit(toxic).alias("toxic"), "text").where(F.pmod("draw", F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30))
-        drawn.append(some.mapInArrow(listed, "draw long, toxic int, buckets binary").orderBy("draw", "buckets").limit(sample).toPandas())
+        drawn.append(some.mapInArrow(listed, "draw long, toxic int, buckets binary").orderBy("draw").limit(sample).toPandas())
     removed(rows)
     shuffles_freed(df.sparkSession)
     if not all(map(len, drawn)):
