@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import removed, stored
 
 TABLES, LOAD, BLOCK, BANDS, SEED = 32, 3, 4096, 2, 11
-TRIED, SEEN, AIM, MOST_PROBES, MOST_VOTES, DEARER = 64, 2000, 0.93, 4096, 4, 24
+TRIED, SEEN, AIM, MOST_PROBES, MOST_VOTES, DEARER = 64, 2000, 0.93, 4096, 3, 16
 
 
 def hadamard(x: np.ndarray) -> None:
@@ -68,12 +68,9 @@ def directions(x: np.ndarray) -> np.ndarray:
 
 def widths(nodes: int, width: int) -> list[int]:
     """How many axes each polytope of a table has: all, but the last fewer, so that buckets hold about LOAD nodes; two or more."""
-    out, left = [], max(nodes / LOAD, 4)
-    while left > 2 * width:
-        out.append(width)
-        left /= 2 * width
-    out.append(min(width, 1 << max(int(np.round(np.log2(left / 2))), 0)))
-    return out if len(out) > 1 else [max(out[0] // 2, 1), 2]
+    bits, whole = max(int(np.round(np.log2(max(nodes, 1) / LOAD))), 2), int(np.log2(2 * width))
+    out = [width] * (bits // whole) + ([1 << bits % whole - 1] if bits % whole else [])
+    return out if len(out) > 1 else [1 << bits - 2, 1]
 
 
 def sided(x: np.ndarray, table: int, axes: list[int]) -> list[np.ndarray]:
@@ -95,8 +92,9 @@ def probed_buckets(x: np.ndarray, table: int, axes: list[int], probes: int) -> n
     for y in sided(x, table, axes):
         order = np.argsort(-y, axis=1, kind="stable")[:, : min(probes, y.shape[1])]
         own = np.take_along_axis(y, order, 1)
-        both = (lack[:, :, None] + (own[:, :1] - own)[:, None, :]).reshape(len(x), -1)
-        codes = (code[:, :, None] * y.shape[1] + order[:, None, :]).reshape(len(x), -1)
+        # Both lists are in order, so the pair of places i and j can be among the nearest only if no more than that many pairs are before it.
+        i, j = np.nonzero(np.outer(np.arange(1, lack.shape[1] + 1), np.arange(1, own.shape[1] + 1)) <= probes)
+        both, codes = lack[:, i] + (own[:, :1] - own)[:, j], code[:, i] * y.shape[1] + order[:, j]
         n = min(probes, both.shape[1])
         best = np.argpartition(both, n - 1, axis=1)[:, :n]
         code, lack = np.take_along_axis(codes, best, 1), np.take_along_axis(both, best, 1)
@@ -197,16 +195,11 @@ def probes_needed(nodes: DataFrame, n: int, hashed: DataFrame, queries: DataFram
     pairs, asked = near.toPandas(), tried.toPandas()  # TRIED queries and k for each, however large the table is
     some = hashed.orderBy(F.xxhash64("node"), "node").limit(SEEN).select("vector").toPandas()
     removed(tried)
-    q, of = directions(np.stack(asked.vector.to_list())), {x: r for r, x in enumerate(asked.query_id)}
-    other = places_in_probes(q, directions(np.stack(some.vector.to_list())), axes)
-    if len(pairs):
-        rows = pairs.query_id.map(of).to_numpy()
-        x = directions(np.stack(pairs.near.to_list()))
-        place = np.empty((TABLES, len(pairs)), np.int16)
-        for r in range(len(q)):
-            if len(own := np.flatnonzero(rows == r)):
-                place[:, own] = places_in_probes(q[r : r + 1], x[own], axes)[:, 0]
-        place.sort(axis=0)
+    of = {x: r for r, x in enumerate(asked.query_id)}
+    q, x = (directions(np.stack(v)) for v in (asked.vector.to_list(), [*some.vector, *pairs.near]))
+    place = places_in_probes(q, x, axes)
+    other, place = place[:, :, : len(some)], place[:, pairs.query_id.map(of).to_numpy(np.int64), len(some) + np.arange(len(pairs))]
+    place.sort(axis=0)
     best = None
     for e in range(4 * MOST_PROBES.bit_length() - 3):
         probes = int(2 ** (e / 4))
