@@ -8,14 +8,19 @@ link when 100 * intersection >= 75 * union, so a text of n shingles links only w
    spare a text wrongly; everything after compares 64 bits.)
 2. Texts that remain, one for each distinct set, get inverted lists (shingle -> texts). DivideSkip: a text's shingles are
    ordered by the length of their lists; only the shortest n - T + 1, of which a partner must share one, are merged (by Spark's
-   shuffle); the long rest is never merged but probed by binary search in the candidate's sorted set.
+   shuffle), and the merge counts in how many lists a pair occurs; the long rest is never merged. A pair whose occurrences and long lists
+   together can't reach the overlap is done; for the others the long lists are probed by binary search in the candidate's sorted set.
 3. In LEADERS rounds one text of each merged list is held against the others, and links join components. Lists whose texts are not all
-   joined by then are merged whole, for pairs of blocks of texts, into counts of shared shingles; only texts that reach the
+   joined by then are merged whole, for pairs of blocks of texts that share a list, into counts of shared shingles; only texts that reach the
    required overlap leave a block. So no pair within a group is ever a row, and no group has to fit into one task.
 
-Shingles and sets are told apart by 64-bit hashes. Null and empty texts have an empty set and link with nothing. A row with a null
-doc_id takes part in no link and has a null component_id. Rows that share a doc_id are texts of their own with the same name;
-repeated rows are returned as often as they come. Other columns are ignored.
+A key with a large share of the rows, such as the shingle of a very common passage, the head of its list or the label of a large
+component, is not dealt to one task: there are few such keys by their definition, and what they are joined with is broadcast.
+
+Shingles are told apart by 64-bit hashes, which can move a count by one for one pair in some billions; equal sets by 128 bits. Null and empty texts
+have an empty set and link with nothing. Very long texts are like others. A row with a null doc_id takes part in no link and has a null
+component_id. Rows that share a doc_id are texts of their own with the same name; repeated rows are returned as often as they come. Other
+columns are ignored. Without rows the result is empty.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, documents, grams, hashed_words, mixed, pieces, removed, small_batches, stored, texts_of
 
-WORDS, PERCENT, LEADERS, GROUP_BLOCK = 5, 75, 3, 512
+WORDS, PERCENT, LEADERS, GROUP_BLOCK, HOT = 5, 75, 3, 512, 512
 BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_SHINGLES = 60_000, 1_000_000, 500_000
 
 
@@ -48,9 +53,21 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> int:
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set; (0, 0) if it is empty."""
+    if not len(s):
+        return 0, 0
     with np.errstate(over="ignore"):
-        return int(mixed(np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+        sums = [mixed(s ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    return tuple(mixed(np.array(sums, np.uint64)).view(np.int64).tolist())
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table that holds a key once at most; keys with over 1 / HOT of the rows, so HOT at most, meet a broadcast."""
+    n = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("times_")).where(F.col("times_") * HOT > n).select(key)
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
 
 
 def least_overlap(n: Column, percent: int) -> Column:
@@ -59,7 +76,7 @@ def least_overlap(n: Column, percent: int) -> Column:
 
 
 def sized(df: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, sig (null if empty), n, alone: how many shingles of the text no other text holds, at most."""
+    """doc_id, sig and sig2 (null if empty), n, alone: how many shingles of the text no other text holds, at most."""
     small_batches(df.sparkSession, 1024)
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -74,10 +91,11 @@ def sized(df: DataFrame, words: int, percent: int) -> DataFrame:
             nonlocal sets, ids, made
             block = context.partitionId() << 32 | made
             made += 1
-            sig = np.array([signature(s) if len(s) else 0 for s in sets], np.int64)
+            sig = [signature(s) for s in sets]
             n = np.array([len(s) for s in sets], np.int32)
-            _, own = np.unique(sig, return_index=True)  # one of equal sets speaks for all
-            own = np.sort(own)
+            twin: dict[tuple[int, int], int] = {}  # one of equal sets speaks for all
+            at = np.array([twin.setdefault(x, k) for k, x in enumerate(sig)], np.int32)
+            own = np.unique(at)
             flat = np.concatenate([sets[k] for k in own])
             of = np.repeat(own, n[own])
             order = np.argsort(flat)
@@ -86,8 +104,6 @@ def sized(df: DataFrame, words: int, percent: int) -> DataFrame:
             times = np.diff(np.append(first, len(flat)))
             twice = np.repeat(times > 1, times)
             shared = np.bincount(of[twice], minlength=len(sets)).astype(np.int32)
-            twin = dict(zip(sig[own].tolist(), own.tolist(), strict=True))
-            at = np.array([twin[x] for x in sig.tolist()], np.int32)
             info = pickle.dumps((ids, sig, n, shared, at))
             keys, whose = flat[first], np.where(times > 1, 65535, of[first]).astype("<u2")
             bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
@@ -144,11 +160,12 @@ def sized(df: DataFrame, words: int, percent: int) -> DataFrame:
         ids, sig, n, shared, at = pickle.loads(pdf.payload[pdf["info"]].iloc[0])
         more = np.frombuffer(b"".join(pdf.payload[~pdf["info"]]), "<u2")
         shared = shared + np.bincount(more, minlength=len(ids))
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "sig": sig, "n": n, "alone": n - shared[at]})
+        sig = np.array(sig, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "sig": sig[:, 0], "sig2": sig[:, 1], "n": n, "alone": n - shared[at]})
 
     sent = df.select("doc_id", "text").mapInArrow(blocks, "bucket int, block long, payload binary")
     back = sent.repartition(parts, "bucket").mapInArrow(counted, "block long, info boolean, payload binary")
-    return back.groupBy("block").applyInPandas(joined, "doc_id long, sig long, n int, alone int").withColumn("sig", F.when(F.col("n") > 0, F.col("sig")))
+    return back.groupBy("block").applyInPandas(joined, "doc_id long, sig long, sig2 long, n int, alone int").withColumns({c: F.when(F.col("n") > 0, F.col(c)) for c in ("sig", "sig2")})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -159,13 +176,15 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        after = stored(step.join(jump, step["label"] == jump["via"], "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
+        near = spread(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = stored(labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        after = stored(spread(step, jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
         removed(labels)
+        removed(step)
         labels = after.select("node", "label")
         if after.where("label <> old").isEmpty():
+            removed(both)
             return labels
 
 
@@ -185,29 +204,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in ("a", "b")], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return spread(spread(stored(pairs, "pairs"), left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def linked_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row of df (doc_id, text)."""
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(sized(df, words, percent), "sized")
-    classes = rows.where("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("node")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("alone").alias("alone"))
-    classes = stored(classes, "classes")
-    open_ = classes.where(F.col("alone") <= F.col("n") - least_overlap(F.col("n"), percent)).select(F.col("least").alias("doc_id"))
+    classes = rows.where("sig is not null and doc_id is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("alone").alias("alone"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    open_ = classes.where(F.col("alone") <= F.col("n") - least_overlap(F.col("n"), percent))
 
     def members(batches):
         for batch in batches:
             found = [s for s in shingle_sets(texts_of(batch), words) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([s.tobytes() for s in found], pa.binary()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))], names=["node", "n", "members", "shingles"])
+            sig = np.array([signature(s) for s in found], np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array([s.tobytes() for s in found], pa.binary()), lists], names=["sig", "sig2", "members", "shingles"])
 
-    found = df.join(open_.distinct(), "doc_id", "left_semi").mapInArrow(members, "node long, n int, members binary, shingles array<long>")
+    # A doc_id may name several texts, so the sets are joined by their signatures too.
+    found = df.join(open_.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(members, "sig long, sig2 long, members binary, shingles array<long>")
+    found = found.join(open_.select("sig", "sig2", "node", "n"), ["sig", "sig2"])
     found = stored(found.groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.first("shingles").alias("shingles")), "members")
     sets = found.select("node", "members")
 
     lists = found.select("node", "n", F.explode("shingles").alias("shingle"))
     length = lists.groupBy("shingle").agg(F.count("*").alias("length")).where("length > 1")
-    lists = lists.join(length, "shingle")
+    lists = spread(stored(lists, "lists"), length, "shingle")
     order = Window.partitionBy("node").orderBy("length", "shingle")
     lists = lists.select("shingle", "node", "n", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("node")).alias("shared"))
     # Shingles that no other text holds are the rarest, so they come first among the n - T + 1.
@@ -220,8 +243,11 @@ def linked_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT)
         if k < LEADERS:
             first = F.struct("n", "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
             heads = open_lists.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "shared", "at", "label"), first).alias("x"))
-            pairs = open_lists.join(heads.select("shingle", "x.*").toDF("shingle", *(f"{c}_x" for c in ("node", "n", "shared", "at", "label"))), "shingle").where(may_link(percent))
-            links = verified(pairs.select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+            heads = heads.select("shingle", "x.*").toDF("shingle", *(f"{c}_x" for c in ("node", "n", "shared", "at", "label")))
+            pairs = spread(open_lists, heads, "shingle").where(may_link(percent))
+            # The merge of short lists: in how many of them a pair occurs with this head, and whether the long ones can make up for the rest.
+            pairs = pairs.groupBy(F.col("node_x").alias("a"), F.col("node").alias("b"), "n", "n_x").agg(F.count("*").alias("met"))
+            links = verified(pairs.where(may_reach(percent)).select("a", "b"), sets, percent)
             ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
             links = links.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         else:
@@ -234,10 +260,10 @@ def linked_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     grouped = classes.join(labels, "node")
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    grouped = grouped.join(least, "label").select(F.col("node").alias("sig"), "component_id")
-    named = classes.select(F.col("node").alias("sig"), "least").join(grouped, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"))
+    grouped = grouped.join(least, "label").select("node", "component_id")
+    named = classes.select("sig", "sig2", "node", "least").join(grouped, "node", "left").select("sig", "sig2", F.coalesce("component_id", "least").alias("component_id"))
     alone = F.when(F.col("sig").isNull(), F.col("doc_id"))
-    return rows.join(named, "sig", "left").select(
+    return rows.join(named, ["sig", "sig2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)).alias("component_id")
     )
 
@@ -246,7 +272,7 @@ def several_labels(short: DataFrame, labels: DataFrame) -> DataFrame:
     """shingle, node, n, at, shared, label: the short lists whose texts are not all joined yet."""
     named = short.join(labels, "node").select("shingle", "node", "n", "at", "shared", "label")
     open_ = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
-    return stored(named.join(open_, "shingle", "left_semi"), "open-lists")
+    return stored(spread(stored(named, "named-lists"), open_, "shingle"), "open-lists")
 
 
 def merged_in_blocks(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,10 +287,14 @@ def merged_in_blocks(open_lists: DataFrame, sets: DataFrame, percent: int) -> Da
     parts = nodes.groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("parts"))
     named = open_lists.select("node", "label").distinct()
     rows = nodes.join(parts, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(named, "node").join(sets, "node")
-    rows = stored(rows.select("group", "block", "parts", "label", "members"), "groups")
+    rows = stored(rows.select("group", "block", "node", "label", "members"), "groups")
     keys = ["group", "i", "j"]
-    left = rows.select("group", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("j"), "label", "members")
-    right = rows.where("block > 0").select("group", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), "label", "members")
+    # Which blocks a list has texts in; blocks that share no list have no pair to look at.
+    places = rows.select("group", "block", "node").join(open_lists.select("shingle", "node"), "node").select("shingle", "group", "block").distinct()
+    both = places.withColumnRenamed("block", "i").join(places.withColumnRenamed("block", "j"), ["shingle", "group"]).where("i <= j").select(*keys).distinct()
+    both = stored(both, "block-pairs")
+    left = rows.join(both.withColumnRenamed("i", "block"), ["group", "block"]).select("group", F.col("block").alias("i"), "j", "label", "members")
+    right = rows.join(both.where("i < j").withColumnRenamed("j", "block"), ["group", "block"]).select(*(F.col(x).alias(y) for x, y in (("group", "group"), ("i", "i"), ("block", "j"), ("label", "label"), ("members", "members"))))
 
     def counted(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         y = y if len(y) else x
@@ -302,5 +332,15 @@ def may_link(percent: int) -> Column:
     return (F.col("label") != F.col("label_x")) & (most * (100 + percent) >= (n + m) * percent)
 
 
+def may_reach(percent: int) -> Column:
+    """Whether two texts that meet in so many short lists can share enough shingles.
+
+    Both are in the one order of all shingles. Those up to the end of the shorter reach of the two's short lists were met, if shared;
+    after that end come no more than one text's long lists, one fewer than its least overlap.
+    """
+    long = F.greatest(least_overlap(F.col("n"), percent), least_overlap(F.col("n_x"), percent)) - 1
+    return (F.col("met") + long) * (100 + percent) >= (F.col("n") + F.col("n_x")) * percent
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(documents(spark, sf_dir))
