@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; run() writes what each returns as
 Parquet in the shared folder and reads it again. All stages but the last return the columns of documents.
 
-Null texts pass the stages as empty ones do: language identification rejects them. Rows that share a doc_id stay or go
-together in the join. An empty table stays empty.
+Null texts pass the stages as empty ones do: language identification rejects them. Very long texts are read whole by every stage. Rows
+that share a doc_id stay or go together in the join; repeated rows stay or go together everywhere. A null doc_id is a document that comes
+last in line_dedup and is in no link. Columns other than those of documents are left out. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines from all documents but the first that holds them, and documents that consist of such lines alone."""
-    cut = drop_recurring(docs.select(*COLUMNS))
-    cut = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\s]"))
+    """Drops recurring lines from all documents but the first that holds them, and documents of which less than a quarter is left.
+
+    Such a document is a near copy of others by the measure of the join that follows, which can't tell by its remnant.
+    """
+    cut = drop_recurring(docs.select(*COLUMNS, F.length("text").alias("before_")))
+    cut = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\s]") & (4 * F.length("text") >= F.col("before_")))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

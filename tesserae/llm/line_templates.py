@@ -1,23 +1,25 @@
 """Operator 3: line deduplication by a log-template tree of fixed depth.
 
-A line is parsed into tokens at white space; tokens that hold a digit are variable fields and become `<*>`. The tree's levels are the
-number of tokens and the first DEPTH tokens. In a leaf, a line belongs to the template of
+A text is cut into pieces at line ends and, so that a passage is the same wherever a line begins, after sentences (a full stop, exclamation or
+question mark and a space). A piece is parsed into tokens at white space; tokens that hold a digit are variable fields and become
+`<*>`. The tree's levels are the number of tokens and the first DEPTH tokens. In a leaf, a piece belongs to the template of
 
-- the lines with the same tokens (variable fields aside), and
-- the lines that agree in the first or in the last half of their tokens, where a half has HALF tokens or more: the other half
-  is then variable, as in a similarity of one half or more, and
-- the lines that agree in a quarter of their first and a quarter of their last half, so that an edit in each half hides no template.
-
-op3_line_templates is bound to its SQL, which hasn't the quarters; the pipeline's stage has them.
+- the pieces with the same tokens (variable fields aside), and
+- if it has 2 * HALF tokens or more, the pieces that agree with it in two of its four quarters, whichever these are: the rest is
+  variable then, as in a similarity of one half or more. So an edit in each half hides no template.
 
 A template recurs if it stands in two documents or more and is long enough not to arise by chance: LEAST_CHARS characters with two tokens
 of six or more, or LONG_CHARS characters however they are spaced; or, if it has LEAST_CHARS characters only, if it stands in COMMON
-lines, whatever the size of the table. (The SQL of op3_line_templates doesn't know LONG_CHARS, and asks for lines in a share COMMON_SHARE
-of as many as there are documents.) Of a recurring template the document with the smallest doc_id keeps its lines; all other documents lose theirs.
+pieces, whatever the size of the table. Of a recurring template the document with the smallest doc_id keeps its pieces; all other documents
+lose theirs.
+
+Pieces of fewer characters, which say little about where they come from, and blank ones stay. A null text stays null, with 0 pieces; an empty one has
+one empty piece. A very long line is cut like any other; one without spaces is one token. A record separator (U+001E) is a cut, and goes from texts that
+lose pieces. Rows that share a doc_id are one document; rows with a null doc_id are one document that comes last. Repeated rows are returned
+as often as they come; there are no ties, as templates that a piece belongs to don't exclude each other. Without rows the result is empty. Other
+columns pass through, unless they bear the name of a result. DataFrame functions only.
 
-Blank lines and lines that are too short belong to no template and stay. A null text stays null, with 0 lines. Rows that share a
-doc_id are one document; rows with a null doc_id are one document that comes last. Repeated rows are returned as often as
-they come. Other columns pass through. DataFrame functions only.
+Templates are told apart by 96 bits. A template with over 1 / HOT of all rows meets its pieces by a broadcast; there are HOT at most.
 """
 
 from __future__ import annotations
@@ -25,79 +27,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, removed, stored
 
-DEPTH, HALF, LEAST_CHARS, COMMON, COMMON_SHARE = 3, 8, 20, 10, 0.0005
-LONG_CHARS = 60
+DEPTH, HALF, LEAST_CHARS, LONG_CHARS, COMMON, HOT = 3, 8, 20, 60, 10, 512
 LAST = (1 << 63) - 1
-
-
-def row_key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(doc_id, text)
-
-
-def parsed(df: DataFrame, as_sql: bool = False) -> DataFrame:
-    """row, doc, at (number of the line), key, sure: one row for each template that a line belongs to."""
-    lines = df.where("text is not null").select(
-        row_key(F.col("doc_id"), F.col("text")).alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line")
-    )
-    lines = lines.where(F.length("line") >= LEAST_CHARS)
-    plain = F.trim(F.regexp_replace(F.regexp_replace("line", r"[ \t\r\f\x0B]+", " "), r"[^ ]*[0-9][^ ]*", "<*>"))
-    lines = lines.select("row", "doc", "at", plain.alias("plain")).where(F.length("plain") >= LEAST_CHARS)
-    lines = lines.withColumn("tokens", F.split("plain", " ")).withColumn("n", F.size("tokens"))
-    half = F.floor(F.col("n") / 2).cast("int")
-    leaf = F.xxhash64("n", F.slice("tokens", 1, DEPTH))
-    wide = F.size(F.filter("tokens", lambda t: F.length(t) >= 6)) >= 2
-    if not as_sql:
-        wide = wide | (F.length("plain") >= LONG_CHARS)
-    lines = lines.select("row", "doc", "at", "plain", "tokens", half.alias("half"), leaf.alias("leaf"), wide.alias("sure"))
-    front = F.xxhash64("leaf", F.lit("front"), F.slice("tokens", 1, F.col("half")))
-    back = F.xxhash64("leaf", F.lit("back"), F.slice("tokens", -F.col("half"), F.col("half")))
-    quarter = F.floor(F.col("half") / 2).cast("int")
-    first = [F.slice("tokens", 1, quarter), F.slice("tokens", quarter + 1, quarter)]
-    last = [F.slice("tokens", -2 * quarter, quarter), F.slice("tokens", -quarter, quarter)]
-    crossed = [F.xxhash64("leaf", F.lit(f"quarters {i} {j}"), x, y) for i, x in enumerate(first) for j, y in enumerate(last)]
-    keys = F.when(F.col("half") >= HALF, F.array(F.xxhash64("leaf", F.lit("all"), "plain"), front, back, *([] if as_sql else crossed))).otherwise(F.array(F.xxhash64("leaf", F.lit("all"), "plain")))
-    return lines.select("row", "doc", "at", "sure", F.explode(keys).alias("key"))
-
-
-def recurring(lines: DataFrame, common: float) -> DataFrame:
-    """key, keeper (the document that keeps its lines), lines: the templates that recur across documents."""
-    groups = lines.groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("lines"), F.max("sure").alias("sure"))
-    return groups.where((F.col("keeper") < F.col("last")) & (F.col("sure") | (F.col("lines") >= common))).select("key", "keeper", "lines")
-
-
-def drop_recurring(df: DataFrame, as_sql: bool = False) -> DataFrame:
-    """df with `text` without the lines dropped, and n_lines and n_dropped (columns of these names are replaced); as_sql: by the rules of OP3_SQL."""
-    lines = stored(parsed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), as_sql), "lines")
-    common = max(COMMON, COMMON_SHARE * df.count()) if as_sql else COMMON
-    found = lines.join(recurring(lines, common), "key").where(F.col("doc") > F.col("keeper"))
-    drops = found.groupBy("row").agg(F.collect_set("at").alias("drops_"))
-    names = [c for c in df.columns if c not in ("n_lines", "n_dropped", "row_")]
-    out = df.select(*names, row_key(F.col("doc_id").cast("long"), F.col("text")).alias("row_")).join(drops.withColumnRenamed("row", "row_"), "row_", "left")
-    split = F.split("text", "\n")
-    left = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("drops_", i)), "\n")
-    counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size("drops_"), F.lit(0))}
-    counts = {k: F.when(F.col("text").isNull(), 0).otherwise(F.when(F.lit(k == "n_dropped") & F.col("drops_").isNull(), 0).otherwise(v)).cast("long") for k, v in counts.items()}
-    return out.select(*(F.when(F.col("drops_").isNull(), F.col("text")).otherwise(left).alias(c) if c == "text" else c for c in names), *(v.alias(k) for k, v in counts.items()))
+KEY, ROW = ["key", "key2"], ["doc", "row"]
+
+
+def pieces_of(text: Column) -> Column:
+    """The pieces of a text, each with the line end or space that follows it."""
+    return F.split(F.regexp_replace(text, "(\\n|[.!?] )", "$1\x1e"), "\x1e")
+
+
+def row_of() -> list[Column]:
+    """A row's document, and a hash that tells rows of one document apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row")]
+
+
+def parsed(df: DataFrame) -> DataFrame:
+    """doc, row, at (number of the piece), key, key2, sure: one row for each template that a piece belongs to."""
+    pieces = df.where("text is not null").select(*row_of(), F.posexplode(pieces_of(F.col("text"))).alias("at", "piece")).where(F.length("piece") >= LEAST_CHARS)
+    plain = F.trim(F.regexp_replace(F.regexp_replace("piece", r"[ \t\r\n\f\x0B]+", " "), r"[^ ]*[0-9][^ ]*", "<*>"))
+    pieces = pieces.select(*ROW, "at", plain.alias("plain")).where(F.length("plain") >= LEAST_CHARS)
+    pieces = pieces.withColumn("tokens", F.split("plain", " ")).withColumn("n", F.size("tokens"))
+    quarter = F.floor(F.floor(F.col("n") / 2) / 2).cast("int")
+    sure = (F.size(F.filter("tokens", lambda t: F.length(t) >= 6)) >= 2) | (F.length("plain") >= LONG_CHARS)
+    pieces = pieces.select(*ROW, "at", "plain", "tokens", quarter.alias("quarter"), F.xxhash64("n", F.slice("tokens", 1, DEPTH)).alias("leaf"), sure.alias("sure"))
+    q = F.col("quarter")
+    quarters = [F.slice("tokens", 1, q), F.slice("tokens", q + 1, q), F.slice("tokens", -2 * q, q), F.slice("tokens", -q, q)]
+    named = lambda name, *parts: F.struct(F.xxhash64("leaf", F.lit(name), *parts).alias("key"), F.hash("leaf", F.lit(name), *parts).alias("key2"))
+    alike = [named(f"{i} {j}", quarters[i], quarters[j]) for i in range(4) for j in range(i + 1, 4)]
+    keys = F.when(q * 4 >= 2 * HALF, F.array(named("all", "plain"), *alike)).otherwise(F.array(named("all", "plain")))
+    return pieces.select(*ROW, "at", "sure", F.explode(keys).alias("k")).select(*ROW, "at", "sure", "k.*")
+
+
+def recurring(lines: DataFrame) -> DataFrame:
+    """key, key2, keeper (the document that keeps its pieces), lines: the templates that recur across documents."""
+    groups = lines.groupBy(*KEY).agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("lines"), F.max("sure").alias("sure"))
+    return groups.where((F.col("keeper") < F.col("last")) & (F.col("sure") | (F.col("lines") >= COMMON))).select(*KEY, "keeper", "lines")
+
+
+def drop_recurring(df: DataFrame) -> DataFrame:
+    """df with `text` without the pieces dropped, and n_lines and n_dropped, counts of pieces (columns of these names are replaced)."""
+    lines = stored(parsed(df.select("doc_id", "text")), "lines")
+    templates, n = stored(recurring(lines), "templates"), lines.count()
+    often = F.broadcast(templates.where(F.col("lines") * HOT > n))
+    found = lines.join(often, KEY).unionByName(lines.join(often.select(*KEY), KEY, "left_anti").join(templates.where(F.col("lines") * HOT <= n), KEY))
+    drops = stored(found.where(F.col("doc") > F.col("keeper")).groupBy(*ROW).agg(F.collect_set("at").alias("drops_")), "drops")
+    removed(lines)
+    removed(templates)
+    names = [c for c in df.columns if c not in ("n_lines", "n_dropped", "drops_")]
+    own = df.select(*names, *(c.alias(f"{k}_") for k, c in zip(ROW, row_of(), strict=True)))
+    out = own.join(drops.select(*(F.col(k).alias(f"{k}_") for k in ROW), "drops_"), [f"{k}_" for k in ROW], "left")
+    units = pieces_of(F.col("text"))
+    left = F.array_join(F.filter(units, lambda piece, i: ~F.array_contains("drops_", i)), "")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(units)).cast("long")
+    n_dropped = F.when(F.col("drops_").isNull(), 0).otherwise(F.size("drops_")).cast("long")
+    return out.select(*(F.when(F.col("drops_").isNull(), F.col("text")).otherwise(left).alias(c) if c == "text" else c for c in names), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring(documents(spark, sf_dir).select("doc_id", "text"), as_sql=True)
+    return drop_recurring(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+_QUARTERS = ["k[1 : q]", "k[q + 1 : 2 * q]", "k[n - 2 * q + 1 : n - q]", "k[n - q + 1 : n]"]
+_ALIKE = ", ".join(f"'{i} {j} ' || array_to_string(k[1 : {DEPTH}], ' ') || ' / ' || array_to_string({_QUARTERS[i]}, ' ') || ' / ' || array_to_string({_QUARTERS[j]}, ' ')" for i in range(4) for j in range(i + 1, 4))
 OP3_SQL = rf"""
-WITH l AS (SELECT doc_id, pos - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)
-           WHERE length(line) >= {LEAST_CHARS}),
-p AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS plain FROM l),
-t AS (SELECT doc_id, pos, plain, string_split(plain, ' ') AS k, len(string_split(plain, ' ')) AS n FROM p WHERE length(plain) >= {LEAST_CHARS}),
-g AS (SELECT doc_id, pos, len(list_filter(k, lambda x: length(x) >= 6)) >= 2 AS sure, n,
-             unnest(CASE WHEN n // 2 >= {HALF} THEN ['all ' || plain, 'front ' || array_to_string(k[1 : n // 2], ' '), 'back ' || array_to_string(k[1 : {DEPTH}], ' ') || ' / ' || array_to_string(k[n - n // 2 + 1 : n], ' ')] ELSE ['all ' || plain] END) AS key FROM t),
-r AS (SELECT n, key, min(doc_id) AS keeper FROM g GROUP BY n, key
-      HAVING min(doc_id) < max(doc_id) AND (bool_or(sure) OR count(*) >= greatest({COMMON}, {COMMON_SHARE} * (SELECT count(*) FROM documents)))),
+WITH u AS (SELECT doc_id, text, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(30), 'g'), chr(30)) AS pieces FROM documents),
+l AS (SELECT doc_id, pos - 1 AS pos, piece FROM (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM u WHERE text IS NOT NULL) WHERE length(piece) >= {LEAST_CHARS}),
+p AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(piece, '[ \t\r\n\f\x0B]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS plain FROM l),
+t AS (SELECT doc_id, pos, plain, string_split(plain, ' ') AS k, len(string_split(plain, ' ')) AS n, len(string_split(plain, ' ')) // 2 // 2 AS q FROM p WHERE length(plain) >= {LEAST_CHARS}),
+g AS (SELECT doc_id, pos, len(list_filter(k, lambda x: length(x) >= 6)) >= 2 OR length(plain) >= {LONG_CHARS} AS sure, n, unnest(CASE WHEN q * 4 >= {2 * HALF} THEN ['all ' || plain, {_ALIKE}] ELSE ['all ' || plain] END) AS key FROM t),
+r AS (SELECT n, key, min(doc_id) AS keeper FROM g GROUP BY n, key HAVING min(doc_id) < max(doc_id) AND (bool_or(sure) OR count(*) >= {COMMON})),
 x AS (SELECT doc_id, list(DISTINCT pos) AS drops FROM g JOIN r USING (n, key) WHERE doc_id > keeper GROUP BY doc_id),
-s AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, coalesce(drops, []) AS drops FROM documents LEFT JOIN x USING (doc_id))
-SELECT doc_id, CASE WHEN len(drops) = 0 THEN text ELSE array_to_string(list_filter(lines, lambda v, i: NOT list_contains(drops, i - 1)), chr(10)) END AS text,
-       CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS BIGINT) AS n_lines, CAST(len(drops) AS BIGINT) AS n_dropped
+s AS (SELECT doc_id, text, pieces, coalesce(drops, []) AS drops FROM u LEFT JOIN x USING (doc_id))
+SELECT doc_id, CASE WHEN len(drops) = 0 THEN text ELSE array_to_string(list_filter(pieces, lambda v, i: NOT list_contains(drops, i - 1)), '') END AS text,
+       CAST(CASE WHEN text IS NULL THEN 0 ELSE len(pieces) END AS BIGINT) AS n_lines, CAST(len(drops) AS BIGINT) AS n_dropped
 FROM s
 """

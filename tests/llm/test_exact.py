@@ -258,6 +258,28 @@ def test_lines(spark):
     assert line_templates.drop_recurring(table(spark).limit(0)).count() == 0
 
 
+def test_passages_inside_other_lines(spark):
+    """A passage of over 50 words recurs in lines of other lengths and beginnings; an edit leaves the sentence that holds it in its template."""
+    rng = np.random.default_rng(8)
+    sentence = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(n)).capitalize() + "."
+    passage = [sentence(18) for _ in range(4)]
+    edited = [p.replace(p.split(" ")[6], "edited").replace(p.split(" ")[12], "other") for p in passage]
+    own = [sentence(11) for _ in range(6)]
+    texts = [f"{own[0]} {' '.join(passage)} {own[1]}", f"{own[2]} {own[3]} {' '.join(passage)}\n{own[4]}", f"{' '.join(edited)} {own[5]}"]
+    got = {r.doc_id: r for r in line_templates.drop_recurring(table(spark, texts)).collect()}
+    assert got[0].text == texts[0] and got[1].text == f"{own[2]} {own[3]} {own[4]}" and got[2].text == own[5]
+    assert (got[1].n_lines, got[1].n_dropped) == (7, 4)
+
+
+@pytest.mark.parametrize("hot", [512, 1])
+def test_lines_of_awkward_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_templates, "HOT", hot)
+    line = "A recurring sentence with several longer words stands here"
+    rows = [(1, line, 1), (1, f"{line}\nof the same document", 1), (2, line, 1), (2, line, 1), (None, f"{line}\nlast", 1), (3, "z" * 20_000, 1), (4, "z" * 20_000, 1)]
+    got = sorted((r.doc_id or 9, r.text, r.n_dropped) for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string, drops_ int")).collect())
+    assert got == [(1, line, 0), (1, f"{line}\nof the same document", 0), (2, "", 1), (2, "", 1), (3, "z" * 20_000, 0), (4, "", 1), (9, "last", 1)]
+
+
 def test_lines_with_an_edit_in_each_half(spark):
     words = [f"token{k}" for k in "abcdefghijklmnopqrstuvwx"]
     texts = [f"own line\n{' '.join(words)}"]
