@@ -11,13 +11,14 @@ word included; so the model is a distribution over all words.
 
 All factors are softmaxes over hashed features of the context: the words one to three places before (skip features) and the pair
 before; inside a class and a group, the word and the pair before. Training passes once over all training texts, in ROUNDS slices. In each, every task
-takes gradient steps from the weights of the round before over its part of the slice; Spark averages the tasks' updates, weighted
+takes gradient steps from the weights of the round before over its part of the slice; Spark averages the tasks' updates in levels of up to FAN, weighted
 by tokens, and the driver holds the weights only, whose size doesn't depend on the corpus. Scoring is numpy over batches of
 sparse features. Counts of words that are too rare to be broadcast are joined by a shuffle.
 
 Words are told apart by 64-bit hashes. A null text is empty: one token, the end. Rows with a null doc_id train (they are not in the
-held-out class). Repeated rows count and are scored as often as they come. Without training texts all counts are 0. Other columns are
-ignored.
+held-out class). Repeated rows count and are scored as often as they come. A very long text is scored in one piece, and its context never
+reaches into its neighbours. Words of equal frequency are in the order of their hashes. Without training texts all counts are 0; without rows the
+result is empty. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ END = np.uint64(0x6A09E667F3BCC909)
 VOCABULARY, CLASSES, SMALL_CLASS, NEIGHBOURS = 1 << 17, 40, 64, 32
 CONTEXTS, OWN, WORD_CONTEXTS = 4096, 3072, 64
 SKIPS, ROUNDS, BATCH = 3, 3, 8192
-BLOCK, TASK_BYTES = 4096, 16 << 20
+BLOCK, TASK_BYTES, MOST_TASKS, FAN = 4096, 64 << 20, 4096, 256
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +272,10 @@ def moved(table: np.ndarray, at: np.ndarray, gradient: np.ndarray, rate: float)
 def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
     spark = df.sparkSession
     model = Model(vocabulary, classes(neighbours(df, vocabulary), vocabulary.c))
-    # Each task returns as many numbers as the model has weights, so a task takes TASK_BYTES of text or more.
+    # Each task returns as many numbers as the model has weights, so a task takes TASK_BYTES of text or more, and beyond MOST_TASKS (or two for each
+    # core) tasks grow instead of becoming more.
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, min(size // TASK_BYTES, MOST_TASKS))
     slices = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast((model, vocabulary))
@@ -298,21 +301,28 @@ def trained(df: DataFrame, vocabulary: Vocabulary) -> Model:
             if seen:
                 # Blocks without a change go without numbers; their weight still counts.
                 cuts = [x.tobytes() if x.any() else b"" for x in (change[s : s + BLOCK] for s in range(0, len(change), BLOCK))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array([seen] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], names=["block", "seen", "change"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], names=["block", "task", "seen", "change"])
 
-        def averaged(pdf):
+        def summed(pdf):
             total = np.zeros(pdf.change.str.len().max() // 4)
             for change in pdf.change:
                 if change:
                     total += np.frombuffer(change, np.float32)
-            return pd.DataFrame({"block": pdf.block[:1], "change": [(total / pdf.seen.sum()).astype(np.float32).tobytes()]})
-
-        updates = df.where(slices == k).select("text").coalesce(tasks).mapInArrow(run, "block long, seen long, change binary")
-        update = updates.groupBy("block").applyInPandas(averaged, "block long, change binary").toPandas().sort_values("block")
+            return pd.DataFrame({"block": pdf.block[:1], "task": pdf.task[:1] // FAN, "seen": [pdf.seen.sum()], "change": [total.astype(np.float32).tobytes()]})
+
+        # Sums of up to FAN tasks' changes, then of up to FAN sums, so that no group grows with the corpus.
+        kinds, left = "block long, task long, seen long, change binary", tasks
+        updates = df.where(slices == k).select("text").coalesce(tasks).mapInArrow(run, kinds)
+        while True:
+            updates = updates.groupBy("block", F.floor(F.col("task") / FAN)).applyInPandas(summed, kinds)
+            if left <= FAN:
+                break
+            left = -(-left // FAN)
+        update = updates.toPandas().sort_values("block")
         if len(update):
             flat = np.zeros(sum(x.size for x in model.weights), np.float32)
-            for block, change in zip(update["block"], update["change"], strict=True):
-                flat[block * BLOCK : block * BLOCK + len(change) // 4] = np.frombuffer(change, np.float32)
+            for block, seen, change in zip(update["block"], update["seen"], update["change"], strict=True):
+                flat[block * BLOCK : block * BLOCK + len(change) // 4] = np.frombuffer(change, np.float32) / np.float32(seen)
             cuts = np.split(flat, np.cumsum([x.size for x in model.weights])[:-1])
             model.weights = [x + y.reshape(x.shape) for x, y in zip(model.weights, cuts, strict=True)]
         del updates, update

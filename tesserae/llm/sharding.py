@@ -7,12 +7,14 @@ quota of proposals, those that stay before those that come; documents that it ca
 kept side by side in the order of their groups. So after every round the shards' counts differ by one at most (law `rows`),
 while links between shards become fewer.
 
-Documents with equal texts are linked, but not by all pairs: the documents of a group fall into up to FANS fans by a hash of
-their ids, each document is linked with the first of its fan, and the firsts of the fans with the first of all. Numbering never sorts a
-shard in one task: rows are numbered inside buckets, whose sizes are summed up in a small table.
-
-Null texts have the size 8 and form a group, as empty texts do. Rows with a null doc_id and rows that share a doc_id are rows
-of their own. Without rows there are no shards. DataFrame functions only.
+Documents with equal texts are linked, but not by all pairs: a large group falls into as many fans as its size asks for, so that
+a fan holds about as many rows as a bucket does; each document is linked with the first of its fan, and the firsts of the fans with the first of all.
+Numbering never sorts a shard in one task: rows are numbered inside buckets, whose sizes are summed up in a small table. cut_links says
+how many linked pairs ended in different shards.
+
+Null texts have the size 8 and form a group, as empty texts do; very long ones are groups like others. Rows with a null doc_id and rows that
+share a doc_id are rows of their own, as are repeated rows. Ties are settled by the order of groups and rows. Other columns are ignored.
+Without rows there are no shards. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored
 
-SHARDS, ROUNDS, FANS, BUCKET_ROWS, LEAST_BUCKETS = 24, 3, 64, 100_000, 128
+SHARDS, ROUNDS, BUCKET_ROWS, LEAST_BUCKETS, MOST_LARGE = 24, 3, 100_000, 128, 100_000
 
 
 def numbered(df: DataFrame, within: list[str], buckets: list[str], order: list[str], name: str) -> DataFrame:
@@ -49,12 +51,12 @@ def text_groups(df: DataFrame, text: str = "text") -> DataFrame:
     rows = stored(rows, "sharded-rows")
     n = rows.count()
     buckets = max(LEAST_BUCKETS, n // BUCKET_ROWS)
-    # A group with a large share of all rows is spread over FANS buckets; there are at most 2 * LEAST_BUCKETS such groups.
-    large = rows.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") * 2 * LEAST_BUCKETS > n).select("group")
-    rows = rows.join(F.broadcast(large.withColumn("large", F.lit(True))), "group", "left")
-    fan = F.pmod(F.xxhash64("row_id"), F.lit(FANS)).cast("int")
+    # Groups larger than a bucket are spread over fans of that size; there are 2 * LEAST_BUCKETS or MOST_LARGE such groups at most, which are broadcast.
+    most = max(min(BUCKET_ROWS, n // (2 * LEAST_BUCKETS)), n // MOST_LARGE, 1)
+    large = rows.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > most).select("group", F.ceil(F.col("members") / most).cast("int").alias("fans"))
+    rows = rows.join(F.broadcast(large), "group", "left")
     rows = rows.withColumn("b", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
-    return rows.withColumn("fan", F.when(F.col("large"), fan).otherwise(0)).drop("large")
+    return rows.withColumn("fan", F.when(F.col("fans").isNull(), 0).otherwise(F.pmod(F.xxhash64("row_id"), F.col("fans"))).cast("int")).drop("fans")
 
 
 def equal_text_links(rows: DataFrame) -> DataFrame:
@@ -98,6 +100,12 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int, rounds: int = ROUN
     return rows.join(labels.select("row_id", "shard"), "row_id")
 
 
+def cut_links(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """links, cut: how many linked pairs there are, and how many of them lie in different shards."""
+    ends = placed.select(F.col("row_id").alias("a"), F.col("shard").alias("at_a")), placed.select(F.col("row_id").alias("b"), F.col("shard").alias("at_b"))
+    return links.join(ends[0], "a").join(ends[1], "b").agg(F.count("*").alias("links"), F.coalesce(F.sum((F.col("at_a") != F.col("at_b")).cast("long")), F.lit(0)).alias("cut"))
+
+
 def shard_by_text(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (from 0 without gaps in each shard) for every row of df (doc_id, text)."""
     rows = stored(text_groups(df), "shard-groups")

@@ -312,6 +312,41 @@ def test_shards(spark):
     assert sharding.shard_by_text(table(spark).limit(0), 8).count() == 0
 
 
+def test_rounds_cut_fewer_links_and_large_groups_are_fanned(spark):
+    texts = [*["copy"] * 300, *(f"pair {k // 2}" for k in range(60)), *(f"text {k}" for k in range(40))]
+    df = spark.createDataFrame([(k % 350, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, size int")
+    rows = sharding.stored(sharding.text_groups(df.drop("size")), "rows")
+    fans = rows.groupBy("group", "fan").count().collect()
+    assert max(r["count"] for r in fans) <= 10 and len(fans) > 100
+    links = sharding.equal_text_links(rows)
+    cut = [sharding.cut_links(sharding.propagate(rows, links, 8, rounds), links).first() for rounds in (0, 3)]
+    assert cut[0]["links"] == cut[1]["links"] == 299 + 30 and cut[1].cut < 0.8 * cut[0].cut
+    assert len(sharding.shard_by_text(df, 8).collect()) == len(texts)
+
+
+def test_registered_queries_that_no_sql_says(spark):
+    """op5, op8 and op9 as registered: columns, types and every row, against plain Python."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    run = lambda name: registry.queries()[name](spark, SF)
+    got = run("op5_sharding")
+    assert dict(got.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    got = got.collect()
+    counts = Counter(r.shard for r in got)
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None} and set(counts) == set(range(24)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+    assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(k, len(t.encode()) + 8, zlib.crc32(t.encode())) for k, t in docs.items()}
+    got = run("op8_ngram_join")
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == components(docs.items())
+    got = run("op9_token_store")
+    assert dict(got.dtypes) == {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"}
+    start = 0
+    for r in got.orderBy("doc_id").collect():
+        ids = [*byte_model().encode(docs[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
