@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import level_prefix, under_prefix
+from ..functions.words import STOPWORDS
+from .checkpoints import stored
 
 #: Segments of the prefix that names a group, by level.
 LEVELS = {0: 4, 1: 3, 2: 2}
@@ -55,22 +57,23 @@ def group_types(ids: DataFrame, limit: int = TYPES) -> DataFrame:
 
 
 def entity_terms(docs: DataFrame, limit: int = TERMS) -> DataFrame:
-    """id, word: the most frequent words of each entity's text (ASCII words of 3 to 32 characters); ties by word."""
-    found = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w).between(3, 32))
+    """id, word: the most frequent words of each entity's text (ASCII words of 3 to 32 characters, stopwords left out); ties by word."""
+    found = F.filter(F.transform(F.split("text", "[^A-Za-z0-9]+"), F.lower), lambda w: F.length(w).between(3, 32) & ~w.isin(STOPWORDS))
     counts = docs.select("id", F.explode(found).alias("word")).groupBy("id", "word").agg(F.count("*").alias("times"))
     order = Window.partitionBy("id").orderBy(F.col("times").desc(), "word")
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("id", "word")
 
 
-def group_keywords(docs: DataFrame, limit: int = KEYWORDS) -> DataFrame:
+def group_keywords(docs: DataFrame, ids: DataFrame | None = None, limit: int = KEYWORDS) -> DataFrame:
     """level, group_id, rank, word, score: words that the group's members hold more than all entities do.
 
-    score = held / members * ln(all members / all holders); at least two holders (one in a group of one), score above zero.
+    score = held / members * ln(all that hold a word / all holders of this word); members are all entities of the group (ids: id), with a text or
+    not. At least two holders (one in a group of one), score above zero.
     """
-    terms = entity_terms(docs)
-    n = docs.agg(F.count("*").alias("all_members"))
+    terms = stored(entity_terms(docs), "terms")
+    n = terms.agg(F.countDistinct("id").alias("all_members"))
     holders = terms.groupBy("word").agg(F.count("*").alias("holders"))
-    sizes = group_sizes(docs)
+    sizes = group_sizes(docs if ids is None else ids)
     held = members(terms).groupBy("level", "group_id", "word").agg(F.count("*").alias("held"))
     score = F.round(F.col("held") / F.col("member_count") * F.log(F.col("all_members") / F.col("holders")), 6)
     rows = held.join(sizes, ["level", "group_id"]).where(F.col("held") >= F.least(F.lit(2), "member_count")).join(holders, "word").crossJoin(F.broadcast(n)).withColumn("score", score).where("score > 0")
@@ -85,12 +88,47 @@ def representatives(docs: DataFrame, limit: int = REPRESENTATIVES) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
-def group_summary(docs: DataFrame) -> DataFrame:
-    """level, group_id, summary: one sentence of each group's size, types and keywords."""
-    types = group_types(docs.select("id"))
-    kinds = types.groupBy("level", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity_type", "entity_count"))), lambda t: F.concat(t["entity_count"].cast("string"), F.lit(" "), t["entity_type"])), ", ").alias("kinds"))
-    words = group_keywords(docs).groupBy("level", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda t: t["word"]), ", ").alias("words"))
-    rows = group_sizes(docs).join(kinds, ["level", "group_id"], "left").join(words, ["level", "group_id"], "left")
-    plural = F.when(F.col("member_count") == 1, "entity").otherwise("entities")
-    text = F.concat(F.lit("Group of "), F.col("member_count").cast("string"), F.lit(" "), plural, F.lit(": "), F.col("kinds"), F.when(F.coalesce("words", F.lit("")) != "", F.concat(F.lit(". Keywords: "), "words")).otherwise(""))
-    return rows.select("level", "group_id", text.alias("summary"))
+def group_summary(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """level, group_id, summary: one sentence of each group's size, up to three types and up to five keywords."""
+    ids = docs.select("id") if ids is None else ids
+    first = lambda rows, n, text: rows.where(F.col("rank") <= n).groupBy("level", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("text")))), lambda t: t["text"]), ", ").alias("text"))
+    kind = F.concat(F.col("entity_count").cast("string"), F.lit(" "), F.col("entity_type"), F.when(F.col("entity_count") > 1, "s").otherwise(""))
+    kinds = first(group_types(ids), 3, kind).withColumnRenamed("text", "kinds")
+    words = first(group_keywords(docs, ids), 5, F.col("word")).withColumnRenamed("text", "words")
+    rows = group_sizes(ids).join(kinds, ["level", "group_id"]).join(words, ["level", "group_id"], "left")
+    themes = F.coalesce(F.concat(F.lit(". Key themes: "), "words"), F.lit(""))
+    return rows.select("level", "group_id", F.concat(F.lit("Community of "), F.col("member_count").cast("string"), F.lit(" entities including "), "kinds", themes, F.lit(".")).alias("summary"))
+
+
+def group_records(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """level, group_id, member_count, revision (the greatest of its members'), summary of entities (id, kv_revision) and their texts (id, text)."""
+    counts = members(ids.select("id", "kv_revision")).groupBy("level", "group_id").agg(F.count("*").alias("member_count"), F.max("kv_revision").alias("revision"))
+    return counts.join(group_summary(docs, ids.select("id")), ["level", "group_id"])
+
+
+def changed_groups(old: DataFrame, new: DataFrame) -> DataFrame:
+    """op (upsert or delete), level, group_id, summary: records to write, and those whose group is empty now, after a tick."""
+    keys = ["level", "group_id"]
+    fresh = new.join(old.select(*keys, F.struct(*(c for c in old.columns if c not in keys)).alias("was")), keys, "left")
+    same = F.col("was").eqNullSafe(F.struct(*(F.col(c) for c in old.columns if c not in keys)))
+    gone = old.join(new.select(*keys), keys, "left_anti").select(F.lit("delete").alias("op"), *keys, F.lit(None).cast("string").alias("summary"))
+    return fresh.where(F.col("was").isNull() | ~same).select(F.lit("upsert").alias("op"), *keys, "summary").unionByName(gone)
+
+
+def summary(triples: DataFrame, prefix: str = "", after: str = "", page: int = 1000, examples: int = 2) -> DataFrame:
+    """section (totals, type or predicate), name, amount, examples: what the graph holds.
+
+    Totals count all entities and those scanned: one page of the sorted listing, of which the types are counted. Predicates cover the whole graph, so
+    they are left out below a prefix.
+    """
+    ids = triples.select(F.col("subject").alias("id")).distinct()
+    ids = ids.where(under_prefix(F.col("id"), prefix)) if prefix else ids
+    scanned = stored(ids.where(F.col("id") > after).orderBy("id").limit(page), "scanned")
+    none = F.lit(None).cast("string")
+    line = lambda rows, section, name, amount, more=none: rows.select(F.lit(section).alias("section"), name.alias("name"), amount.cast("long").alias("amount"), more.alias("examples"))
+    totals = line(ids.agg(F.count("*").alias("n")), "totals", F.lit("entities"), F.col("n")).union(line(scanned.agg(F.count("*").alias("n")), "totals", F.lit("scanned"), F.col("n")))
+    out = totals.union(line(type_summary(scanned, examples), "type", F.col("entity_type"), F.col("entity_count"), F.col("examples")))
+    if not prefix:
+        held = triples.groupBy("predicate").agg(F.countDistinct("subject").alias("n"))
+        out = out.union(line(held, "predicate", F.col("predicate"), F.col("n")))
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import is_relationship, valid_entity_id
+from .checkpoints import numbered
 from .reads import LABELS, label_salience
 
 
@@ -21,14 +22,13 @@ def edges(triples: DataFrame) -> DataFrame:
 
 def outgoing(graph: DataFrame, entity: str) -> DataFrame:
     """The entity's own edges in stored order, repeats kept."""
-    place = F.row_number().over(Window.orderBy("ord", "to_id"))
-    return graph.where(F.col("from_id") == entity).select(place.cast("long").alias("place"), "predicate", "to_id")
+    return numbered(graph.where(F.col("from_id") == entity), ["ord", "to_id"], "place").select("place", "predicate", "to_id")
 
 
 def incoming(graph: DataFrame, entity: str) -> DataFrame:
     """Distinct edges that point to the entity, by source and predicate."""
     rows = graph.where(F.col("to_id") == entity).select("from_id", "predicate").distinct()
-    return rows.select(F.row_number().over(Window.orderBy("from_id", "predicate")).cast("long").alias("place"), "from_id", "predicate")
+    return numbered(rows, ["from_id", "predicate"], "place").select("place", "from_id", "predicate")
 
 
 def relationships(graph: DataFrame, entity: str, direction: str) -> DataFrame:
@@ -58,7 +58,9 @@ def predicate_entities(triples: DataFrame, predicate: str, value: str | None = N
     """rank, entity_id: sorted distinct holders of the predicate, of the value if one is given; the filter comes before the limit."""
     rows = triples.where(F.col("predicate") == predicate)
     ids = (rows.where(F.col("object_str") == value) if value is not None else rows).select(F.col("subject").alias("entity_id")).distinct()
-    ids = ids.orderBy("entity_id").limit(limit) if limit else ids
+    if not limit:
+        return numbered(ids, ["entity_id"], "rank").select("rank", "entity_id")
+    ids = ids.orderBy("entity_id").limit(limit)
     return ids.select(F.row_number().over(Window.orderBy("entity_id")).cast("long").alias("rank"), "entity_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SEED_WEIGHT, DEPTH_WEIGHT, SALIENCE_WEIGHT = 4.0, 1.5, 3.0
 EXACT, PREFIX, CONTAINS = 40.0, 20.0, 8.0
-RELATIONS, EVIDENCE, FACTS = 12, 8, 64
+RELATIONS, EVIDENCE, FACTS, EDGES, RESOLVED = 12, 8, 64, 256, 40
 
 
 def salience(triples: DataFrame, weights: DataFrame) -> DataFrame:
@@ -50,6 +50,41 @@ def facts(triples: DataFrame, seeds: DataFrame, cap: int = FACTS, evidence_cap:
     return merged.where(F.col("place") <= cap).select(F.col("subject").alias("entity_id"), "place", "predicate", "object_str", F.array_join(F.slice("sources", 1, evidence_cap), ",").alias("evidence"), "truncated")
 
 
+def answer(seeds: DataFrame, query: str, triples: DataFrame, labels: DataFrame, weights: DataFrame, nodes: int = 20) -> DataFrame:
+    """place, entity_id, label, score, provenance, truncated: the nodes of a fused answer.
+
+    Seeds (rank, entity_id, provenance: deterministic, lexical or embedding) are at most 40; those that no statement is about are left out, the
+    others are ranked by their place, what their label shares with the query, and their salience; the first `nodes` are kept.
+    """
+    first = seeds.orderBy("rank", "entity_id").limit(RESOLVED)
+    held = triples.join(first.select(F.col("entity_id").alias("subject")).distinct(), "subject", "left_semi")
+    known = held.select(F.col("subject").alias("entity_id")).distinct()
+    rows = first.join(known, "entity_id", "left_semi").join(labels.withColumnRenamed("subject", "entity_id"), "entity_id", "left").join(salience(held, weights).withColumnRenamed("subject", "entity_id"), "entity_id", "left")
+    rows = rows.withColumn("position", F.row_number().over(Window.orderBy("rank", "entity_id")) - 1).withColumn("depth", F.lit(0))
+    placed = rank(rows, query).join(rows.select("entity_id", "label", "provenance"), "entity_id")
+    cut = placed.agg((F.count("*") > nodes).alias("truncated"))
+    return placed.where(F.col("place") <= nodes).crossJoin(F.broadcast(cut)).select("place", "entity_id", "label", "score", "provenance", "truncated")
+
+
+def did_you_mean(query: str, index: DataFrame, most: int = 5) -> DataFrame:
+    """name: up to five names (name_key, name) that begin as the query's text does, for a query that resolves to nothing."""
+    low = query.strip().lower()
+    near = index.where(F.col("name_key").startswith(low[: max(len(low) // 2, 1)])) if low else index.limit(0)
+    return near.select("name").distinct().orderBy(F.levenshtein(F.lower("name"), F.lit(low)), "name").limit(most)
+
+
+def graph_edges(triples: DataFrame, seeds: DataFrame, declared: list[str], cap: int = EDGES) -> DataFrame:
+    """from_id, predicate, to_id, evidence, truncated: directed edges between seeds and others, by declared predicates or `@id`; the shape of a value alone makes none."""
+    link = (F.col("datatype") == "@id") | (F.col("predicate").isin(declared) if declared else F.lit(False))
+    ids = seeds.select("entity_id").distinct()
+    rows = triples.where(link & (F.col("object_kind") == "string"))
+    out = rows.join(ids.withColumnRenamed("entity_id", "subject"), "subject", "left_semi").unionByName(rows.join(ids.withColumnRenamed("entity_id", "object_str"), "object_str", "left_semi").select(rows.columns))
+    found = out.groupBy(F.col("subject").alias("from_id"), "predicate", F.col("object_str").alias("to_id")).agg(F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, EVIDENCE), ",").alias("evidence"))
+    kept = found.orderBy("from_id", "predicate", "to_id").limit(cap + 1)
+    n = kept.agg(F.count("*").alias("n_"))
+    return kept.orderBy("from_id", "predicate", "to_id").limit(cap).crossJoin(F.broadcast(n)).select("from_id", "predicate", "to_id", "evidence", (F.col("n_") > cap).alias("truncated"))
+
+
 def edge_evidence(graph: DataFrame, triples: DataFrame, cap: int = EVIDENCE) -> DataFrame:
     """from_id, predicate, to_id, evidence: the sources of the statements behind each edge."""
     found = graph.select("from_id", "predicate", "to_id").distinct().join(triples.select(F.col("subject").alias("from_id"), "predicate", F.col("object_str").alias("to_id"), "source"), ["from_id", "predicate", "to_id"])

@@ -5,26 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FIELD = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*"
 # The phrases that give a hint.
-OPERATIONS = {
-    "count": r"\b(how\s+many|total\s+number\s+of|the\s+number\s+of|count)\b",
-    "avg": r"\b(average|avg|mean)\b",
-    "min": r"\b(minimum|min)\b",
-    "max": r"\b(maximum|max)\b",
-    "sum": r"\b(sum|total)\b",
+EXTREMUM = rf"\s+(?!(?:of|the)\s)({FIELD})\s+(?:values?|readings?|measurements?|levels?)\b"
+LOWEST, HIGHEST = rf"\b(?:smallest|lowest){EXTREMUM}", rf"\b(?:largest|highest|greatest){EXTREMUM}"
+WORDS = {
+    "count": r"\b(?:how\s+many|total\s+number\s+of|the\s+number\s+of|count)\b",
+    "avg": r"\b(?:average|avg|mean)\b",
+    "min": r"\b(?:minimum|min)\b",
+    "max": r"\b(?:maximum|max)\b",
+    "sum": r"\b(?:sum\b|total\b(?!\s+number\s+of\b))",
 }
-SIMILAR, PATH = r"\b(similar\w*|like\b|resembl\w*|compar\w*)", r"\b(connect|relat|path|link|between)\w*"
+SIMILAR, PATH = r"\b(?:similar\w*|like\b|resembl\w*|compar\w*)", r"\b(connect|relat|path|link|between)\w*"
+RANKING = r"\b(?:(?:top|bottom)\s+\d+|most|least)\b"
+#: All that triggers an operation. What follows `or` must begin with a trigger for two operations to be undecided.
+TRIGGERS = WORDS | {"min": f"(?:{WORDS['min']}|{LOWEST})", "max": f"(?:{WORDS['max']}|{HIGHEST})", "similarity": SIMILAR, "ranking": RANKING}
 PLACE = r"\b(zone|area)[-\s]([a-zA-Z0-9-]+)\b"
 WITHIN = r"\bwithin\s+(\d+(?:\.\d+)?)\s*(km|m|miles?)\s+of\s+(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)"
-NEGATION = r"\b(not|no|never|don't|do\s+not|without)\b"
+NEGATION, CHOICE = r"\b(?:not|no|never|don['’]t|without)\b", r"\b(?:which|who|with)\b"
+CLAUSE, QUOTED = r"(?i)[;,.:?!](?:\s|$)|\bbut\b", "\"[^\"]*\"|“[^”]*”"
+OR = r"\bor\s+(?:(?:the|an|a)\s+)?+"
 KM_PER_DEGREE, KM_PER_MILE = 111.0, 1.60934
 
 
-def plain(question: Column) -> Column:
-    """The question without quoted spans and without what a negation governs in its clause."""
-    unquoted = F.regexp_replace(question, "\"[^\"]*\"|“[^”]*”", " ")
-    clauses = F.split(unquoted, r"(?i)[;,.:?!](?=\s|$)|\bbut\b")
-    return F.array_join(F.transform(clauses, lambda c: F.regexp_replace(c, rf"(?i){NEGATION}.*$", " ")), " ; ")
+def clauses(question: Column) -> Column:
+    """The clauses of a question. After a word that chooses entities, a phrase such as `lowest pressure reading` describes them and is left out."""
+
+    def plain(c: Column) -> Column:
+        before = F.regexp_extract(c, rf"(?is)^(.*?)(?:{CHOICE}.*)?$", 1)
+        after = F.substring(c, F.length(before) + 1, F.length(c))
+        return F.concat(before, F.regexp_replace(after, rf"(?i){LOWEST}|{HIGHEST}", " "))
+
+    return F.transform(F.split(question, CLAUSE), plain)
+
+
+def triggered(question: Column) -> dict[str, Column]:
+    """Whether each operation is asked for, by name: it has a trigger, and none of its triggers is excluded.
+
+    Excluded is a trigger in quotes, one after a negation in its clause, and one that `or` joins with another operation's in its
+    clause. One such trigger excludes the operation, even where another stands alone.
+    """
+    own, quoted = clauses(question), F.regexp_extract_all(question, F.lit(QUOTED), F.lit(0))
+    some = lambda pattern, where=own: F.exists(where, lambda c: c.rlike(f"(?is){pattern}"))
+    out = {}
+    for name, trigger in TRIGGERS.items():
+        others = "|".join(p for n, p in TRIGGERS.items() if n != name)
+        joined = some(f"(?:{trigger}).*{OR}(?:{others})") | some(f"(?:{others}).*{OR}(?:{trigger})")
+        out[name] = some(trigger) & ~some(f"{NEGATION}.*(?:{trigger})") & ~some(trigger, quoted) & ~joined
+    return out
+
+
+def field_after(question: Column, trigger: str) -> Column:
+    """The word after the first trigger, an `of` and a `the` aside; null if none follows."""
+    rest = F.regexp_extract(question, f"(?is)(?:{trigger})(.*)$", 1)
+    end = r"(?![\p{L}\p{N}_]|-[\p{L}\p{N}_])"
+    return F.nullif(F.regexp_extract(rest, rf"(?is)^(?:\s+of{end})?+(?:\s+the{end})?+\s+({FIELD})", 1), F.lit(""))
 
 
 def time_range(question: Column, now: Column) -> Column:
@@ -72,31 +107,33 @@ def radius_box(km: Column, lat: Column, lon: Column) -> dict[str, Column]:
 def hints(questions: DataFrame, now: Column) -> DataFrame:
     """question and its hints: time range, similarity, path, place, box, operation and field, ranking; refused says why a question can't be answered."""
     q = F.col("question")
-    free = plain(q)
-    operation = F.coalesce(*(F.when(free.rlike(f"(?i){p}"), name) for name, p in OPERATIONS.items()))
-    after = F.coalesce(*(F.when(operation == name, F.regexp_extract(free, rf"(?i){p}\s+(?:(?:of|the)\s+)*([\p{{L}}\p{{N}}_]+(?:-[\p{{L}}\p{{N}}_]+)*)", 2)) for name, p in OPERATIONS.items()))
+    asked = triggered(q)
+    operation = F.coalesce(*(F.when(asked[name], name) for name in WORDS))
+    whole = F.array_join(clauses(q), " ; ")
+    extreme = {"min": F.nullif(F.regexp_extract(whole, f"(?is){LOWEST}", 1), F.lit("")), "max": F.nullif(F.regexp_extract(whole, f"(?is){HIGHEST}", 1), F.lit(""))}
+    field = F.coalesce(*(F.when(operation == name, F.when(q.rlike(f"(?i){p}"), field_after(q, p)).otherwise(extreme[name]) if name in extreme else field_after(q, p)) for name, p in WORDS.items() if name != "count"))
     number = lambda i: F.regexp_extract(q, f"(?i){WITHIN}", i).try_cast("double")
     unit = F.lower(F.regexp_extract(q, f"(?i){WITHIN}", 2))
     km = number(1) * F.when(unit == "m", 0.001).when(unit.startswith("mile"), KM_PER_MILE).otherwise(1.0)
     lat, lon = number(3), number(4)
     within, sane = q.rlike(f"(?i){WITHIN}"), F.abs(lat).between(0, 90) & F.abs(lon).between(0, 180)
     box = radius_box(km, lat, lon)
-    top = F.regexp_extract(free, r"(?i)\b(?:top|bottom)\s+(\d+)\b", 1)
+    top = F.coalesce(*(F.nullif(F.regexp_extract(q, rf"(?i)\b{word}\s+(\d+)\b", 1), F.lit("")) for word in ("top", "bottom")))
     bad_span = F.regexp_extract(q, r"(?i)\blast\s+(-?\d+)\s+(?:hour|day)s?\b", 1)
     places = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(q), F.lit(f"(?i){PLACE}"), F.lit(0)), lambda p: F.regexp_replace(p, r"\s", "-")))
     place = F.when(q.rlike(f"(?i){PLACE}"), F.concat_ws("-", F.regexp_extract(q, f"(?i){PLACE}", 1), F.regexp_extract(q, f"(?i){PLACE}", 2)))
     refused = F.when((bad_span != "") & (F.coalesce(bad_span.try_cast("bigint"), F.lit(0)) < 1), "number out of range").when(within & ~sane, "number out of range").when(F.size(places) > 1, "two places")
-    ranking = operation.isNull() & free.rlike(r"(?i)\b((top|bottom)\s+\d+|most|least)\b")
+    ranking = operation.isNull() & asked["ranking"]
     return questions.select(
         "question",
         time_range(q, now)["start"].alias("start"),
         time_range(q, now)["end"].alias("end"),
-        free.rlike(f"(?i){SIMILAR}").alias("similarity"),
+        asked["similarity"].alias("similarity"),
         (q.rlike(f"(?i){PATH}") | place.isNotNull()).alias("path"),
         F.when(q.rlike(f"(?i){PATH}"), F.coalesce(F.nullif(F.regexp_extract(q, r"\b([a-zA-Z]+-[a-zA-Z0-9-]+)\b", 1), F.lit("")), place)).otherwise(place).alias("place"),
         *(F.when(within & sane, F.round(v, 6)).alias(k) for k, v in box.items()),
         operation.alias("operation"),
-        F.when(operation.isNotNull(), F.nullif(after, F.lit(""))).alias("field"),
+        field.alias("field"),
         ranking.alias("ranking"),
         F.when(ranking, top.try_cast("int")).alias("limit"),
         refused.alias("refused"),

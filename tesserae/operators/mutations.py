@@ -14,6 +14,9 @@ from ..functions.identifiers import level_prefix
 KEY = ["subject", "predicate", "source"]
 IDENTITY = ["subject", "predicate", "datatype", "source", "context", "object_kind", "object_str"]
 CONTAINER_TYPES = ("group", "container", "level")
+# The source of derived statements, and by segments of the prefix the membership and how its container is filled up to six parts.
+HIERARCHY = "graph-ingest-hierarchy"
+MEMBERSHIPS = {5: ("hierarchy.type.member", ".group"), 4: ("hierarchy.system.member", ".group.container"), 3: ("hierarchy.domain.member", ".group.container.level")}
 PROFILES = ("content", "control", "signal", "trace")
 
 
@@ -35,10 +38,20 @@ def stale_sets(arrivals: DataFrame) -> DataFrame:
     return sets.withColumn("before", before).where("newest < before").select(*KEY, "seq")
 
 
-def create(stored: DataFrame, arriving: DataFrame) -> DataFrame:
-    """Arriving entities with an outcome: applied, or entity_exists."""
+def create(stored: DataFrame, arriving: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """Arriving entities with an outcome: applied, entity_exists, or why one is refused.
+
+    Refused are entities with a statement that lacks its source or time (missing_metadata) or is about another subject than its
+    entity_id (subject_mismatch), if that column is there; and, with the table of registered types (message_type), those of another type.
+    """
     held = stored.select("subject").distinct().withColumn("held", F.lit(True))
-    return arriving.select("subject").distinct().join(held, "subject", "left").select("subject", F.when(F.col("held"), "entity_exists").otherwise("applied").alias("outcome"))
+    rows = arriving if "entity_id" in arriving.columns else arriving.withColumn("entity_id", F.col("subject"))
+    if types is not None:
+        rows = rows.join(F.broadcast(types.select("message_type").distinct().withColumn("known_", F.lit(True))), "message_type", "left")
+    known = F.coalesce("known_", F.lit(False)) if types is not None else F.lit(True)
+    checks = rows.groupBy(F.col("entity_id").alias("subject")).agg(F.min(known).alias("known"), F.max(F.col("subject") != F.col("entity_id")).alias("other"), F.max((F.coalesce("source", F.lit("")) == "") | F.col("ts").isNull()).alias("bare"))
+    outcome = F.when(~F.col("known"), "unregistered_type").when(F.col("other"), "subject_mismatch").when(F.col("bare"), "missing_metadata").when(F.col("held"), "entity_exists").otherwise("applied")
+    return checks.join(held, "subject", "left").select("subject", outcome.alias("outcome"))
 
 
 def append(stored: DataFrame, arriving: DataFrame) -> DataFrame:
@@ -75,6 +88,12 @@ def unchanged(stored: DataFrame, desired: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def revision_outcomes(asked: DataFrame, revisions: DataFrame) -> DataFrame:
+    """subject, outcome of writes (subject, expected: null for any) against revisions (subject, kv_revision): applied, entity_not_found or revision_mismatch."""
+    outcome = F.when(F.col("kv_revision").isNull(), "entity_not_found").when(F.col("expected") != F.col("kv_revision"), "revision_mismatch").otherwise("applied")
+    return asked.join(revisions, "subject", "left").select("subject", outcome.alias("outcome"))
+
+
 def delete(stored: DataFrame, subjects: DataFrame, revisions: DataFrame | None = None) -> DataFrame:
     """What holds after the subjects were deleted; with revisions (subject, kv_revision) only where `expected` equals the entity's."""
     if revisions is not None:
@@ -101,22 +120,31 @@ def indexing_profiles(births: DataFrame, floors: dict[str, str] | None = None, d
     return births.groupBy("subject").agg(own.alias("own")).select("subject", F.coalesce("own", floor).alias("profile"))
 
 
-def hierarchy(births: DataFrame, org: str, platform: str, source: str = "hierarchy") -> DataFrame:
-    """Statements that place each born entity in its three containers (type, domain, system), stamped with its latest own time.
+def hierarchy(births: DataFrame, org: str, platform: str, source: str = HIERARCHY) -> DataFrame:
+    """Statements that place each born entity in its three containers, stamped with its latest own time.
 
     Containers themselves (their instance is a reserved word) and entities of other authorities get none. A container is the prefix of its
     level, filled up to six parts with the level's reserved word.
     """
     local = births.where(own_authority(F.col("subject"), org, platform) & ~F.element_at(F.split("subject", r"\."), 6).isin(*CONTAINER_TYPES))
     ids = local.groupBy("subject").agg(F.max("ts").alias("ts"))
-    levels = [
-        F.struct(F.lit("hierarchy.type.member").alias("predicate"), F.concat(level_prefix(F.col("subject"), 5), F.lit(".group")).alias("object_str")),
-        F.struct(F.lit("hierarchy.domain.member").alias("predicate"), F.concat(level_prefix(F.col("subject"), 4), F.lit(".group.container")).alias("object_str")),
-        F.struct(F.lit("hierarchy.system.member").alias("predicate"), F.concat(level_prefix(F.col("subject"), 3), F.lit(".group.container.level")).alias("object_str")),
-    ]
+    levels = [F.struct(F.lit(predicate).alias("predicate"), F.concat(level_prefix(F.col("subject"), n), F.lit(tail)).alias("object_str")) for n, (predicate, tail) in MEMBERSHIPS.items()]
     return ids.select("subject", "ts", F.explode(F.array(*levels)).alias("m")).select("subject", "m.predicate", "m.object_str", F.lit(source).alias("source"), "ts")
 
 
+def containers(placed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The statement with which each container that hierarchy() names and nothing stored holds is born, at the time of its first member."""
+    born = placed.groupBy(F.col("object_str").alias("subject")).agg(F.min("ts").alias("ts"))
+    if stored is not None:
+        born = born.join(stored.select("subject").distinct(), "subject", "left_anti")
+    return born.select("subject", F.lit("entity.type.class").alias("predicate"), F.lit("hierarchy.container").alias("object_str"), F.lit(HIERARCHY).alias("source"), "ts")
+
+
+def by_subject(statements: DataFrame) -> DataFrame:
+    """entity_id, subject, foreign: whose statements a message about entity_id carries; foreign ones belong to their own subject's entity."""
+    return statements.groupBy("entity_id", "subject").agg(F.count("*").alias("statements")).withColumn("foreign", F.col("subject") != F.col("entity_id"))
+
+
 def redelivered(messages: DataFrame, applied: DataFrame) -> DataFrame:
     """Messages (entity, stream, generation, seq) that are newer than the last applied of their entity and stream; of repeats one."""
     last = applied.groupBy("entity", "stream").agg(F.max(F.struct("generation", "seq")).alias("last"))

@@ -13,6 +13,16 @@ def messages(log: DataFrame, pattern: str, limit: int = 100) -> DataFrame:
     return log.where(F.col("subject").rlike(subject_regex(pattern))).orderBy(F.col("ts").desc(), F.col("message_id").desc()).limit(limit)
 
 
+def trace(log: DataFrame, trace_id: str) -> DataFrame:
+    """All entries of one trace, oldest first."""
+    return log.where(F.col("trace_id") == trace_id).orderBy("ts", "message_id")
+
+
+def log_stats(log: DataFrame) -> DataFrame:
+    """entries, subjects, oldest, newest of the whole log."""
+    return log.agg(F.count("*").alias("entries"), F.countDistinct("subject").alias("subjects"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+
+
 def subjects(log: DataFrame) -> DataFrame:
     return log.groupBy("subject").agg(F.count("*").alias("entries"), F.max("ts").alias("newest"))
 
@@ -35,12 +45,27 @@ def growth(samples: DataFrame, least_seconds: int = 5) -> DataFrame:
     return rows.select("key", "ts", (F.round((F.col("bytes") - F.col("base.bytes")) / ((F.col("micros") - F.col("base.micros")) / 1e6), 6) + 0.0).alias("rate"))
 
 
-def pressure(stores: DataFrame, share: float = 0.8) -> DataFrame:
-    """key, headroom, seconds_left, band of stores (key, bytes, capacity, rate): the more severe of the bands of headroom and horizon."""
-    left, limit = 1 - F.col("bytes") / F.col("capacity"), F.col("capacity") * share
-    seconds = F.when(F.col("bytes") >= limit, 0.0).when(F.col("rate") > 0, (limit - F.col("bytes")) / F.col("rate"))
-    severity = F.greatest(F.when(left < 0.05, 2).when(left < 0.2, 1).otherwise(0), F.when(seconds < 3600, 2).when(seconds < 86400, 1).otherwise(0))
-    return stores.select("key", F.round(left, 6).alias("headroom"), F.round(seconds, 6).alias("seconds_left"), F.element_at(F.array(F.lit("normal"), F.lit("warning"), F.lit("critical")), severity + 1).alias("band"))
+# Bands from the mildest, with the free share and the seconds left at or below which a store is in them.
+BANDS = (("warning", 0.25, 72 * 3600.0), ("high", 0.15, 24 * 3600.0), ("critical", 0.05, 4 * 3600.0))
+
+
+def pressure(stores: DataFrame) -> DataFrame:
+    """key, headroom, seconds_left, band, raised_by of stores (key, bytes, capacity, rate): the more severe of the bands of headroom and horizon.
+
+    The seconds left run to the critical free share at the rate known; without a positive rate there are none, even for a full store. A
+    store without a capacity has no band. raised_by says which of the two gave the band.
+    """
+    free = (F.col("capacity") - F.col("bytes")) / F.col("capacity")
+    limit = F.floor(F.col("capacity") * (1 - BANDS[-1][1]))
+    seconds = F.when((F.col("rate") > 0) & ~F.isnan("rate"), F.greatest((limit - F.col("bytes")) / F.col("rate"), F.lit(0.0)))
+    severity = lambda value, at: F.when(value.isNull(), 0).otherwise(sum((value <= band[at]).cast("int") for band in BANDS))
+    space, time = severity(free, 1), severity(seconds, 2)
+    worst = F.greatest(space, time)
+    bounded = F.col("capacity") > 0
+    raised = F.when(worst == 0, "none").when(space == time, "both").when(space > time, "headroom").otherwise("time-to-threshold")
+    names = F.array(F.lit("normal"), *(F.lit(band[0]) for band in BANDS))
+    columns = {"headroom": F.round(free, 6), "seconds_left": F.round(seconds, 6), "band": F.element_at(names, worst + 1), "raised_by": raised}
+    return stores.select("key", *(F.when(bounded, c).alias(k) for k, c in columns.items()))
 
 
 def error_rates(results: DataFrame, last: int = 20, least: int = 5, limit: float = 0.5) -> DataFrame:

@@ -25,7 +25,7 @@ def path_search(graph: DataFrame, start: str, direction: str = "outgoing", max_d
         raise ValueError("direction, max_depth (1 to 10) or max_nodes (0 to 500) is out of range")
     room = (max_nodes or 100) - 1
     graph = graph.where(F.col("predicate").isin(predicates)) if predicates else graph
-    steps = crossings(graph, direction).distinct()
+    steps = crossings(graph, direction)  # repeats go when the first edge to each entity is taken, after the frontier has met the edges
     schema = "visit long, entity_id string, depth int, from_id string, predicate string, to_id string"
     found = graph.sparkSession.createDataFrame([(0, start, 0, None, None, None)], schema)
     frontier, truncated, seen = found, False, 1
@@ -52,7 +52,7 @@ def path_search(graph: DataFrame, start: str, direction: str = "outgoing", max_d
 
 def reachable(graph: DataFrame, starts: DataFrame, direction: str, max_depth: int = 10) -> DataFrame:
     """entity_id, depth: everything within max_depth of the starts (entity_id), without a bound on their number."""
-    steps = stored(crossings(graph, direction).select("here", "there").distinct(), "steps")
+    steps = stored(crossings(graph, direction).select("here", "there"), "steps")
     found = stored(starts.select("entity_id").distinct().withColumn("depth", F.lit(0)), "reached")
     for depth in range(1, max_depth + 1):
         last = found.where(F.col("depth") == depth - 1).select(F.col("entity_id").alias("here"))
@@ -70,6 +70,24 @@ def impact(graph: DataFrame, seeds: DataFrame, max_nodes: int = 200) -> DataFram
     return hit.orderBy("depth", "entity_id").limit(max_nodes)
 
 
+def impact_counts(hit: DataFrame, triples: DataFrame, file_predicate: str) -> DataFrame:
+    """nodes, files: how many entities (entity_id) depend on the seeds, and in how many distinct files they lie."""
+    files = triples.where(F.col("predicate") == file_predicate).select(F.col("subject").alias("entity_id"), F.col("object_str").alias("file"))
+    return hit.select("entity_id").distinct().join(files, "entity_id", "left").agg(F.countDistinct("entity_id").alias("nodes"), F.countDistinct("file").alias("files"))
+
+
+def path_arrays(walk: DataFrame) -> DataFrame:
+    """entity_id, path: the edges (as from>predicate>to) by which a walk of path_search came to each of its entities, in order. A walk has 500 entities at most."""
+    edge = F.concat_ws(">", "from_id", "predicate", "to_id")
+    steps = walk.select("entity_id", "depth", F.when(F.col("from_id") == F.col("entity_id"), F.col("to_id")).otherwise(F.col("from_id")).alias("parent"), edge.alias("edge"))
+    out = steps.where("depth = 0").select("entity_id", F.array().cast("array<string>").alias("path"))
+    level = out
+    for depth in range(1, (walk.agg(F.max("depth")).first()[0] or 0) + 1):
+        level = stored(steps.where(F.col("depth") == depth).join(level.withColumnRenamed("entity_id", "parent"), "parent").select("entity_id", F.concat("path", F.array("edge")).alias("path")), "path-arrays")
+        out = out.union(level)
+    return out
+
+
 def paths(graph: DataFrame, start: str, max_hops: int = 4, max_paths: int = 10) -> DataFrame:
     """rank, path (ids joined by >), ending (leaf, depth or cycle): paths over outgoing edges in depth-first order of (predicate, target)."""
     steps = graph.select(F.col("from_id").alias("last"), "predicate", F.col("to_id").alias("next")).distinct()

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import number_text, valid_entity_id
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
-# The datatypes that a predicate may declare, as RDF datatypes.
-DECLARED = {"int": "integer", "float": "double", "bool": "boolean", "datetime": "dateTime"}
 BLANK = r"^_:[A-Za-z0-9_]([A-Za-z0-9_.-]*[A-Za-z0-9_-])?$"
 
 
@@ -48,20 +48,57 @@ def object_term(kind: Column, text: Column, num: Column, datatype: Column, base:
     )
 
 
-def terms(triples: DataFrame, base: str, registered: dict[str, str] | None = None) -> DataFrame:
-    """subject, s, p, o, ord of the statements that RDF can hold; those without subject, predicate or object, and numbers that aren't finite, are left out."""
+def declared_kind(kind: Column, text: Column, num: Column, declared: Column) -> Column:
+    """The RDF datatype that the predicate declares, where the value can carry it; a whole float is an integer."""
+    whole = num == F.floor(num)
+    return (
+        F.when((declared == "int") & (kind == "number") & whole, "integer")
+        .when((declared == "float") & (kind == "number"), F.when(whole, "integer").otherwise("double"))
+        .when((declared == "bool") & (kind == "bool"), "boolean")
+        .when((declared == "datetime") & (kind == "string") & text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), "dateTime")
+    )
+
+
+def terms(triples: DataFrame, base: str, registered: dict[str, str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+    """subject, s, p, o, ord of the statements that RDF can hold; those without subject, predicate or object, and numbers that aren't finite, are left out.
+
+    The vocabulary (predicate, datatype) declares datatypes for statements that carry none of their own; `string` keeps a text that looks like an id a text.
+    """
     rows = triples.where((F.col("subject") != "") & (F.col("predicate") != "") & F.col("object_str").isNotNull())
-    found = rows.select("subject", "ord", subject_term(F.col("subject"), base).alias("s"), predicate_term(F.col("predicate"), base, registered or {}).alias("p"), object_term(F.col("object_kind"), F.col("object_str"), F.col("object_num"), F.col("datatype"), base).alias("o"))
+    o = object_term(F.col("object_kind"), F.col("object_str"), F.col("object_num"), F.col("datatype"), base)
+    if vocabulary is not None:
+        rows = rows.join(vocabulary.select("predicate", F.col("datatype").alias("declared_")), "predicate", "left")
+        text = F.when(F.col("object_kind") == "number", number_text(F.col("object_num"))).otherwise(F.col("object_str"))
+        kind = declared_kind(F.col("object_kind"), F.col("object_str"), F.col("object_num"), F.col("declared_"))
+        typed = F.when(kind.isNotNull(), F.concat(quoted(text), F.lit(f"^^<{XSD}"), kind, F.lit(">"))).when((F.col("declared_") == "string") & (F.col("object_kind") == "string"), quoted(F.col("object_str")))
+        own = F.coalesce("datatype", F.lit("")) == ""
+        o = F.when(own & typed.isNotNull(), typed).otherwise(o)
+    found = rows.select("subject", "ord", subject_term(F.col("subject"), base).alias("s"), predicate_term(F.col("predicate"), base, registered or {}).alias("p"), o.alias("o"))
     return found.where("o is not null")
 
 
-def ntriples(triples: DataFrame, base: str, registered: dict[str, str] | None = None) -> DataFrame:
-    return terms(triples, base, registered).select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("line"))
+def ntriples(triples: DataFrame, base: str, registered: dict[str, str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+    return terms(triples, base, registered, vocabulary).select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("line"))
+
+
+def compacted(term: Column, prefixes: dict[str, str]) -> Column:
+    """An IRI as prefix:name where a prefix is declared for it and the rest is a plain name; a datatype likewise."""
+    out = term
+    for name, iri in prefixes.items():
+        out = F.regexp_replace(out, rf"(^|\^\^)<{re.escape(iri)}([A-Za-z_][A-Za-z0-9_-]*)>$", rf"$1{name}:$2")
+    return out
+
+
+def prefix_lines(prefixes: dict[str, str]) -> str:
+    """What stands before the first block of a Turtle file."""
+    return "".join(f"@prefix {name}: <{iri}> .\n" for name, iri in sorted(prefixes.items()))
 
 
-def turtle(triples: DataFrame, base: str, registered: dict[str, str] | None = None) -> DataFrame:
-    """subject, block: the statements of each subject in one block, by predicate and object."""
-    rows = terms(triples, base, registered).groupBy("subject", "s").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "p", "o"))).alias("lines"))
+def turtle(triples: DataFrame, base: str, registered: dict[str, str] | None = None, prefixes: dict[str, str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+    """subject, block: the statements of each subject in one block, repeats kept, by predicate and object; prefix_lines() come before them."""
+    prefixes = {"xsd": XSD} | (prefixes or {})
+    rows = terms(triples, base, registered, vocabulary).select("subject", compacted(F.col("s"), prefixes).alias("s"), compacted(F.col("p"), prefixes).alias("p"), compacted(F.col("o"), prefixes).alias("o"))
+    rows = rows.groupBy("subject", "s").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))).alias("lines"))
     return rows.select("subject", F.concat("s", F.lit(" "), F.array_join("lines", " ;\n    "), F.lit(" .")).alias("block"))
 
 

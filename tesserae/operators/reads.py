@@ -76,8 +76,9 @@ def scan(triples: DataFrame, subject: str = "", predicate: str = "", object_: st
 
 def latest_statement(triples: DataFrame) -> DataFrame:
     """One statement for each subject and predicate: the latest, then the smallest source, then the first stored."""
-    first = F.row_number().over(Window.partitionBy("subject", "predicate").orderBy(F.col("ts").desc(), "source", "ord", "object_str"))
-    return triples.withColumn("place", first).where("place = 1").select("subject", "predicate", "object_str", "ts")
+    order = F.struct(-F.unix_micros(F.col("ts").cast("timestamp")), "source", "ord", "object_str")
+    first = triples.groupBy("subject", "predicate").agg(F.min_by(F.struct("object_str", "ts"), order).alias("first"))
+    return first.select("subject", "predicate", "first.object_str", "first.ts")
 
 
 def label_salience(labels: tuple[str, ...] = LABELS):
@@ -90,6 +91,34 @@ def entity_labels(triples: DataFrame, labels: tuple[str, ...] = LABELS) -> DataF
     return named.groupBy("subject").agg(F.min_by("object_str", F.struct(label_salience(labels), "predicate", "ord", "object_str")).alias("label"))
 
 
+class NotYetIndexed(ValueError):
+    """What is asked for is newer than what is indexed."""
+
+
+def at_revision(view: DataFrame, indexed_revision: int, min_revision: int = 0) -> DataFrame:
+    """The view, unless a caller asks for a later revision than it holds."""
+    if min_revision > indexed_revision:
+        raise NotYetIndexed(f"revision {min_revision} is asked for, {indexed_revision} is indexed")
+    return view
+
+
+def page_within(rows: DataFrame, order: list, budget: int) -> DataFrame:
+    """The leading rows of a page whose JSON encodings, commas included, fit into so many bytes, the first always. A page has 1000 rows at most."""
+    size = F.octet_length(F.to_json(F.struct(*rows.columns))) + 1
+    page = rows.orderBy(*order).limit(MAX_PAGE).withColumn("size_", size).withColumn("page_", F.lit(1))
+    return within_budget(page, ["page_"], order, "size_", MAX_PAGE, budget).drop("size_", "page_", "place")
+
+
+def hydrated(hits: DataFrame, triples: DataFrame) -> DataFrame:
+    """rank, entity_id, statements, state of hits (rank, entity_id) in their order: found, missing or damaged; only the found are answers, the others are counted."""
+    own = triples.join(hits.select(F.col("entity_id").alias("subject")).distinct(), "subject", "left_semi")
+    held = own.groupBy(F.col("subject").alias("entity_id")).agg(F.count("*").alias("statements"))
+    broken = damaged_entities(own).select(F.col("subject").alias("entity_id"), F.lit(True).alias("broken"))
+    state = F.when(F.col("statements").isNull(), "missing").when(F.col("broken"), "damaged").otherwise("found")
+    rows = hits.select("rank", "entity_id").join(held, "entity_id", "left").join(broken, "entity_id", "left")
+    return rows.select("rank", "entity_id", F.when(state == "found", F.col("statements")).alias("statements"), state.alias("state"))
+
+
 def within_budget(rows: DataFrame, group: list[str], order: list, size: str, max_rows: int = 20, max_size: int = 60_000) -> DataFrame:
     """The leading rows of each group that fit: the first always, then until the count or the sum of sizes is reached; nothing after a refusal."""
     by = Window.partitionBy(*group).orderBy(*order)

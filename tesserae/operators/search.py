@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import in_scope, level_prefix
 from ..functions.words import holds_run, words
 from ..plans.query_text import Query, parse_query
+from .checkpoints import stored
 
 NAME_WEIGHT, K1, B = 2, 1.2, 0.75
 DEPTH, RRF = 100, 60
@@ -21,8 +22,15 @@ def checked_limit(limit: int) -> int:
 
 
 def word_index(docs: DataFrame) -> DataFrame:
-    """entity_id, name_words, body_words of documents (entity_id, name, body)."""
-    return docs.select("entity_id", words(F.coalesce("name", F.lit(""))).alias("name_words"), words(F.coalesce("body", F.lit(""))).alias("body_words"))
+    """entity_id, name_words, body_words of documents (entity_id, name, body): a stored table, so that texts are tokenised once however many searches read it."""
+    return stored(docs.select("entity_id", words(F.coalesce("name", F.lit(""))).alias("name_words"), words(F.coalesce("body", F.lit(""))).alias("body_words")), "word-index")
+
+
+def indexed_again(index: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The index after a batch: documents (entity_id, name, body) that changed are tokenised, those deleted (entity_id) go, the rest stays as it is."""
+    touched = changed.select("entity_id").union(deleted.select("entity_id")).distinct()
+    fresh = word_index(changed.join(deleted.select("entity_id"), "entity_id", "left_anti"))
+    return stored(index.join(touched, "entity_id", "left_anti").unionByName(fresh), "word-index")
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -35,7 +43,8 @@ def word_search(index: DataFrame, query: str | Query, scope: list[str] | None =
     """rank, entity_id, score, matched: the best entities by BM25F; matched counts before the limit.
 
     Counts and lengths are those of the whole index; the scope filters afterwards. A candidate holds a scored word, every phrase and no
-    excluded run. Only the query's words are exploded, so the index is read once and little of it is shuffled.
+    excluded run. Words are counted inside the row: one pass over the index for the counts and one for the scores of the few that match, which are
+    stored, as their number and the best of them are both asked for.
     """
     q = parse_query(query) if isinstance(query, str) else query
     limit = checked_limit(limit)
@@ -59,7 +68,7 @@ def word_search(index: DataFrame, query: str | Query, scope: list[str] | None =
         held = held & (holds_run(F.col("name_words"), phrase) | holds_run(F.col("body_words"), phrase))
     for run in q.excluded:
         held = held & ~(holds_run(F.col("name_words"), run) | holds_run(F.col("body_words"), run))
-    hits = scored.where(held & in_scope(F.col("entity_id"), scope)).select("entity_id", F.round(score, 6).alias("score"))
+    hits = stored(scored.where(held & in_scope(F.col("entity_id"), scope)).select("entity_id", F.round(score, 6).alias("score")), "hits")
     total = hits.agg(F.count("*").alias("matched"))
     top = hits.orderBy(F.col("score").desc(), "entity_id").limit(limit).crossJoin(F.broadcast(total))
     return top.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "entity_id")).cast("long").alias("rank"), "entity_id", "score", "matched")
@@ -136,6 +145,13 @@ def local_search(index: DataFrame, entity: str, query: str, level: int = 0, limi
     return word_search(index, query, [".".join(entity.split(".")[: {0: 4, 1: 3, 2: 2}[level]])], limit)
 
 
+def with_records(hits: DataFrame, records: DataFrame, level: int = 0) -> DataFrame:
+    """rank, entity_id, group_id, record_state (read or none), summary: each hit with its group's record (level, group_id, summary), as far as there is one."""
+    own = hits.select("rank", "entity_id", level_prefix(F.col("entity_id"), {0: 4, 1: 3, 2: 2}[level]).alias("group_id"))
+    kept = records.where(F.col("level") == level).select("group_id", "summary")
+    return own.join(kept, "group_id", "left").select("rank", "entity_id", "group_id", F.when(F.col("summary").isNull(), "none").otherwise("read").alias("record_state"), "summary")
+
+
 def answer_text(hits: DataFrame, level: int = 0) -> DataFrame:
     """answer: one sentence on how many entities match, in how many groups."""
     groups = grouped_hits(hits, level)

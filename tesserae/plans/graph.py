@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import communities, edges, paths, reads, search
 
 
 class Graph:
+    """Damaged entities are left out of every view; `damaged` has them and why. Batch reads name them."""
+
     def __init__(self, triples: DataFrame, alias_predicates: tuple[str, ...] = (), labels: tuple[str, ...] = reads.LABELS) -> None:
-        self.triples, self.alias_predicates, self.labels = triples, list(alias_predicates), labels
+        self.all_triples, self.alias_predicates, self.labels = triples, list(alias_predicates), labels
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        return reads.intact(self.all_triples)
+
+    @cached_property
+    def damaged(self) -> DataFrame:
+        return reads.damaged_entities(self.all_triples)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -26,7 +36,7 @@ class Graph:
         return reads.entity(self.triples, entity_id)
 
     def batch(self, requested: DataFrame) -> DataFrame:
-        return reads.batch(self.triples, requested)
+        return reads.batch(self.all_triples, requested)
 
     def prefix(self, prefix: str, after: str = "", limit: int = 0) -> DataFrame:
         """A page of ids with all statements of each."""
@@ -68,14 +78,22 @@ class Graph:
         found = self.alias(asked)
         return found.join(self.triples, found["entity_id"] == self.triples["subject"], "left").drop("subject")
 
+    def named(self, word: str, limit: int = 10) -> DataFrame:
+        """rank, entity_id, score, matched: what the word names, as its id or alias, or else as its name."""
+        asked = self.all_triples.sparkSession.createDataFrame([(word.strip(),)], "alias string")
+        own = edges.resolve_references(edges.aliases(self.triples, self.alias_predicates), asked).where("entity_id is not null").join(self.ids, F.col("entity_id") == F.col("id"), "left_semi").select(F.lit(0).cast("long").alias("rank"), "entity_id")
+        found = own.unionByName(self.by_name(word, limit).select("rank", "entity_id")).groupBy("entity_id").agg(F.min("rank").alias("first"))
+        place = F.row_number().over(Window.orderBy("first", "entity_id")).cast("long")
+        return found.orderBy("first", "entity_id").limit(limit).select(place.alias("rank"), "entity_id", F.lit(1.0).alias("score"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("matched"))
+
     def path_search(self, start: str, **how) -> DataFrame:
         return paths.path_search(self.edges, start, **how)
 
     def hierarchy_stats(self, prefix: str) -> DataFrame:
         return communities.hierarchy_stats(self.ids, prefix)
 
-    def summary(self) -> DataFrame:
-        return communities.type_summary(self.ids)
+    def summary(self, prefix: str = "", after: str = "") -> DataFrame:
+        return communities.summary(self.triples, prefix, after)
 
     def documents(self, suffixes: tuple[str, ...] = (".title", ".content", ".description", ".summary", ".text", ".name", ".body", ".abstract", ".subject")) -> DataFrame:
         """entity_id, name, body: text literals, those of label predicates and of `.name` and `.title` as the name, joined in stored order."""
@@ -92,8 +110,10 @@ class Graph:
         return search.local_search(search.word_index(self.documents()), entity, query, level, limit)
 
     def global_search(self, query: str, level: int = 0, limit: int = 10) -> DataFrame:
-        """Word search, each hit with its label and its group at the level."""
-        hits = self.word_search(query, limit=limit)
+        """Word search, each hit with its label and its group at the level. A question of one word that names an entity, by id, alias or name, is answered by this entity."""
+        hits = self.named(query, limit) if len(query.split()) == 1 else None
+        if hits is None or hits.isEmpty():
+            hits = self.word_search(query, limit=limit)
         groups = search.grouped_hits(hits, level).select("group_id", "group_rank")
         own = hits.withColumn("group_id", F.substring_index("entity_id", ".", {0: 4, 1: 3, 2: 2}[level]))
         names = reads.entity_labels(self.triples, self.labels).withColumnRenamed("subject", "entity_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import regex
+
 from ..functions.words import MAX_WORD_BYTES, STOPWORDS
 
 MAX_TERMS = 32
@@ -35,9 +37,9 @@ class Query:
 def query_words(text: str) -> list[str]:
     """The words of a short text; the same rules as functions.words has for columns."""
     out = []
-    for run in re.findall(r"[^\W_]+", text):
-        run = re.sub(r"(?<=[A-Z]{2})s$", "", run)
-        for part in re.split(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", run):
+    for run in regex.findall(r"[\p{L}\p{Nd}]+", text):
+        run = regex.sub(r"(?<=[\p{Lu}\p{Lt}]{2})s$", "", run)
+        for part in regex.split(r"(?<=\p{Ll})(?=[\p{Lu}\p{Lt}])|(?<=[\p{Lu}\p{Lt}])(?=[\p{Lu}\p{Lt}]\p{Ll})", run):
             w = part.lower()
             f = folded(w)
             if w and w not in STOPWORDS and f not in STOPWORDS and len(f.encode()) <= MAX_WORD_BYTES:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import identifiers
-from .functions.words import words
-from .operators import communities, edges, fusion, hints, lifecycle, mutations, operations, paths, rdf, reads, search
+from .functions.texts import truncated
+from .operators import bodies, communities, edges, fusion, hints, lifecycle, mutations, operations, paths, ranges, rdf, reads, search, vocabulary
+from .functions.words import STOPWORDS
+from .plans.graph import Graph
 from .sources import tables as t
 from .sources.tables import SHOP, TEXT, triples, triples_sql
 
@@ -217,7 +219,10 @@ def path_search(spark, d):
     return paths.path_search(graph(spark, d), REGION0, "both", 3, 100)
 
 
-@query()
+@query(with_triples(LINKS, f""", d AS (SELECT DISTINCT e.from_id, e.predicate, e.to_id, h.from_id IS NULL AS leaf FROM e LEFT JOIN (SELECT DISTINCT from_id FROM e) h ON h.from_id = e.to_id),
+r AS (SELECT ['{t.ORDER}1'] AS ids, CAST([] AS VARCHAR[]) AS key, '{t.ORDER}1' AS last, 0 AS hop, CAST(NULL AS VARCHAR) AS ending
+      UNION ALL SELECT list_append(ids, to_id), list_append(key, predicate || chr(1) || to_id), to_id, hop + 1, CASE WHEN list_contains(ids, to_id) THEN 'cycle' WHEN leaf THEN 'leaf' WHEN hop = 3 THEN 'depth' END FROM r JOIN d ON from_id = last WHERE ending IS NULL)
+SELECT row_number() OVER (ORDER BY key) AS rank, array_to_string(ids, '>') AS path, ending FROM (SELECT * FROM r WHERE ending IS NOT NULL ORDER BY key LIMIT 10)"""))
 def path_listing(spark, d):
     return paths.paths(graph(spark, d), f"{t.ORDER}1")
 
@@ -258,28 +263,44 @@ def texts(spark, d) -> DataFrame:
     return rows.select(F.col("subject").alias("id"), F.col("object_str").alias("text"))
 
 
+_STOP = "('" + "', '".join(STOPWORDS) + "')"
 _TERMS = (
-    ", w AS (SELECT subject AS id, unnest(regexp_split_to_array(lower(object_str), '[^a-z0-9]+')) AS word FROM t), c AS (SELECT id, word, count(*) AS n FROM w WHERE length(word) BETWEEN 3 AND 32 GROUP BY ALL),"
+    f", w AS (SELECT subject AS id, lower(unnest(regexp_split_to_array(object_str, '[^A-Za-z0-9]+'))) AS word FROM t WHERE predicate IN {t.BODY}), c AS (SELECT id, word, count(*) AS n FROM w WHERE length(word) BETWEEN 3 AND 32 AND word NOT IN {_STOP} GROUP BY ALL),"
     " terms AS (SELECT id, word FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS k FROM c) WHERE k <= 32)"
 )
+_KEYWORDS = _TERMS + """, holders AS (SELECT word, count(*) AS holders FROM terms GROUP BY word), sizes AS (SELECT level, group_id, count(*) AS members FROM g GROUP BY ALL),
+held AS (SELECT level, group_id, word, count(*) AS held FROM terms JOIN g USING (id) GROUP BY ALL),
+s AS (SELECT level, group_id, word, round(held / members * ln((SELECT count(DISTINCT id) FROM terms) / holders), 6) AS score FROM held JOIN sizes USING (level, group_id) JOIN holders USING (word) WHERE held >= least(2, members)),
+keywords AS (SELECT * FROM (SELECT level, group_id, row_number() OVER (PARTITION BY level, group_id ORDER BY score DESC, word) AS rank, word, score FROM s WHERE score > 0) WHERE rank <= 10)"""
+_KINDS = ", c2 AS (SELECT level, group_id, split_part(id, '.', 5) AS entity_type, count(*) AS n FROM g GROUP BY ALL), kinds AS (SELECT *, row_number() OVER (PARTITION BY level, group_id ORDER BY n DESC, entity_type) AS rank FROM c2)"
+_RECORDS = _KEYWORDS + _KINDS + """, records AS (SELECT level, group_id, 'Community of ' || any_value(members) || ' entities including ' || (SELECT string_agg(n || ' ' || entity_type || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY rank) FROM kinds k WHERE k.level = z.level AND k.group_id = z.group_id AND rank <= 3)
+|| coalesce('. Key themes: ' || (SELECT string_agg(word, ', ' ORDER BY rank) FROM keywords k WHERE k.level = z.level AND k.group_id = z.group_id AND rank <= 5), '') || '.' AS summary FROM sizes z GROUP BY level, group_id)"""
 
 
-@query(with_triples(only(*t.BODY), _GROUPS + _TERMS + """, holders AS (SELECT word, count(*) AS holders FROM terms GROUP BY word), sizes AS (SELECT level, group_id, count(*) AS members FROM g GROUP BY ALL),
-held AS (SELECT level, group_id, word, count(*) AS held FROM terms JOIN g USING (id) GROUP BY ALL),
-s AS (SELECT level, group_id, word, round(held / members * ln((SELECT count(*) FROM i) / holders), 6) AS score FROM held JOIN sizes USING (level, group_id) JOIN holders USING (word) WHERE held >= least(2, members))
-SELECT * FROM (SELECT level, group_id, row_number() OVER (PARTITION BY level, group_id ORDER BY score DESC, word) AS rank, word, score FROM s WHERE score > 0) WHERE rank <= 10"""))
+def ids_of(spark, d) -> DataFrame:
+    return triples(spark, d, ALL).select(F.col("subject").alias("id")).distinct()
+
+
+@query(with_triples(ALL, _GROUPS + _KEYWORDS + " SELECT * FROM keywords"))
 def community_keywords(spark, d):
-    return communities.group_keywords(texts(spark, d))
+    return communities.group_keywords(texts(spark, d), ids_of(spark, d))
 
 
-@query(with_triples(only(*t.BODY), _GROUPS + _TERMS + " SELECT * FROM (SELECT level, group_id, row_number() OVER (PARTITION BY level, group_id ORDER BY id) AS rank, id FROM g WHERE id IN (SELECT id FROM terms)) WHERE rank <= 5"))
+@query(with_triples(ALL, _GROUPS + _TERMS + " SELECT * FROM (SELECT level, group_id, row_number() OVER (PARTITION BY level, group_id ORDER BY id) AS rank, id FROM g WHERE id IN (SELECT id FROM terms)) WHERE rank <= 5"))
 def community_representatives(spark, d):
     return communities.representatives(texts(spark, d))
 
 
-@query()
+@query(with_triples(ALL, _GROUPS + _RECORDS + " SELECT level, group_id, summary FROM records"))
 def community_summary(spark, d):
-    return communities.group_summary(texts(spark, d))
+    return communities.group_summary(texts(spark, d), ids_of(spark, d))
+
+
+@query(with_triples(SHOP, """, i AS (SELECT DISTINCT subject AS id FROM t), p AS (SELECT id, array_to_string(string_split(id, '.')[3:5], '.') AS k FROM (SELECT id FROM i ORDER BY id LIMIT 1000)), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS place FROM p)
+SELECT 'totals' AS section, 'entities' AS name, count(*) AS amount, NULL AS examples FROM i UNION ALL SELECT 'totals', 'scanned', count(*), NULL FROM p UNION ALL SELECT 'type', k, count(*), string_agg(CASE WHEN place <= 2 THEN id END, ',' ORDER BY id) FROM n GROUP BY k
+UNION ALL SELECT 'predicate', predicate, count(DISTINCT subject), NULL FROM t GROUP BY predicate"""))
+def graph_summary(spark, d):
+    return communities.summary(shop(spark, d))
 
 
 # ---------------------------------------------------------------- words, vectors, hybrid
@@ -290,7 +311,6 @@ _FOLD = (
     " WHEN strlen(w) > 4 AND suffix(w, 'ies') AND NOT regexp_matches(w, '[ea]ies$') THEN left(w, length(w) - 3) || 'y' WHEN strlen(w) > 3 AND suffix(w, 'es') AND NOT regexp_matches(w, '[aeo]es$') THEN left(w, length(w) - 1)"
     " WHEN strlen(w) > 2 AND suffix(w, 's') AND NOT regexp_matches(w, '[us]s$') THEN left(w, length(w) - 1) ELSE w END"
 )
-_STOP = "('" + "', '".join(__import__("tesserae.functions.words", fromlist=["STOPWORDS"]).STOPWORDS) + "')"
 
 
 def tokens_sql(source: str) -> str:
@@ -384,12 +404,37 @@ def rrf_merge(spark, d):
     return search.rrf(top("p_retailprice"), top("p_size"), 50).fillna(0, ["first_rank", "second_rank"])
 
 
-@query()
+_HITS = f"WITH w AS ({bm25_sql(['therst', 'anoned'], limit=100)}), n AS ({_COS.format(where='', n=100)} SELECT * FROM near)"
+
+
+@query(_HITS + """, m AS (SELECT coalesce(w.entity_id, n.entity_id) AS entity_id, round(coalesce(1.0 / (60 + CAST(w.rank AS DOUBLE)), 0) + coalesce(1.0 / (60 + CAST(n.rank AS DOUBLE)), 0), 9) AS score, w.rank AS first_rank, n.rank AS second_rank FROM w FULL JOIN n ON w.entity_id = n.entity_id)
+SELECT row_number() OVER (ORDER BY score DESC, entity_id) AS rank, * FROM (SELECT * FROM m ORDER BY score DESC, entity_id LIMIT 10)""")
 def search_graph(spark, d):
     v = vectors(spark, d)
     return search.search_graph(search.word_index(corpus(spark, d)), "therst anoned", v, v.where("entity_id = 'acme.lab.vec.space.item.v3'"))
 
 
+@query(_HITS + ", h AS (SELECT array_to_string(string_split(entity_id, '.')[1:4], '.') AS group_id, min(rank) AS best_rank, count(*) AS matches FROM w GROUP BY ALL) SELECT row_number() OVER (ORDER BY best_rank) AS group_rank, * FROM h")
+def grouped_hits(spark, d):
+    return search.grouped_hits(search.word_search(search.word_index(corpus(spark, d)), "therst anoned", limit=100)).withColumn("group_rank", F.col("group_rank").cast("long"))
+
+
+@query(_HITS + " SELECT 'Found ' || count(*) || ' matching entities in ' || count(DISTINCT array_to_string(string_split(entity_id, '.')[1:4], '.')) || ' groups' AS answer FROM w")
+def answer_text(spark, d):
+    return search.answer_text(search.word_search(search.word_index(corpus(spark, d)), "therst anoned", limit=100))
+
+
+@query(bm25_sql(["license"], scope="entity_id LIKE 'acme.corp.docs.text.%'", limit=20))
+def local_search(spark, d):
+    return search.local_search(search.word_index(corpus(spark, d)), f"{t.DOCUMENT}1", "license", limit=20)
+
+
+@query(with_triples(ALL, _GROUPS + _RECORDS + f", found AS ({bm25_sql(['therst', 'anoned'], limit=100)}) SELECT found.rank, entity_id, array_to_string(string_split(entity_id, '.')[1:4], '.') AS group_id, CASE WHEN summary IS NULL THEN 'none' ELSE 'read' END AS record_state, summary FROM found LEFT JOIN records r ON r.level = 0 AND r.group_id = array_to_string(string_split(entity_id, '.')[1:4], '.')"))
+def hits_with_records(spark, d):
+    hits = search.word_search(search.word_index(corpus(spark, d)), "therst anoned", limit=100)
+    return search.with_records(hits, communities.group_summary(texts(spark, d), ids_of(spark, d)))
+
+
 @query("""WITH e AS (SELECT o_custkey AS question, o_orderkey AS expected, o_totalprice FROM orders), x AS (SELECT question, max(expected) AS expected FROM e GROUP BY question),
 r AS (SELECT question, expected AS id, row_number() OVER (PARTITION BY question ORDER BY o_totalprice DESC, expected) AS rank FROM e),
 p AS (SELECT x.question, min(CASE WHEN rank <= 100 THEN rank END) AS place FROM x LEFT JOIN r ON r.question = x.question AND r.id = x.expected GROUP BY 1)
@@ -435,19 +480,46 @@ def stale_sets(spark, d):
     return mutations.stale_sets(arrivals(spark, d)).select("subject", "source", "seq")
 
 
-@query(f"WITH {_ARRIVALS}, k AS (SELECT *, seq <= 3000 AS old FROM a), s AS (SELECT DISTINCT subject, source, object_str FROM k WHERE old AND CAST(object_str AS BIGINT) % 3 = 0) SELECT n.subject, n.object_str, CASE WHEN n.subject NOT IN (SELECT subject FROM s) THEN 'entity_not_found' WHEN EXISTS (SELECT 1 FROM s WHERE s.subject = n.subject AND s.source = n.source AND s.object_str = n.object_str) THEN 'unchanged' ELSE 'applied' END AS outcome FROM k n WHERE n.old")
+_HALVES = f"WITH {_ARRIVALS}, k AS (SELECT a.*, epoch_us(ts) <= cut AS old FROM a, (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS cut FROM events))"
+
+
+def halves(spark, d) -> DataFrame:
+    """All arrivals, and whether they lie in the first half of the time that they span."""
+    rows = arrivals(spark, d)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = rows.agg(F.expr("(min(unix_micros(cast(ts as timestamp))) + max(unix_micros(cast(ts as timestamp)))) div 2").alias("cut"))
+    return rows.crossJoin(F.broadcast(cut)).withColumn("old", at <= F.col("cut")).drop("cut")
+
+
+@query(f"{_HALVES}, s AS (SELECT DISTINCT subject, source, object_str FROM k WHERE old) SELECT n.subject, n.object_str, CASE WHEN n.subject NOT IN (SELECT subject FROM s) THEN 'entity_not_found' WHEN s.subject IS NOT NULL THEN 'unchanged' ELSE 'applied' END AS outcome FROM k n LEFT JOIN s USING (subject, source, object_str)")
 def append_outcomes(spark, d):
-    early = arrivals(spark, d).where("seq <= 3000")
-    stored = early.where(F.col("object_str").cast("long") % 3 == 0)
-    return mutations.append(stored, early).select("subject", "object_str", "outcome")
+    rows = halves(spark, d)
+    return mutations.append(rows.where("old").drop("old"), rows.drop("old")).select("subject", "object_str", "outcome")
 
 
-@query(f"WITH {_ARRIVALS}, old AS (SELECT subject, source, object_str FROM a WHERE seq <= 2000), new AS (SELECT DISTINCT subject, source, object_str FROM a WHERE seq > 2000 AND seq <= 4000 AND source = 'click') SELECT subject, source, object_str FROM old WHERE NOT (source = 'click' AND subject IN (SELECT subject FROM new)) UNION ALL SELECT * FROM new")
+@query(f"{_HALVES}, new AS (SELECT DISTINCT subject, source, object_str FROM k WHERE NOT old AND source = 'click') SELECT subject, source, object_str FROM k WHERE old AND NOT (source = 'click' AND subject IN (SELECT subject FROM new)) UNION ALL SELECT * FROM new")
 def reconcile(spark, d):
-    rows = arrivals(spark, d).drop("seq", "ts", "ord")
-    seq = arrivals(spark, d)
-    stored, desired = seq.where("seq <= 2000").drop("seq", "ts", "ord"), seq.where("seq > 2000 AND seq <= 4000 AND source = 'click'").drop("seq", "ts", "ord")
-    return mutations.reconcile(stored.select(rows.columns), desired, "click", ["activity.user.last-event"], desired.select("subject").distinct()).select("subject", "source", "object_str")
+    rows = halves(spark, d).drop("seq", "ts", "ord")
+    stored, desired = rows.where("old").drop("old"), rows.where("not old and source = 'click'").drop("old")
+    return mutations.reconcile(stored, desired, "click", ["activity.user.last-event"], desired.select("subject").distinct()).select("subject", "source", "object_str")
+
+
+@query(f"WITH {_ARRIVALS}, m AS (SELECT DISTINCT subject AS entity, source AS stream, seq // 1000 AS generation, seq % 1000 AS seq FROM a), l AS (SELECT entity, stream, max(generation * 1000 + seq) AS last FROM m WHERE seq % 2 = 0 GROUP BY ALL) SELECT entity, stream, generation, seq FROM m LEFT JOIN l USING (entity, stream) WHERE last IS NULL OR generation * 1000 + seq > last")
+def redelivered(spark, d):
+    rows = arrivals(spark, d).select(F.col("subject").alias("entity"), F.col("source").alias("stream"), F.expr("seq div 1000").alias("generation"), (F.col("seq") % 1000).alias("seq"))
+    return mutations.redelivered(rows, rows.where("seq % 2 = 0"))
+
+
+@query("SELECT o_custkey AS subject, CASE WHEN c_custkey IS NULL THEN 'entity_not_found' WHEN o_orderkey % 3 <> c_custkey % 3 THEN 'revision_mismatch' ELSE 'applied' END AS outcome FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 3) ON c_custkey = o_custkey")
+def revision_outcomes(spark, d):
+    asked = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("subject"), (F.col("o_orderkey") % 3).alias("expected"))
+    held = spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey <> 3").select(F.col("c_custkey").alias("subject"), (F.col("c_custkey") % 3).alias("kv_revision"))
+    return mutations.revision_outcomes(asked, held)
+
+
+@query("SELECT l_orderkey AS entity_id, l_partkey % 50 AS subject, count(*) AS statements, l_partkey % 50 <> l_orderkey AS foreign FROM lineitem GROUP BY ALL")
+def foreign_subjects(spark, d):
+    return mutations.by_subject(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("entity_id"), (F.col("l_partkey") % 50).alias("subject")))
 
 
 @query(with_triples(only("dc.terms.title"), ", s AS (SELECT subject, split_part(subject, '.', 5) AS k FROM t) SELECT subject, CASE k WHEN 'x' THEN '' ELSE 'applied' END AS outcome FROM s WHERE k = 'part' UNION ALL SELECT subject, 'entity_exists' FROM s WHERE k = 'customer'"))
@@ -457,11 +529,19 @@ def create_outcomes(spark, d):
     return mutations.create(customer, part.union(customer))
 
 
-@query(with_triples(only("dc.terms.title"), ", s AS (SELECT subject, string_split(subject, '.') AS p FROM t) SELECT subject, 'hierarchy.type.member' AS predicate, array_to_string(p[1:5], '.') || '.group' AS object_str FROM s UNION ALL SELECT subject, 'hierarchy.domain.member', array_to_string(p[1:4], '.') || '.group.container' FROM s UNION ALL SELECT subject, 'hierarchy.system.member', array_to_string(p[1:3], '.') || '.group.container.level' FROM s"))
+_PLACED = ", s AS (SELECT subject, ts, string_split(subject, '.') AS p FROM t), m AS (SELECT subject, 'hierarchy.type.member' AS predicate, array_to_string(p[1:5], '.') || '.group' AS object_str, ts FROM s UNION ALL SELECT subject, 'hierarchy.system.member', array_to_string(p[1:4], '.') || '.group.container', ts FROM s UNION ALL SELECT subject, 'hierarchy.domain.member', array_to_string(p[1:3], '.') || '.group.container.level', ts FROM s)"
+
+
+@query(with_triples(only("dc.terms.title"), _PLACED + " SELECT subject, predicate, object_str FROM m"))
 def hierarchy_containers(spark, d):
     return mutations.hierarchy(triples(spark, d, only("dc.terms.title")), "acme", "shop").select("subject", "predicate", "object_str")
 
 
+@query(with_triples(only("dc.terms.title"), _PLACED + " SELECT DISTINCT object_str AS subject, 'entity.type.class' AS predicate, 'hierarchy.container' AS object_str FROM m"))
+def containers_born(spark, d):
+    return mutations.containers(mutations.hierarchy(triples(spark, d, only("dc.terms.title")), "acme", "shop")).select("subject", "predicate", "object_str")
+
+
 @query(with_triples(ALL, "SELECT subject, CASE split_part(subject, '.', 4) WHEN 'text' THEN 'content' WHEN 'sales' THEN 'signal' ELSE 'control' END AS profile FROM t GROUP BY subject"))
 def indexing_profile(spark, d):
     return mutations.indexing_profiles(triples(spark, d, ALL), {"text": "content", "sales": "signal"})
@@ -578,11 +658,122 @@ def ntriples_export(spark, d):
     return rdf.ntriples(shop(spark, d), "https://example.org")
 
 
-@query()
+_OBJECT = f"CASE WHEN datatype = '@id' THEN {_IRI.format(k="'entities'", c='object_str')} WHEN object_kind = 'number' THEN '\"' || CAST(CAST(object_num AS BIGINT) AS VARCHAR) || '\"^^xsd:integer' ELSE '\"' || object_str || '\"' END"
+
+
+@query(with_triples(SHOP, f", l AS (SELECT subject, {_IRI.format(k="'predicates'", c='predicate')} || ' ' || {_OBJECT} AS line FROM t) SELECT subject, {_IRI.format(k="'entities'", c='subject')} || ' ' || string_agg(line, ' ;' || chr(10) || '    ' ORDER BY line) || ' .' AS block FROM l GROUP BY subject"))
 def turtle_export(spark, d):
     return rdf.turtle(shop(spark, d), "https://example.org")
 
 
+# ---------------------------------------------------------------- aliases with statements, salience, children, references, readiness, places, times, bodies
+
+
+@query(with_triples(SHOP, ", h AS (SELECT lower(trim(object_str)) AS k, count(DISTINCT subject) AS n, min(subject) AS sole FROM t WHERE predicate IN ('shop.alias.sku', 'shop.alias.account') GROUP BY 1), a AS (SELECT unnest(['ACC-12', 'sku-7', 'nothing']) AS alias) SELECT alias, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'alias_ambiguous' ELSE 'not_found' END AS outcome, predicate, object_str FROM a LEFT JOIN h ON k = lower(alias) LEFT JOIN t ON n = 1 AND subject = sole"))
+def alias_statements(spark, d):
+    asked = spark.createDataFrame([("ACC-12",), ("sku-7",), ("nothing",)], "alias string")
+    return Graph(shop(spark, d), ("shop.alias.sku", "shop.alias.account")).entity_by_alias(asked).select("alias", "outcome", "predicate", "object_str")
+
+
+_WEIGHTS = [("dc.terms.title", 2.0), ("crm.customer.balance", 1.5), ("erp.part.size", -1.0), ("shop.alias.sku", 0.5)]
+
+
+@query(with_triples(SHOP, f", w AS (SELECT * FROM (VALUES {', '.join(map(str, _WEIGHTS))}) v(predicate, weight)) SELECT subject, CAST(greatest(max(weight), 0) + least(min(weight), 0) AS DOUBLE) AS salience FROM t JOIN w USING (predicate) GROUP BY subject"))
+def salience(spark, d):
+    return fusion.salience(shop(spark, d), spark.createDataFrame(_WEIGHTS, "predicate string, weight double"))
+
+
+@query(f"SELECT o_orderpriority AS workflow, '{t.ORDER}' || o_orderkey AS entity_id, o_orderstatus AS phase FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 7)")
+def lifecycle_children(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit(t.ORDER), F.col("o_orderkey").cast("string")).alias("entity_id"), F.col("o_orderstatus").alias("phase"), F.col("o_orderpriority").alias("workflow"))
+    links = edges.edges(triples(spark, d, only("oms.order.part")))
+    return lifecycle.children(links.select(F.col("to_id").alias("from_id"), "predicate", F.col("from_id").alias("to_id")), o, PART7, "oms.order.part")
+
+
+@query(with_triples(SHOP, f"SELECT row_number() OVER (ORDER BY CASE predicate WHEN 'erp.part.supplier' THEN 1 ELSE 2 END, ord, object_str) AS place, predicate, object_str FROM t WHERE subject = '{PART7}' AND predicate IN ('erp.part.supplier', 'shop.alias.sku')"))
+def lifecycle_references(spark, d):
+    return lifecycle.references(shop(spark, d), PART7, ["erp.part.supplier", "shop.alias.sku"])
+
+
+@query("SELECT user_id AS name, greatest(max(event_id) - min(event_id) * 2, 0) AS lag, CASE WHEN sum(CASE WHEN value < 1 THEN 1 ELSE 0 END) > 0 THEN 'degraded' WHEN max(event_id) > 0 AND max(event_id) <= min(event_id) * 2 THEN 'ready' ELSE 'building' END AS state FROM events GROUP BY user_id")
+def readiness(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("name"))
+    return operations.readiness(e.agg(F.max("event_id").alias("target"), (F.min("event_id") * 2).alias("indexed"), F.sum((F.col("value") < 1).cast("int")).alias("damaged")))
+
+
+@query("""WITH s AS (SELECT c_custkey AS key, CAST(c_custkey * 13 % 1001 AS BIGINT) AS bytes, CASE WHEN c_nationkey = 0 THEN 0 ELSE 1000 END AS capacity, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN -1.0 ELSE CAST(0.001 AS DOUBLE) * (c_custkey % 7) END AS rate FROM customer),
+p AS (SELECT *, (capacity - bytes) / capacity AS free, CASE WHEN rate > 0 THEN greatest((950 - bytes) / rate, 0) END AS left_ FROM s WHERE capacity > 0),
+v AS (SELECT *, CASE WHEN free <= 0.05 THEN 3 WHEN free <= 0.15 THEN 2 WHEN free <= 0.25 THEN 1 ELSE 0 END AS a, CASE WHEN left_ <= 14400 THEN 3 WHEN left_ <= 86400 THEN 2 WHEN left_ <= 259200 THEN 1 ELSE 0 END AS b FROM p)
+SELECT key, round(free, 6) AS headroom, round(left_, 6) AS seconds_left, ['normal', 'warning', 'high', 'critical'][greatest(a, b) + 1] AS band, CASE WHEN greatest(a, b) = 0 THEN 'none' WHEN a = b THEN 'both' WHEN a > b THEN 'headroom' ELSE 'time-to-threshold' END AS raised_by FROM v
+UNION ALL SELECT key, NULL, NULL, NULL, NULL FROM s WHERE capacity = 0""")
+def storage_pressure(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    rate = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_custkey") % 5 == 1, -1.0).otherwise(F.lit(0.001) * (F.col("c_custkey") % 7))
+    return operations.pressure(c.select(F.col("c_custkey").alias("key"), (F.col("c_custkey") * 13 % 1001).cast("long").alias("bytes"), F.when(F.col("c_nationkey") == 0, 0).otherwise(1000).alias("capacity"), rate.alias("rate")))
+
+
+@query(f"WITH p AS (SELECT '{t.CUSTOMER}' || c_custkey AS entity_id, CAST(c_custkey % 170 - 85 AS DOUBLE) AS lat, CAST(c_custkey % 360 - 180 AS DOUBLE) AS lon FROM customer), f AS (SELECT * FROM p WHERE lat BETWEEN -20 AND 40 AND (lon >= 150 OR lon <= -150)) SELECT *, (SELECT count(*) FROM f) > 100 AS truncated FROM f ORDER BY entity_id LIMIT 100")
+def spatial_bounds(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit(t.CUSTOMER), F.col("c_custkey").cast("string")).alias("subject"), F.explode(F.create_map(F.lit("geo.location.latitude"), (F.col("c_custkey") % 170 - 85).cast("double"), F.lit("geo.location.longitude"), (F.col("c_custkey") % 360 - 180).cast("double"))).alias("predicate", "object_num"))
+    return ranges.within_bounds(c, 40, -20, 210, 150)
+
+
+@query(with_triples(only("oms.order.status"), "SELECT subject AS entity_id, CAST(max(ts) AS TIMESTAMP) AS updated_at FROM t GROUP BY subject HAVING max(ts) BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-30'"))
+def changed_between(spark, d):
+    rows = ranges.changed_between(triples(spark, d, only("oms.order.status")), F.lit("1995-01-01").cast("timestamp"), F.lit("1996-06-30").cast("timestamp"))
+    return rows.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+_CUT = r"CASE WHEN length({x}) <= {n} THEN {x} WHEN length(regexp_extract(left({x}, {n}), '^((?s:.*))\s', 1)) > {h} THEN regexp_extract(left({x}, {n}), '^((?s:.*))\s', 1) ELSE left({x}, {n}) END"
+
+
+@query("SELECT doc_id, " + _CUT.format(x="text", n=120, h=60).replace("\\\\", "\\") + " AS text FROM documents")
+def truncated_texts(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", truncated(F.col("text"), 120).alias("text"))
+
+
+@query("SELECT page_id AS entity_id, CASE WHEN page_id % 5 = 0 THEN 'none' WHEN page_id % 5 = 1 THEN 'no_store' WHEN doc_id IS NULL THEN 'missing' ELSE 'read' END AS body_state FROM pages LEFT JOIN documents ON doc_id = page_id * 3")
+def offloaded_bodies(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    docs = p.select(F.col("page_id").alias("entity_id"), F.col("url").alias("name"), F.lit("").alias("body"), F.when(F.col("page_id") % 5 == 1, "other").otherwise("main").alias("storage_instance"), F.when(F.col("page_id") % 5 != 0, (F.col("page_id") * 3).cast("string")).alias("key"))
+    kept = spark.read.parquet(f"{d}/documents.parquet").select(F.lit("main").alias("storage_instance"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("content"))
+    return bodies.with_bodies(docs, kept, spark.createDataFrame([("main",)], "storage_instance string")).select("entity_id", "body_state")
+
+
+_KNOWN = [("dc.terms.title", "http://purl.org/dc/terms/title", "string", 2.0, 0, None), ("shop.alias.sku", None, "string", 0.5, None, 1), ("erp.part.size", None, "int", -1.0, None, None)]
+_KNOWN_SQL = "k AS (SELECT * FROM (VALUES ('dc.terms.title', 'http://purl.org/dc/terms/title', 2.0), ('shop.alias.sku', NULL, 0.5), ('erp.part.size', NULL, -1.0)) v(predicate, iri, weight))"
+
+
+@query(with_triples(SHOP, f", {_KNOWN_SQL} SELECT predicate, iri, CAST(weight AS DOUBLE) AS weight, count(*) AS statements FROM t LEFT JOIN k USING (predicate) GROUP BY ALL"))
+def described_statements(spark, d):
+    known = spark.createDataFrame(_KNOWN, "predicate string, iri string, datatype string, weight double, label_order int, alias_priority int")
+    return vocabulary.described(shop(spark, d), known).groupBy("predicate", "iri", "weight").agg(F.count("*").alias("statements"))
+
+
+@query(with_triples(SHOP, f", h AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, CASE WHEN o_orderkey % 4 = 0 THEN 'acme.shop.none.x.y.z' || o_orderkey ELSE '{t.ORDER}' || o_orderkey END AS entity_id FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 60) SELECT rank, entity_id, CASE WHEN count(t.subject) > 0 THEN count(t.subject) END AS statements, CASE WHEN count(t.subject) > 0 THEN 'found' ELSE 'missing' END AS state FROM h LEFT JOIN t ON t.subject = entity_id GROUP BY ALL"))
+def hydrated_hits(spark, d):
+    from pyspark.sql import Window
+
+    order = [F.col("o_totalprice").desc(), "o_orderkey"]
+    top = spark.read.parquet(f"{d}/orders.parquet").orderBy(*order).limit(60)
+    ids = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("acme.shop.none.x.y.z"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit(t.ORDER), F.col("o_orderkey").cast("string")))
+    return reads.hydrated(top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), ids.alias("entity_id")), shop(spark, d))
+
+
+@query(with_triples(LINKS, f", s AS (SELECT DISTINCT subject AS entity_id FROM t WHERE subject LIKE '{t.NATION}%'), x AS (SELECT DISTINCT from_id, predicate, to_id FROM e WHERE from_id IN (SELECT entity_id FROM s) OR to_id IN (SELECT entity_id FROM s)) SELECT from_id, predicate, to_id, 'erp' AS evidence, (SELECT count(*) FROM x) > 256 AS truncated FROM x ORDER BY 1, 2, 3 LIMIT 256"))
+def fuse_graph_edges(spark, d):
+    rows = triples(spark, d, LINKS)
+    return fusion.graph_edges(rows, rows.where(F.col("subject").startswith(t.NATION)).select(F.col("subject").alias("entity_id")), [])
+
+
+@query(with_triples([m for m in LINKS if m.predicate != "oms.order.part"], f", r AS (SELECT '{t.NATION}3' AS entity_id, 0 AS depth UNION SELECT from_id, depth + 1 FROM r JOIN e ON to_id = entity_id WHERE depth < 10), h AS (SELECT entity_id FROM r GROUP BY 1 HAVING min(depth) > 0 ORDER BY min(depth), 1 LIMIT 200) SELECT count(DISTINCT entity_id) AS nodes, count(DISTINCT o_clerk) AS files FROM h LEFT JOIN (SELECT '{t.ORDER}' || o_orderkey AS k, o_orderpriority AS o_clerk FROM orders) ON k = entity_id"))
+def impact_counts(spark, d):
+    near = [m for m in LINKS if m.predicate != "oms.order.part"]
+    hit = paths.impact(edges.edges(triples(spark, d, near)), spark.createDataFrame([(f"{t.NATION}3",)], "entity_id string"))
+    files = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit(t.ORDER), F.col("o_orderkey").cast("string")).alias("subject"), F.lit("code.defined.in").alias("predicate"), F.col("o_orderpriority").alias("object_str"))
+    return paths.impact_counts(hit, files, "code.defined.in")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 
