@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -124,8 +124,12 @@ _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-def pack(*ids: int) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def signs(word: bytes) -> str:
+    """The bytes of a word of letters as the vocabulary's signs; ASCII letters stand for themselves."""
+    text = word.decode("latin-1")
+    if not word.isascii():
+        return text.translate(BYTE_SIGNS)
+    return BYTE_SIGNS[32] + text[1:] if text[0] == " " else text
 
 
 #: Segments seen lately and their ids, by vocabulary: of the time now and of the time before.
@@ -151,7 +155,7 @@ def segment_ids(segments: list[bytes], path: str | None = None) -> list[bytes]:
     new = [s for s in new if s not in found]
     plain = list(filter(LETTERS_ONLY.fullmatch, new))
     merges = tokenizer.model.tokenize
-    found.update((s, pack(*[t.id for t in merges(s.decode("latin-1").translate(BYTE_SIGNS))])) for s in plain)
+    found.update((s, array("I", [t.id for t in merges(signs(s))]).tobytes()) for s in plain)
     new = [s for s in new if s not in found]
     spaced, other = [s for s in new if s[:1] == b" "], [s for s in new if s[:1] != b" "]
     if spaced:
