@@ -316,6 +316,27 @@ def test_stream_ends_where_the_batch_does(spark, tmp_path):
     assert sorted(r.reason for r in quarantine.collect()) == ["entity id: arity", "unreadable"]
 
 
+def test_deletes_late_arrivals_and_vacuum(spark, tmp_path):
+    base = str(tmp_path / "state")
+    row = lambda subject, value, seq, op=None: (subject, "p.q.r", "string", value, None, "s", dt.datetime(2024, 1, seq), 1.0, "", 0, seq, op)
+    schema = "subject string, predicate string, object_kind string, object_str string, object_num double, source string, ts timestamp, confidence double, datatype string, ord int, seq long, op string"
+    batch = lambda *rows: spark.createDataFrame(rows, schema)
+    feed.merge(batch(row("a", "1", 1), row("b", "1", 1)), 0, base, 2)
+    feed.merge(batch(row("a", None, 3, "delete"), row("a", None, 3, "delete")), 1, base, 2)
+    held = lambda: sorted((r.subject, r.object_str) for r in feed.snapshot(spark, base).collect())
+    assert held() == [("b", "1")]
+    feed.merge(batch(row("a", "late", 2), row("b", "2", 4)), 2, base, 2)
+    assert held() == [("b", "2")]
+    feed.merge(batch(row("a", "anew", 5)), 3, base, 2)
+    feed.merge(batch(row("a", "anew", 5)), 3, base, 2)
+    assert held() == [("a", "anew"), ("b", "2")]
+    with pytest.raises(feed.FeedLost):
+        feed.merge(batch(row("a", "x", 6)), 2, base, 2)
+    changes = {(r.version, r.subject): r.op for r in spark.read.parquet(f"{base}/changes").collect()}
+    assert changes[(1, "a")] == "delete" and changes[(2, "b")] == "upsert"
+    assert feed.vacuum(spark, base, 4) > 0 and held() == [("a", "anew"), ("b", "2")]
+
+
 def test_low_water(spark):
     df = lambda *n: spark.createDataFrame([(x,) for x in n], "revision long")
     assert feed.low_water(df(1, 2, 3), df(1, 3)).first().revision == 1
