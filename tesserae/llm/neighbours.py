@@ -11,12 +11,12 @@ Norms are told apart by bands, BANDS to each doubling. Bands of up to BLOCK node
 hashed: every query visits all their nodes. So one large norm changes nothing for the rest.
 
 Search. A query probes, in each table, the buckets whose axes lie nearest to it, in the order of what their coordinates lack to the nearest
-ones. A node found in enough tables is a candidate; pairs of query and candidate are made distinct before a vector is read,
+ones. A node found in VOTES tables is a candidate; pairs of query and candidate are made distinct before a vector is read,
 and all candidates are ranked exactly, by the inner product of the original vectors in double precision, ties by the smaller id.
 
-Recall is measured on each input: TRIED queries (a bounded sample, by a hash of the id) are answered exactly, and SEEN nodes (another) tell
-what share of the index a setting reads. Of all numbers of probes and of tables asked for that find AIM of the true neighbours, the
-cheapest is taken. If none does, all queries are answered by an exact pass in blocks. So is any query that finds fewer than k.
+Recall is measured on each input: TRIED queries (a bounded sample, by a hash of the id) are answered exactly, and the least number of probes
+is taken that finds AIM of their true neighbours. If MOST_PROBES don't, fewer votes are asked for, and if that doesn't do, all queries are
+answered by an exact pass in blocks. So is any query that finds fewer than k.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows with a null id or a vector of another length
 than most. Rows that share an id are all candidates (a query never finds its own id, and an id is returned once, with its best score);
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import removed, stored
 
-TABLES, LOAD, BLOCK, BANDS, SEED = 32, 3, 4096, 2, 11
-TRIED, SEEN, AIM, MOST_PROBES, MOST_VOTES, DEARER = 64, 2000, 0.93, 4096, 3, 16
+TABLES, LOAD, VOTES, BLOCK, BANDS, SEED = 48, 3, 3, 4096, 2, 11
+TRIED, AIM, MOST_PROBES = 64, 0.93, 4096
 
 
 def hadamard(x: np.ndarray) -> None:
@@ -185,30 +185,23 @@ def places_in_probes(q: np.ndarray, x: np.ndarray, axes: list[int]) -> np.ndarra
 
 
 def probes_needed(nodes: DataFrame, n: int, hashed: DataFrame, queries: DataFrame, axes: list[int], k: int) -> tuple[int, int] | None:
-    """The cheapest probes and votes that find AIM of the true neighbours of TRIED queries, as far as these are hashed; None if none do.
-
-    A bucket probed costs as much as a node met in one; a candidate, whose vector is read, as much as DEARER.
-    """
+    """Probes and votes that find AIM of the true neighbours of TRIED queries, as far as these are hashed; None if none do."""
     tried = stored(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED), "tried")
     true = exact(nodes, n, tried, k).select("query_id", "vec_id")
     near = hashed.select("node", "vector", F.explode("ids").alias("vec_id")).join(F.broadcast(true), "vec_id").select("query_id", F.col("vector").alias("near"))
     pairs, asked = near.toPandas(), tried.toPandas()  # TRIED queries and k for each, however large the table is
-    some = hashed.orderBy(F.xxhash64("node"), "node").limit(SEEN).select("vector").toPandas()
     removed(tried)
+    if not len(pairs):
+        return 1, VOTES
     of = {x: r for r, x in enumerate(asked.query_id)}
-    q, x = (directions(np.stack(v)) for v in (asked.vector.to_list(), [*some.vector, *pairs.near]))
-    place = places_in_probes(q, x, axes)
-    other, place = place[:, :, : len(some)], place[:, pairs.query_id.map(of).to_numpy(np.int64), len(some) + np.arange(len(pairs))]
+    q, x = (directions(np.stack(v.to_list())) for v in (asked.vector, pairs.near))
+    place = places_in_probes(q, x, axes)[:, pairs.query_id.map(of).to_numpy(np.int64), np.arange(len(pairs))]
     place.sort(axis=0)
-    best = None
-    for e in range(4 * MOST_PROBES.bit_length() - 3):
-        probes = int(2 ** (e / 4))
-        met = (other < probes).sum(0)
-        for votes in range(1, MOST_VOTES + 1):
-            if not len(pairs) or (place[votes - 1] < probes).mean() >= AIM:
-                cost = TABLES * probes / n + met.mean() + DEARER * (met >= votes).mean()
-                best = min(best, (cost, probes, votes)) if best else (cost, probes, votes)
-    return best and best[1:]
+    for votes in range(VOTES, 0, -1):
+        for e in range(4 * MOST_PROBES.bit_length() - 3):
+            if (place[votes - 1] < int(2 ** (e / 4))).mean() >= AIM:
+                return int(2 ** (e / 4)), votes
+    return None
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:

@@ -238,6 +238,55 @@ def test_language_model_of_awkward_texts(spark):
     assert {r.n_known for r in maxent.scored(df, F.lit(True)).collect()} == {0}
 
 
+LONG = "the cat and the dog sat " * 4000
+
+
+def test_classifiers_of_long_texts_clashing_columns_and_null_ids(spark):
+    rows = [(k, f"{'foul scumbag' if k % 3 == 0 else 'kind letter'} of the cat number {k % 7}", "en" if k % 2 else "fr") for k in range(300)]
+    rows += [(None, "foul scumbag", "en"), (301, LONG, "en"), (302, LONG + " scumbag foul", None), (301, LONG, "en")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, lang string, score int, predicted int, lang_pred int, accepted int")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), 9) for k in range(300)] + [(None, 1, 9), (301, 0, 9), (301, 0, 9)], "doc_id long, toxic int, text int")
+    got = toxicity.score(df, toxicity.learned(df, labels, F.lit(True))).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got) and [r.predicted for r in got if r.doc_id is None] == [1]
+    assert len({r.score for r in got if r.doc_id == 301}) == 1 and all(r.lang_pred == 3 for r in got)
+    found = language.identify(df, language.learned(df, F.lit(True))).collect()
+    assert len(found) == len(rows) and {r.lang_pred for r in found} <= {"en", "fr"} and all(r.predicted == 2 for r in found)
+
+
+def test_language_model_of_long_texts_and_clashing_columns(spark):
+    rows = [(1, LONG, 5, 6), (1, LONG, 5, 6), (2, "the cat", 5, 6), (None, "x" * 50_000, 5, 6)]
+    got = maxent.scored(spark.createDataFrame(rows, "doc_id long, text string, score int, word int"), F.lit(False)).collect()
+    own = [r for r in got if r.doc_id == 1]
+    assert len(got) == 4 and [r.n_tokens for r in own] == [24_001] * 2 and own[0].score == pytest.approx(own[1].score) and all(np.isfinite(r.score) for r in got)
+
+
+def test_levels_of_sums_change_no_weights(spark, monkeypatch):
+    """The updates of many tasks are summed in levels: the model is the same as with one level."""
+    df = spark.range(400, numPartitions=8).select(F.concat(F.lit("the cat number "), (F.col("id") % 5).cast("string"), F.lit(" sat")).alias("text"))
+    models = []
+    for fan in (256, 2):
+        monkeypatch.setattr(maxent, "FAN", fan)
+        counts = maxent.counted(df).toPandas()
+        models.append(maxent.trained(df, maxent.Vocabulary(counts, int(counts.c.sum()), len(counts))))
+    for x, y in zip(models[0].weights, models[1].weights, strict=True):
+        assert np.allclose(x, y, atol=1e-4)
+
+
+def test_pipeline_of_awkward_rows(spark):
+    other = "la maison est grande et le jardin est petit mais nous aimons la ville"
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, LONG, "en", "s", 1), (4, other, "fr", "s", 1), (4, other, "fr", "s", 1), (None, "a text of its own with several longer words", "en", "s", 1), (5, "123", None, None, None)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, ids int")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.stored(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        assert k == 4 or docs.columns == corpus_pipeline.COLUMNS
+    got = docs.collect()
+    assert {r.doc_id for r in got} == {3, 4, None} and len([r for r in got if r.doc_id == 4]) == 2
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+    assert docs.count() == 0
+
+
 def test_pipeline(spark):
     """Stage by stage: columns kept, decisions take effect, what is clean stays."""
     from tests.llm.test_exact import components, hits
