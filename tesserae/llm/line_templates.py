@@ -19,7 +19,7 @@ lose pieces. Rows that share a doc_id are one document; rows with a null doc_id
 as often as they come; there are no ties, as templates that a piece belongs to don't exclude each other. Without rows the result is empty. Other
 columns pass through, unless they bear the name of a result. DataFrame functions only.
 
-Templates are told apart by 96 bits. A template with over 1 / HOT of all rows meets its pieces by a broadcast; there are HOT at most.
+Templates are told apart by 96 bits, made of 64-bit hashes of their quarters. A template with over 1 / HOT of all rows meets its pieces by a broadcast; there are HOT at most.
 """
 
 from __future__ import annotations
@@ -47,17 +47,22 @@ def row_of() -> list[Column]:
 def parsed(df: DataFrame) -> DataFrame:
     """doc, row, at (number of the piece), key, key2, sure: one row for each template that a piece belongs to."""
     pieces = df.where("text is not null").select(*row_of(), F.posexplode(pieces_of(F.col("text"))).alias("at", "piece")).where(F.length("piece") >= LEAST_CHARS)
-    plain = F.trim(F.regexp_replace(F.regexp_replace("piece", r"[ \t\r\n\f\x0B]+", " "), r"[^ ]*[0-9][^ ]*", "<*>"))
+    # White space other than single spaces, and variable fields, are looked for in the few pieces that hold them.
+    plain = F.regexp_replace("piece", r" [ \t\r\n\f\x0B]+|[\t\r\n\f\x0B][ \t\r\n\f\x0B]*", " ")
+    pieces = pieces.select(*ROW, "at", plain.alias("plain"))
+    plain = F.trim(F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("plain")))
     pieces = pieces.select(*ROW, "at", plain.alias("plain")).where(F.length("plain") >= LEAST_CHARS)
-    pieces = pieces.withColumn("tokens", F.split("plain", " ")).withColumn("n", F.size("tokens"))
-    quarter = F.floor(F.floor(F.col("n") / 2) / 2).cast("int")
-    sure = (F.size(F.filter("tokens", lambda t: F.length(t) >= 6)) >= 2) | (F.length("plain") >= LONG_CHARS)
-    pieces = pieces.select(*ROW, "at", "plain", "tokens", quarter.alias("quarter"), F.xxhash64("n", F.slice("tokens", 1, DEPTH)).alias("leaf"), sure.alias("sure"))
-    q = F.col("quarter")
-    quarters = [F.slice("tokens", 1, q), F.slice("tokens", q + 1, q), F.slice("tokens", -2 * q, q), F.slice("tokens", -q, q)]
-    named = lambda name, *parts: F.struct(F.xxhash64("leaf", F.lit(name), *parts).alias("key"), F.hash("leaf", F.lit(name), *parts).alias("key2"))
-    alike = [named(f"{i} {j}", quarters[i], quarters[j]) for i in range(4) for j in range(i + 1, 4)]
-    keys = F.when(q * 4 >= 2 * HALF, F.array(named("all", "plain"), *alike)).otherwise(F.array(named("all", "plain")))
+    sure = (F.length("plain") >= LONG_CHARS) | F.col("plain").rlike("[^ ]{6}.* [^ ]{6}")
+    n = F.char_length("plain") - F.char_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1  # tokens: one more than spaces
+    pieces = pieces.select(*ROW, "at", "plain", n.alias("n"), F.floor(n / 4).cast("int").alias("q"), sure.alias("sure"))
+    long = F.col("q") * 4 >= 2 * HALF
+    cut = [F.expr(f"substring_index({x})") for x in ("plain, ' ', q", "substring_index(plain, ' ', 2 * q), ' ', -q", "substring_index(plain, ' ', -2 * q), ' ', q", "plain, ' ', -q")]
+    quarters = [F.when(long, F.xxhash64(x)).alias(f"q{i}") for i, x in enumerate(cut)]
+    pieces = pieces.select(*ROW, "at", "plain", "sure", long.alias("long"), F.when(long, F.xxhash64("n", F.substring_index("plain", " ", DEPTH))).alias("leaf"), *quarters)
+    hashes = lambda *x: F.struct(F.xxhash64(*x).alias("key"), F.hash(*x).alias("key2"))
+    # Equal long pieces agree in all quarters, so they need no key of their own.
+    alike = F.array(*(hashes(F.lit(4 * i + j), "leaf", f"q{i}", f"q{j}") for i in range(4) for j in range(i + 1, 4)))
+    keys = F.when(F.col("long"), alike).otherwise(F.array(hashes(F.lit(-1), F.col("plain"))))
     return pieces.select(*ROW, "at", "sure", F.explode(keys).alias("k")).select(*ROW, "at", "sure", "k.*")
 
 
@@ -79,9 +84,8 @@ def drop_recurring(df: DataFrame) -> DataFrame:
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped", "drops_")]
     own = df.select(*names, *(c.alias(f"{k}_") for k, c in zip(ROW, row_of(), strict=True)))
     out = own.join(drops.select(*(F.col(k).alias(f"{k}_") for k in ROW), "drops_"), [f"{k}_" for k in ROW], "left")
-    units = pieces_of(F.col("text"))
-    left = F.array_join(F.filter(units, lambda piece, i: ~F.array_contains("drops_", i)), "")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(units)).cast("long")
+    left = F.array_join(F.filter(pieces_of(F.col("text")), lambda piece, i: ~F.array_contains("drops_", i)), "")
+    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n|[.!?] |\x1e")) + 1, F.lit(0)).cast("long")
     n_dropped = F.when(F.col("drops_").isNull(), 0).otherwise(F.size("drops_")).cast("long")
     return out.select(*(F.when(F.col("drops_").isNull(), F.col("text")).otherwise(left).alias(c) if c == "text" else c for c in names), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
