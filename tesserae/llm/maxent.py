@@ -185,7 +185,7 @@ class Model:
         self.inner_bias = np.zeros((self.small, width))
         self.inner_bias[self.group, self.leaf] = np.maximum(c, 0.5)
         with np.errstate(divide="ignore"):  # places without a word have no probability
-            self.middle_bias, self.inner_bias = np.log(self.middle_bias).astype(np.float32), np.log(self.inner_bias).astype(np.float32)
+            self.middle_bias, self.inner_bias = (np.log(x / x.max(1, keepdims=True)).astype(np.float32) for x in (self.middle_bias, self.inner_bias))
         self.outer = np.zeros((SKIPS + 1, CONTEXTS, self.k), np.float32)
         self.middle = np.zeros((2, WORD_CONTEXTS * own, width), np.float32)
         self.inner = np.zeros((2, WORD_CONTEXTS * self.small, width), np.float32)
@@ -222,8 +222,8 @@ class Model:
     def scores(self, text: Text) -> np.ndarray:
         """log10 P of each token; for the rest's words, of their class alone."""
         out = np.empty(len(text.rank))
-        for a in range(0, len(out), 2 * BATCH):
-            cut = slice(a, a + 2 * BATCH)
+        for a in range(0, len(out), BATCH // 2):
+            cut = slice(a, a + BATCH // 2)
             rank, inner = text.rank[cut], text.inner[cut]
             p = self.outer_probabilities(text.features[cut])
             s = np.log10(p[np.arange(len(p)), self.classes_of(rank)].astype(float))
@@ -241,14 +241,26 @@ def placed(inner: np.ndarray, at: np.ndarray | int, n: int) -> np.ndarray:
     return inner.astype(np.int32) * np.int32(n) + np.broadcast_to(at, len(inner)).astype(np.int32)[:, None]
 
 
-def softmax(tables: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def logits(tables: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
     z = tables[0].take(rows[:, 0], 0)
     for f in range(1, len(tables)):
         z += tables[f].take(rows[:, f], 0)
     z += bias
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def softmax(tables: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Biases are at most 0 and weights small, so the largest is taken out of the logits only where their sum over- or underflows."""
+    z = logits(tables, rows, bias)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(z, out=z)
+        total = z.sum(1, keepdims=True)
+    if len(z) and not 1e-30 < total.min() <= total.max() < 1e30:
+        z = logits(tables, rows, bias)
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        total = z.sum(1, keepdims=True)
+    z /= total
     return z
 
 
