@@ -9,8 +9,8 @@ from ..functions.identifiers import entity_id_reason, predicate_reason
 
 STATEMENT = "struct<predicate:string,object:string,object_num:double,datatype:string,source:string,ts:timestamp,confidence:double>"
 ENVELOPE = f"struct<id:string,type:string,source:string,created_at:timestamp,entity_id:string,statements:array<{STATEMENT}>>"
-# The sources of statements that only the engine itself writes.
-RESERVED = ("graph-ingest-indexing-profile", "graph-ingest-hierarchy", "semengine-lifecycle")
+# The sources of statements that only the engine itself writes; the last bears the name of the engine.
+RESERVED = ("graph-ingest-indexing-profile", "graph-ingest-hierarchy", "tesserae-lifecycle")
 
 
 def decoded(messages: DataFrame) -> DataFrame:
