@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import crc_of, documents, pieces, small_batches, texts_of
+from .common import crc_of, documents, pieces, shuffles_freed, small_batches, texts_of
 from .subwords import letter_buffer, windows
 
 SAMPLE = 8_000
@@ -44,7 +44,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Bags:
     """Texts as buckets and how often each holds them: the bags of row k are b[at[k] : at[k + 1]] and n of the same places."""
 
-    def __init__(self, packed: list[bytes]) -> None:
+    def __init__(self, packed: list[bytes | pa.Buffer]) -> None:
         """packed: for each text little-endian sixteen-bit buckets, then as many bytes of counts; a count over 255 takes several places."""
         size = np.array([len(x) // 3 for x in packed], np.int64)
         self.at = np.concatenate([[0], np.cumsum(size)])
@@ -157,8 +157,13 @@ def learned(df: DataFrame, teaches: Column, sample: int = SAMPLE) -> Model | Non
 
     # A text with a letter holds windows, so no bag is empty. Copies with one doc_id share a draw; the limit holds for them too.
     drawn = rows.select(F.xxhash64("doc_id", "text").alias("draw"), "lang", "text").where(F.pmod("draw", F.lit(1 << 30)) < chance[F.col("lang")] * (1 << 30))
-    drawn = drawn.mapInArrow(run, "draw long, lang string, bag binary").where("length(bag) > 0").orderBy("draw", "lang", "bag").limit(sample).toPandas()
-    return Model(Bags(drawn["bag"].to_list()), drawn["lang"].tolist()) if len(drawn) else None
+    drawn = drawn.mapInArrow(run, "draw long, lang string, bag binary").where("length(bag) > 0").orderBy("draw", "lang", "bag").limit(sample).toArrow()
+    shuffles_freed(df.sparkSession)
+    names = drawn.column("lang").to_pylist()
+    bags = Bags([x.as_buffer() for chunk in drawn.column("bag").chunks for x in chunk])
+    del drawn
+    pa.default_memory_pool().release_unused()
+    return Model(bags, names) if names else None
 
 
 def identify(df: DataFrame, model: Model | None) -> DataFrame:
