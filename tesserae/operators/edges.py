@@ -84,14 +84,14 @@ def names(triples: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     return named.select(folded(F.col("object_str")).alias("name_key"), F.col("subject").alias("entity_id"), "predicate", F.col("object_str").alias("name"), label_salience(labels).alias("priority"))
 
 
-def by_name(index: DataFrame, name: str, limit: int = 10, most: int = 2000) -> DataFrame:
-    """rank, entity_id, exact: the best name of each entity; exact case first, then priority, then id. Over `most` memberships is refused."""
+def by_name(index: DataFrame, name: str, limit: int = 10, most: int | None = 2000) -> DataFrame:
+    """rank, entity_id, exact: the best name of each entity; exact case first, then priority, then id. Over `most` memberships is refused; None answers any number."""
     held = index.where(F.col("name_key") == folded(F.lit(name))).withColumn("exact", F.col("name") == name)
-    if held.limit(most + 1).count() > most:
+    if most is not None and held.limit(most + 1).count() > most:
         raise ResourceExhausted(f"over {most} entities are named so")
     best = held.groupBy("entity_id").agg(F.min(F.struct((~F.col("exact")).alias("other"), "priority", "predicate")).alias("b"))
-    order = Window.orderBy("b.other", "b.priority", "entity_id")
-    return best.select(F.row_number().over(order).cast("long").alias("rank"), "entity_id", (~F.col("b.other")).alias("exact")).where(F.col("rank") <= limit)
+    order = ("b.other", "b.priority", "entity_id")
+    return best.orderBy(*order).limit(limit).select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "entity_id", (~F.col("b.other")).alias("exact"))
 
 
 def aliases(triples: DataFrame, predicates: list[str]) -> DataFrame:

@@ -176,7 +176,7 @@ def entity_id_reasons(spark, d):
 
 @query(with_triples(only("dc.terms.title"), "SELECT row_number() OVER (ORDER BY other, subject) AS rank, subject AS entity_id, NOT other AS exact FROM (SELECT subject, min(object_str <> 'red plate') AS other FROM t WHERE lower(trim(object_str)) = 'red plate' GROUP BY subject ORDER BY 2, 1 LIMIT 20)"))
 def by_name(spark, d):
-    return edges.by_name(edges.names(triples(spark, d, only("dc.terms.title"))), "red plate", 20)
+    return edges.by_name(edges.names(triples(spark, d, only("dc.terms.title"))), "red plate", 20, most=None)
 
 
 _ALIASES = ["sku-7", "ACC-12 ", "nothing", " ", f"{t.PART}7"]

@@ -41,3 +41,12 @@ def test_runs(spark, name):
 def test_question_hints_reads_every_text(spark):
     texts = sorted(r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").select("text").collect())
     assert sorted(r.question for r in queries.queries()["question_hints"](spark, SF).collect()) == texts
+
+
+def test_by_name_answers_however_many_bear_the_name(spark, tmp_path):
+    names = spark.range(2500).selectExpr("id as p_partkey", "if(id = 2400, 'red plate', 'Red plate') as p_name")
+    for table, key in {"region": "r", "nation": "n", "customer": "c", "supplier": "s"}.items():
+        spark.sql(f"select 1L as {key}_{table if table in ('region', 'nation') else dict(customer='cust', supplier='supp')[table]}key, 'x' as {key}_name").write.parquet(f"{tmp_path}/{table}.parquet")
+    names.write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.queries()["by_name"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert len(got) == 20 and (got[0].entity_id, got[0].exact) == ("acme.shop.erp.supply.part.p2400", True)
