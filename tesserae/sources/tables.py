@@ -7,7 +7,8 @@ branches that can't match before anything is read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ class Mapping:
     ts: str = BIRTH
     source: str = "erp"
     where: str = "TRUE"
-    distinct: bool = False
+    distinct: str = ""  # the columns that make a statement, where rows repeat it
 
 
 def entity(prefix: str, key: str) -> str:
@@ -45,8 +46,8 @@ SHOP = [
     Mapping("customer", entity(CUSTOMER, "c_custkey"), "crm.customer.nation", entity(NATION, "c_nationkey"), datatype="@id"),
     Mapping("supplier", entity(SUPPLIER, "s_suppkey"), "erp.supplier.nation", entity(NATION, "s_nationkey"), datatype="@id"),
     Mapping("orders", entity(ORDER, "o_orderkey"), "oms.order.customer", entity(CUSTOMER, "o_custkey"), datatype="@id", ts="o_orderdate"),
-    Mapping("lineitem", entity(ORDER, "l_orderkey"), "oms.order.part", entity(PART, "l_partkey"), datatype="@id", distinct=True),
-    Mapping("lineitem", entity(PART, "l_partkey"), "erp.part.supplier", entity(SUPPLIER, "l_suppkey"), datatype="@id", distinct=True),
+    Mapping("lineitem", entity(ORDER, "l_orderkey"), "oms.order.part", entity(PART, "l_partkey"), datatype="@id", distinct="l_orderkey, l_partkey"),
+    Mapping("lineitem", entity(PART, "l_partkey"), "erp.part.supplier", entity(SUPPLIER, "l_suppkey"), datatype="@id", distinct="l_partkey, l_suppkey"),
     Mapping("region", entity(REGION, "r_regionkey"), TITLE, "r_name"),
     Mapping("nation", entity(NATION, "n_nationkey"), TITLE, "n_name"),
     Mapping("customer", entity(CUSTOMER, "c_custkey"), TITLE, "c_name"),
@@ -77,7 +78,9 @@ def branch_sql(m: Mapping, ord_: int, duck: bool) -> str:
         f"{m.subject} AS subject, '{m.predicate}' AS predicate, '{m.kind}' AS object_kind, {text} AS object_str, {f'CAST({m.object} AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS object_num, "
         f"'{m.source}' AS source, CAST({m.ts} AS TIMESTAMP) AS ts, CAST(1.0 AS DOUBLE) AS confidence, '{m.datatype}' AS datatype, {ord_} AS ord"
     ).replace("{G}", ", 'g'" if duck else "")
-    return f"SELECT {'DISTINCT ' * m.distinct}{columns} FROM {{{m.table}}} WHERE {m.where}"
+    if m.distinct and not duck:  # the keys are made distinct as they stand in the table, before any id is spelled out
+        return f"SELECT {columns} FROM (SELECT DISTINCT {m.distinct} FROM {{{m.table}}} WHERE {m.where})"
+    return f"SELECT {'DISTINCT ' * bool(m.distinct)}{columns} FROM {{{m.table}}} WHERE {m.where}"
 
 
 def triples(spark: SparkSession, sf_dir: str, mappings: list[Mapping] = SHOP) -> DataFrame:
@@ -86,6 +89,31 @@ def triples(spark: SparkSession, sf_dir: str, mappings: list[Mapping] = SHOP) ->
     return reduce(DataFrame.union, (spark.sql(branch_sql(m, k, False), **tables) for k, m in enumerate(mappings)))
 
 
+def repeating(mappings: list[Mapping]) -> list[Mapping]:
+    """The same mappings with repeats kept, for readers that pick a few statements first and make those distinct."""
+    return [replace(m, distinct="") for m in mappings]
+
+
+def subjects(spark: SparkSession, sf_dir: str, mappings: list[Mapping] = SHOP) -> DataFrame:
+    """subject: all that the statements speak of, each once. Keys are made distinct as they stand in the tables, those of one prefix together; ids of two prefixes can't be equal."""
+    by_form: dict[str, dict] = {}
+    for m in mappings:
+        keys = re.findall(r"CAST\((\w+) AS STRING\)", m.subject)
+        form = re.sub(r"CAST\(\w+ AS STRING\)", "CAST({} AS STRING)", m.subject).format(*(f"k{i}" for i in range(len(keys))))
+        by_form.setdefault(form, {}).setdefault((m.table, tuple(keys)), set()).add(m.where)
+    parts, holes = [], []
+    for form, sources in by_form.items():
+        rows = None
+        for (table, keys), wheres in sources.items():
+            found = spark.read.parquet(f"{sf_dir}/{table}.parquet").where(" OR ".join(f"({w})" for w in sorted(wheres)) if "TRUE" not in wheres else "TRUE")
+            found = found.selectExpr(*(f"{k} AS k{i}" for i, k in enumerate(keys)))
+            rows = found if rows is None else rows.union(found)
+        whole = " AND ".join(f"{c} IS NOT NULL" for c in rows.columns)
+        parts.append(rows.where(whole).distinct().selectExpr(f"{form} AS subject"))
+        holes.append(rows.where(f"NOT ({whole})").selectExpr("CAST(NULL AS STRING) AS subject"))
+    return reduce(DataFrame.union, [*parts, reduce(DataFrame.union, holes).limit(1)])
+
+
 def triples_sql(mappings: list[Mapping] = SHOP) -> str:
     """The same statements for DuckDB."""
     return " UNION ALL ".join(branch_sql(m, k, True).format_map({m.table: m.table}) for k, m in enumerate(mappings))
