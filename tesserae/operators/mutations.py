@@ -112,12 +112,17 @@ def stamped(arrivals: DataFrame, source: str | Column, ts: Column, reserved: tup
     return filled.where(~F.col("source").isin(*reserved)) if reserved else filled
 
 
-def indexing_profiles(births: DataFrame, floors: dict[str, str] | None = None, default: str = "control") -> DataFrame:
-    """subject, profile: the explicit one (first stored), else the floor of its domain, else the default; other names are ignored."""
-    own = F.min_by(F.when(F.col("predicate") == "index.entity.profile", F.when(F.col("object_str").isin(*PROFILES), F.col("object_str"))), F.when((F.col("predicate") == "index.entity.profile") & F.col("object_str").isin(*PROFILES), F.col("ord")))
+def indexing_profiles(births: DataFrame, floors: dict[str, str] | None = None, default: str = "control", born: DataFrame | None = None) -> DataFrame:
+    """subject, profile: the explicit one (first stored), else the floor of its domain, else the default; other names are ignored.
+
+    Few entities name a profile, so those statements are looked at apart from the entities (born: subject, each once, where the caller has them).
+    """
+    named = births.where((F.col("predicate") == "index.entity.profile") & F.col("object_str").isin(*PROFILES))
+    own = named.groupBy("subject").agg(F.min_by("object_str", F.struct("ord", "object_str")).alias("own"))
+    born = births.select("subject").distinct() if born is None else born
     domain = F.element_at(F.split("subject", r"\."), 4)
     floor = F.coalesce(*(F.when(domain == d, p) for d, p in (floors or {}).items()), F.lit(default))
-    return births.groupBy("subject").agg(own.alias("own")).select("subject", F.coalesce("own", floor).alias("profile"))
+    return born.join(own, "subject", "left").select("subject", F.coalesce("own", floor).alias("profile"))
 
 
 def hierarchy(births: DataFrame, org: str, platform: str, source: str = HIERARCHY) -> DataFrame:
