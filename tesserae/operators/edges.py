@@ -20,6 +20,14 @@ def edges(triples: DataFrame) -> DataFrame:
     return triples.where(rel).select(F.col("subject").alias("from_id"), "predicate", F.col("object_str").alias("to_id"), "ord")
 
 
+def counts(graph: DataFrame) -> DataFrame:
+    """predicate, edges, sources, targets: repeats count as edges, sources and targets once. Either end has its own table of what was seen, so no row is held twice."""
+    seen = lambda end: graph.groupBy("predicate", end).agg(F.count("*").alias("n")).groupBy("predicate")
+    sources = seen("from_id").agg(F.sum("n").alias("edges"), F.count("from_id").alias("sources"))
+    targets = seen("to_id").agg(F.count("to_id").alias("targets"))
+    return sources.join(targets, "predicate")
+
+
 def outgoing(graph: DataFrame, entity: str) -> DataFrame:
     """The entity's own edges in stored order, repeats kept."""
     return numbered(graph.where(F.col("from_id") == entity), ["ord", "to_id"], "place").select("place", "predicate", "to_id")
