@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import entity_id_reason, in_scope, matches_pattern, predicate_reason, valid_entity_id
+from .checkpoints import stored
 
 MAX_PAGE = 1000
 #: Label predicates by salience, the most salient first.
@@ -58,7 +59,7 @@ def page(triples: DataFrame, prefix: str | None = None, pattern: str | None = No
     """rank, id, total: one page of the sorted listing below a prefix or of a six-part pattern, after a cursor's key."""
     limit = limit if 0 < limit <= MAX_PAGE else MAX_PAGE
     ids = triples.select(F.col("subject").alias("id"))
-    ids = ids.where(matches_pattern(F.col("id"), pattern) if pattern else in_scope(F.col("id"), [prefix] if prefix else None)).distinct()
+    ids = stored(ids.where(matches_pattern(F.col("id"), pattern) if pattern else in_scope(F.col("id"), [prefix] if prefix else None)).distinct(), "listing")
     total = ids.agg(F.count("*").alias("total"))
     rows = ids.where(F.col("id") > after).orderBy("id").limit(limit)
     return rows.crossJoin(F.broadcast(total)).select(F.row_number().over(Window.orderBy("id")).cast("long").alias("rank"), "id", "total")
