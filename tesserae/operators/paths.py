@@ -90,12 +90,14 @@ def path_arrays(walk: DataFrame) -> DataFrame:
 
 def paths(graph: DataFrame, start: str, max_hops: int = 4, max_paths: int = 10) -> DataFrame:
     """rank, path (ids joined by >), ending (leaf, depth or cycle): paths over outgoing edges in depth-first order of (predicate, target)."""
-    steps = graph.select(F.col("from_id").alias("last"), "predicate", F.col("to_id").alias("next")).distinct()
+    steps = graph.select(F.col("from_id").alias("last"), "predicate", F.col("to_id").alias("next"))
+    # The few open ends meet the edges where these lie; only what leaves the ends is made distinct.
+    leaving = lambda ends: steps.join(F.broadcast(ends.select("last").distinct()), "last", "left_semi").distinct()
     spark = graph.sparkSession
     open_ = spark.createDataFrame([([start], [], start)], "ids array<string>, key array<string>, last string")
     done = []
     for hop in range(1, max_hops + 1):
-        step = open_.join(steps, "last", "left")
+        step = stored(open_.join(leaving(open_), "last", "left"), "steps")
         done.append(step.where("next is null and size(ids) > 1").select("ids", "key", F.lit("leaf").alias("ending")))
         step = step.where("next is not null")
         cycle = F.array_contains("ids", F.col("next"))
@@ -104,7 +106,7 @@ def paths(graph: DataFrame, start: str, max_hops: int = 4, max_paths: int = 10)
         step = stored(step.orderBy("key").limit(max_paths), "paths")
         done.append(step.where("cycle").select("ids", "key", F.lit("cycle").alias("ending")))
         open_ = step.where("not cycle").select("ids", "key", "last")
-    tail = open_.join(steps.select("last").distinct().withColumn("more", F.lit(True)), "last", "left")
+    tail = open_.join(leaving(open_).select("last").distinct().withColumn("more", F.lit(True)), "last", "left")
     done.append(tail.select("ids", "key", F.when(F.col("more"), "depth").otherwise("leaf").alias("ending")))
     rows = done[0]
     for more in done[1:]:

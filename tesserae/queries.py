@@ -13,7 +13,7 @@ from .operators import bodies, communities, edges, fusion, hints, lifecycle, mut
 from .functions.words import STOPWORDS
 from .plans.graph import Graph
 from .sources import tables as t
-from .sources.tables import SHOP, TEXT, triples, triples_sql
+from .sources.tables import SHOP, TEXT, repeating, subjects, triples, triples_sql
 
 ALL = SHOP + TEXT
 REGION0, SUPPLIER1, PART7 = f"{t.REGION}0", f"{t.SUPPLIER}1", f"{t.PART}7"
@@ -47,6 +47,11 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
     return edges.edges(triples(spark, d, [m for m in SHOP if m.datatype == "@id"]))
 
 
+def crossed(spark: SparkSession, d: str) -> DataFrame:
+    """Edges with repeats, for walks that meet them from a few entities."""
+    return edges.edges(triples(spark, d, repeating(LINKS)))
+
+
 LINKS = [m for m in SHOP if m.datatype == "@id"]
 
 # ---------------------------------------------------------------- predicates
@@ -95,7 +100,7 @@ def predicate_or(spark, d):
 
 @query(with_triples(LINKS, "SELECT count(*) AS edges, count(DISTINCT from_id) AS sources, count(DISTINCT to_id) AS targets, predicate FROM e GROUP BY predicate"))
 def edge_counts(spark, d):
-    return graph(spark, d).groupBy("predicate").agg(F.count("*").alias("edges"), F.countDistinct("from_id").alias("sources"), F.countDistinct("to_id").alias("targets"))
+    return edges.counts(graph(spark, d))
 
 
 @query(with_triples(LINKS, f"SELECT row_number() OVER (ORDER BY ord, to_id) AS place, predicate, to_id FROM e WHERE from_id = '{PART7}'"))
@@ -121,12 +126,12 @@ _PAGE = "SELECT row_number() OVER (ORDER BY id) AS rank, id, total FROM (SELECT
 @query(with_triples(SHOP, f", ids AS (SELECT DISTINCT subject AS id FROM t WHERE subject LIKE 'acme.shop.crm.%') {_PAGE.format(after=t.CUSTOMER + '1')}"))
 def prefix_page(spark, d):
     cursor = identifiers.encode_cursor(f"{t.CUSTOMER}1")
-    return reads.page(shop(spark, d), "acme.shop.crm", after=identifiers.decode_cursor(cursor))
+    return reads.page(subjects(spark, d), "acme.shop.crm", after=identifiers.decode_cursor(cursor))
 
 
 @query(with_triples(SHOP, f", ids AS (SELECT DISTINCT subject AS id FROM t WHERE split_part(subject, '.', 1) = 'acme' AND split_part(subject, '.', 5) = 'part') {_PAGE.format(after='')}"))
 def pattern_scan(spark, d):
-    return reads.page(shop(spark, d), pattern="acme.*.*.*.part.*")
+    return reads.page(subjects(spark, d), pattern="acme.*.*.*.part.*")
 
 
 _ASKED = [f"{t.CUSTOMER}5", f"{t.PART}3", f"{t.PART}999999999", "", "not-an-id"]
@@ -216,7 +221,7 @@ _sql["impact_closure"] = with_triples([m for m in LINKS if m.predicate != "oms.o
 
 @query()
 def path_search(spark, d):
-    return paths.path_search(graph(spark, d), REGION0, "both", 3, 100)
+    return paths.path_search(crossed(spark, d), REGION0, "both", 3, 100)
 
 
 @query(with_triples(LINKS, f""", d AS (SELECT DISTINCT e.from_id, e.predicate, e.to_id, h.from_id IS NULL AS leaf FROM e LEFT JOIN (SELECT DISTINCT from_id FROM e) h ON h.from_id = e.to_id),
@@ -224,7 +229,7 @@ r AS (SELECT ['{t.ORDER}1'] AS ids, CAST([] AS VARCHAR[]) AS key, '{t.ORDER}1' A
       UNION ALL SELECT list_append(ids, to_id), list_append(key, predicate || chr(1) || to_id), to_id, hop + 1, CASE WHEN list_contains(ids, to_id) THEN 'cycle' WHEN leaf THEN 'leaf' WHEN hop = 3 THEN 'depth' END FROM r JOIN d ON from_id = last WHERE ending IS NULL)
 SELECT row_number() OVER (ORDER BY key) AS rank, array_to_string(ids, '>') AS path, ending FROM (SELECT * FROM r WHERE ending IS NOT NULL ORDER BY key LIMIT 10)"""))
 def path_listing(spark, d):
-    return paths.paths(graph(spark, d), f"{t.ORDER}1")
+    return paths.paths(crossed(spark, d), f"{t.ORDER}1")
 
 
 # ---------------------------------------------------------------- roll-ups and groups
@@ -232,17 +237,17 @@ def path_listing(spark, d):
 
 @query(with_triples(SHOP, ", c AS (SELECT array_to_string(string_split(subject, '.')[1:3], '.') AS child, count(*) AS entity_count FROM (SELECT DISTINCT subject FROM t WHERE subject LIKE 'acme.shop.%') GROUP BY 1) SELECT child, entity_count, row_number() OVER (ORDER BY entity_count DESC, child) AS rank FROM c"))
 def hierarchy_stats(spark, d):
-    return communities.hierarchy_stats(shop(spark, d).select(F.col("subject").alias("id")).distinct(), "acme.shop", page=None)
+    return communities.hierarchy_stats(subjects(spark, d).withColumnRenamed("subject", "id"), "acme.shop", page=None)
 
 
 @query(with_triples(SHOP, ", c AS (SELECT array_to_string(string_split(subject, '.')[1:3], '.') AS child, count(*) AS entity_count FROM (SELECT DISTINCT subject FROM t WHERE subject LIKE 'acme.shop.%' ORDER BY 1 LIMIT 1000) GROUP BY 1) SELECT child, entity_count, row_number() OVER (ORDER BY entity_count DESC, child) AS rank FROM c"))
 def hierarchy_page(spark, d):
-    return communities.hierarchy_stats(shop(spark, d).select(F.col("subject").alias("id")).distinct(), "acme.shop")
+    return communities.hierarchy_stats(subjects(spark, d).withColumnRenamed("subject", "id"), "acme.shop")
 
 
 @query(with_triples(ALL, ", i AS (SELECT DISTINCT subject AS id, array_to_string(string_split(subject, '.')[3:5], '.') AS entity_type FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY id) AS n FROM i) SELECT entity_type, count(*) AS entity_count, string_agg(CASE WHEN n <= 2 THEN id END, ',' ORDER BY id) AS examples FROM k GROUP BY entity_type"))
 def summary_types(spark, d):
-    return communities.type_summary(triples(spark, d, ALL).select(F.col("subject").alias("id")).distinct())
+    return communities.type_summary(ids_of(spark, d))
 
 
 _GROUPS = ", i AS (SELECT DISTINCT subject AS id FROM t), g AS (SELECT id, 0 AS level, array_to_string(string_split(id, '.')[1:4], '.') AS group_id FROM i UNION ALL SELECT id, 1, array_to_string(string_split(id, '.')[1:3], '.') FROM i UNION ALL SELECT id, 2, array_to_string(string_split(id, '.')[1:2], '.') FROM i)"
@@ -250,12 +255,12 @@ _GROUPS = ", i AS (SELECT DISTINCT subject AS id FROM t), g AS (SELECT id, 0 AS
 
 @query(with_triples(ALL, _GROUPS + " SELECT level, group_id, count(*) AS member_count FROM g GROUP BY ALL"))
 def community_members(spark, d):
-    return communities.group_sizes(triples(spark, d, ALL).select(F.col("subject").alias("id")).distinct())
+    return communities.group_sizes(ids_of(spark, d))
 
 
 @query(with_triples(ALL, _GROUPS + ", c AS (SELECT level, group_id, split_part(id, '.', 5) AS entity_type, count(*) AS entity_count FROM g GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY level, group_id ORDER BY entity_count DESC, entity_type) AS rank FROM c) WHERE rank <= 10"))
 def community_types(spark, d):
-    return communities.group_types(triples(spark, d, ALL).select(F.col("subject").alias("id")).distinct())
+    return communities.group_types(ids_of(spark, d))
 
 
 def texts(spark, d) -> DataFrame:
@@ -278,7 +283,7 @@ _RECORDS = _KEYWORDS + _KINDS + """, records AS (SELECT level, group_id, 'Commun
 
 
 def ids_of(spark, d) -> DataFrame:
-    return triples(spark, d, ALL).select(F.col("subject").alias("id")).distinct()
+    return subjects(spark, d, ALL).withColumnRenamed("subject", "id")
 
 
 @query(with_triples(ALL, _GROUPS + _KEYWORDS + " SELECT * FROM keywords"))
@@ -544,7 +549,7 @@ def containers_born(spark, d):
 
 @query(with_triples(ALL, "SELECT subject, CASE split_part(subject, '.', 4) WHEN 'text' THEN 'content' WHEN 'sales' THEN 'signal' ELSE 'control' END AS profile FROM t GROUP BY subject"))
 def indexing_profile(spark, d):
-    return mutations.indexing_profiles(triples(spark, d, ALL), {"text": "content", "sales": "signal"})
+    return mutations.indexing_profiles(triples(spark, d, ALL), {"text": "content", "sales": "signal"}, born=subjects(spark, d, ALL))
 
 
 # ---------------------------------------------------------------- fusion, hints, lifecycle, operations, export
