@@ -15,7 +15,7 @@ BLANK = r"^_:[A-Za-z0-9_]([A-Za-z0-9_.-]*[A-Za-z0-9_-])?$"
 
 def subject_term(c: Column, base: str) -> Column:
     path = F.replace(c, F.lit("."), F.lit("/"))
-    return F.when(c.rlike(BLANK), c).when(valid_entity_id(c), F.concat(F.lit(f"<{base}/entities/"), path, F.lit(">"))).otherwise(F.concat(F.lit(f"<{base}/subjects/"), path, F.lit(">")))
+    return F.when(valid_entity_id(c), F.concat(F.lit(f"<{base}/entities/"), path, F.lit(">"))).when(c.rlike(BLANK), c).otherwise(F.concat(F.lit(f"<{base}/subjects/"), path, F.lit(">")))
 
 
 def predicate_term(c: Column, base: str, registered: dict[str, str]) -> Column:
@@ -33,7 +33,7 @@ def quoted(c: Column) -> Column:
 
 def object_term(kind: Column, text: Column, num: Column, datatype: Column, base: str) -> Column:
     """The statement's own datatype comes first, then what its value shows; a string shaped like an entity id or an IRI is a resource."""
-    resource = F.when(text.rlike(r"^https?://[^\s<>]+$"), F.concat(F.lit("<"), text, F.lit(">"))).otherwise(subject_term(text, base))
+    resource = F.when(text.startswith("http") & text.rlike(r"^https?://[^\s<>]+$"), F.concat(F.lit("<"), text, F.lit(">"))).otherwise(subject_term(text, base))
     typed = lambda value, name: F.concat(quoted(value), F.lit(f"^^<{XSD}{name}>"))
     number = F.when(num == F.floor(num), typed(number_text(num), "integer")).otherwise(typed(number_text(num), "double"))
     hinted = F.concat(quoted(text), F.when(datatype.startswith("xsd:"), F.concat(F.lit(f"^^<{XSD}"), F.substring(datatype, 5, 1000), F.lit(">"))).when(datatype.rlike("^https?://"), F.concat(F.lit("^^<"), datatype, F.lit(">"))).otherwise(""))
@@ -85,7 +85,7 @@ def compacted(term: Column, prefixes: dict[str, str]) -> Column:
     """An IRI as prefix:name where a prefix is declared for it and the rest is a plain name; a datatype likewise."""
     out = term
     for name, iri in prefixes.items():
-        out = F.regexp_replace(out, rf"(^|\^\^)<{re.escape(iri)}([A-Za-z_][A-Za-z0-9_-]*)>$", rf"$1{name}:$2")
+        out = F.when(F.contains(out, F.lit(f"<{iri}")), F.regexp_replace(out, rf"(^|\^\^)<{re.escape(iri)}([A-Za-z_][A-Za-z0-9_-]*)>$", rf"$1{name}:$2")).otherwise(out)
     return out
 
 
@@ -97,9 +97,9 @@ def prefix_lines(prefixes: dict[str, str]) -> str:
 def turtle(triples: DataFrame, base: str, registered: dict[str, str] | None = None, prefixes: dict[str, str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """subject, block: the statements of each subject in one block, repeats kept, by predicate and object; prefix_lines() come before them."""
     prefixes = {"xsd": XSD} | (prefixes or {})
-    rows = terms(triples, base, registered, vocabulary).select("subject", compacted(F.col("s"), prefixes).alias("s"), compacted(F.col("p"), prefixes).alias("p"), compacted(F.col("o"), prefixes).alias("o"))
-    rows = rows.groupBy("subject", "s").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))).alias("lines"))
-    return rows.select("subject", F.concat("s", F.lit(" "), F.array_join("lines", " ;\n    "), F.lit(" .")).alias("block"))
+    rows = terms(triples, base, registered, vocabulary).select("subject", compacted(F.col("p"), prefixes).alias("p"), compacted(F.col("o"), prefixes).alias("o"))
+    rows = rows.groupBy("subject").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "p", "o"))).alias("lines"))
+    return rows.select("subject", F.concat(compacted(subject_term(F.col("subject"), base), prefixes), F.lit(" "), F.array_join("lines", " ;\n    "), F.lit(" .")).alias("block"))
 
 
 def jsonld(triples: DataFrame, base: str, registered: dict[str, str] | None = None) -> DataFrame:
