@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import level_prefix, under_prefix
-from ..functions.words import STOPWORDS
+from ..functions.words import frequent, holds_frequent
 from .checkpoints import stored
 
 #: Segments of the prefix that names a group, by level.
@@ -43,25 +43,28 @@ def members(ids: DataFrame) -> DataFrame:
     return ids.select("*", F.explode(groups).alias("g")).select("g.level", "g.group_id", *ids.columns)
 
 
+def kinds_held(ids: DataFrame) -> DataFrame:
+    """id (down to the type), n: entities are counted by type before their groups are spelled out at each level."""
+    return ids.groupBy(level_prefix(F.col("id"), 5).alias("id")).agg(F.count("*").alias("n"))
+
+
 def group_sizes(ids: DataFrame) -> DataFrame:
     """level, group_id, member_count."""
-    return members(ids.select("id")).groupBy("level", "group_id").agg(F.count("*").alias("member_count"))
+    return members(kinds_held(ids)).groupBy("level", "group_id").agg(F.sum("n").alias("member_count"))
 
 
 def group_types(ids: DataFrame, limit: int = TYPES) -> DataFrame:
     """level, group_id, entity_type, entity_count, rank: the most frequent types of each group."""
     kind = F.element_at(F.split("id", r"\."), 5)
-    counts = members(ids.select("id")).groupBy("level", "group_id", kind.alias("entity_type")).agg(F.count("*").alias("entity_count"))
+    counts = members(kinds_held(ids)).groupBy("level", "group_id", kind.alias("entity_type")).agg(F.sum("n").alias("entity_count"))
     order = Window.partitionBy("level", "group_id").orderBy(F.col("entity_count").desc(), "entity_type")
     return counts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
 def entity_terms(docs: DataFrame, limit: int = TERMS) -> DataFrame:
     """id, word: the most frequent words of each entity's text (ASCII words of 3 to 32 characters, stopwords left out); ties by word."""
-    found = F.filter(F.transform(F.split("text", "[^A-Za-z0-9]+"), F.lower), lambda w: F.length(w).between(3, 32) & ~w.isin(STOPWORDS))
-    counts = docs.select("id", F.explode(found).alias("word")).groupBy("id", "word").agg(F.count("*").alias("times"))
-    order = Window.partitionBy("id").orderBy(F.col("times").desc(), "word")
-    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("id", "word")
+    whole = docs.groupBy("id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    return whole.select("id", F.explode(frequent(F.col("text"), limit)).alias("word"))
 
 
 def group_keywords(docs: DataFrame, ids: DataFrame | None = None, limit: int = KEYWORDS) -> DataFrame:
@@ -83,14 +86,14 @@ def group_keywords(docs: DataFrame, ids: DataFrame | None = None, limit: int = K
 
 def representatives(docs: DataFrame, limit: int = REPRESENTATIVES) -> DataFrame:
     """level, group_id, rank, id: the smallest ids among the members that hold a word."""
-    rows = members(entity_terms(docs).select("id").distinct())
+    rows = members(docs.where(holds_frequent(F.col("text"))).select("id").distinct())
     order = Window.partitionBy("level", "group_id").orderBy("id")
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
 def group_summary(docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """level, group_id, summary: one sentence of each group's size, up to three types and up to five keywords."""
-    ids = docs.select("id") if ids is None else ids
+    ids = stored(docs.select("id") if ids is None else ids, "members")
     first = lambda rows, n, text: rows.where(F.col("rank") <= n).groupBy("level", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("text")))), lambda t: t["text"]), ", ").alias("text"))
     kind = F.concat(F.col("entity_count").cast("string"), F.lit(" "), F.col("entity_type"), F.when(F.col("entity_count") > 1, "s").otherwise(""))
     kinds = first(group_types(ids), 3, kind).withColumnRenamed("text", "kinds")

@@ -33,6 +33,14 @@ def indexed_again(index: DataFrame, changed: DataFrame, deleted: DataFrame) -> D
     return stored(index.join(touched, "entity_id", "left_anti").unionByName(fresh), "word-index")
 
 
+def document_counts(index: DataFrame) -> DataFrame:
+    """word, df, occurrences: in how many documents a word stands, and how often. A document's words are made distinct in its row, so only sums are shuffled."""
+    both = F.concat("name_words", "body_words")
+    held = index.select(F.explode(F.array_distinct(both)).alias("word"), F.lit(1).alias("df"), F.lit(0).alias("n"))
+    every = index.select(F.explode(both).alias("word"), F.lit(0).alias("df"), F.lit(1).alias("n"))
+    return held.union(every).groupBy("word").agg(F.sum("df").alias("df"), F.sum("n").alias("occurrences"))
+
+
 def postings(index: DataFrame) -> DataFrame:
     """entity_id, word, tf: words in the name count twice."""
     both = F.concat(F.transform("name_words", lambda w: F.struct(w.alias("word"), F.lit(NAME_WEIGHT).alias("weight"))), F.transform("body_words", lambda w: F.struct(w.alias("word"), F.lit(1).alias("weight"))))
@@ -50,11 +58,14 @@ def word_search(index: DataFrame, query: str | Query, scope: list[str] | None =
     limit = checked_limit(limit)
     wanted = q.scored()
     length = F.size("name_words") * NAME_WEIGHT + F.size("body_words")
-    times = lambda field, w: F.size(F.filter(field, lambda x: x == w))
+    times = lambda field, w: F.size(field) - F.size(F.array_remove(field, w))
     tf = F.array(*(times("name_words", w) * NAME_WEIGHT + times("body_words", w) for w in wanted))
     rows = index.select("entity_id", "name_words", "body_words", length.cast("double").alias("length"), tf.alias("tf"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *(F.sum(F.when(F.col("tf")[i] > 0, 1).otherwise(0)).alias(f"df_{i}") for i in range(len(wanted))))
-    scored = rows.where(F.exists("tf", lambda t: t > 0)).crossJoin(F.broadcast(stats))
+    holds = F.lit(False)
+    for w in wanted:
+        holds = holds | F.array_contains("name_words", w) | F.array_contains("body_words", w)
+    scored = rows.where(holds).crossJoin(F.broadcast(stats))
     parts = []
     for i in range(len(wanted)):
         t, df = F.col("tf")[i].cast("double"), F.col(f"df_{i}")

@@ -5,9 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import regex
-
-from ..functions.words import MAX_WORD_BYTES, STOPWORDS
+from ..functions.words import query_words
 
 MAX_TERMS = 32
 
@@ -34,25 +32,6 @@ class Query:
         return list(dict.fromkeys([*self.words, *(w for p in self.phrases for w in p)]))
 
 
-def query_words(text: str) -> list[str]:
-    """The words of a short text; the same rules as functions.words has for columns."""
-    out = []
-    for run in regex.findall(r"[\p{L}\p{Nd}]+", text):
-        run = regex.sub(r"(?<=[\p{Lu}\p{Lt}]{2})s$", "", run)
-        for part in regex.split(r"(?<=\p{Ll})(?=[\p{Lu}\p{Lt}])|(?<=[\p{Lu}\p{Lt}])(?=[\p{Lu}\p{Lt}]\p{Ll})", run):
-            w = part.lower()
-            f = folded(w)
-            if w and w not in STOPWORDS and f not in STOPWORDS and len(f.encode()) <= MAX_WORD_BYTES:
-                out.append(f)
-    return out
-
-
-def folded(w: str) -> str:
-    n = len(w.encode())
-    rules = ((4, r"(?<=ss)es$|(?<=x)es$|(?<=[cs]h)es$", ""), (3, r"(?<=ss)e$|(?<=x)e$|(?<=[cs]h)e$", ""), (4, r"(?<![ea])ies$", "y"), (3, r"(?<![aeo])es$", "e"), (2, r"(?<![us])s$", ""))
-    return next((re.sub(p, by, w) for least, p, by in rules if n > least and re.search(p, w)), w)
-
-
 def parse_query(text: str) -> Query:
     q, seen = Query(), set()
     for minus, quoted, term, follows in re.findall(r'(-(?=["]|[^\W_]))?(?:"([^"]*)"?|([^\s"]+)(?=(")?))', text):

@@ -341,9 +341,7 @@ _LENGTHS = ", tf AS (SELECT entity_id, word, sum(CASE field WHEN 'name' THEN 2.0
 
 @query(with_triples(_TEXTS, _CORPUS + " SELECT word, count(DISTINCT entity_id) AS df, count(*) AS occurrences FROM tokens GROUP BY word"))
 def word_df(spark, d):
-    index = search.word_index(corpus(spark, d))
-    rows = index.select("entity_id", F.explode(F.concat("name_words", "body_words")).alias("word"))
-    return rows.groupBy("word").agg(F.countDistinct("entity_id").alias("df"), F.count("*").alias("occurrences"))
+    return search.document_counts(search.word_index(corpus(spark, d)))
 
 
 def bm25_sql(words_: list[str], also: str = "", scope: str = "TRUE", limit: int = 10) -> str:

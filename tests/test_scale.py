@@ -1,7 +1,7 @@
 """What is read once, made distinct early or counted without a second table, as the plans and small results show it."""
 
 from tesserae import queries
-from tesserae.operators import edges, mutations, paths
+from tesserae.operators import communities, edges, mutations, paths, search
 from tesserae.sources import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,18 @@ def test_walks_shuffle_no_edges(spark):
     assert "Aggregate" not in plan(queries.crossed(spark, SF))
     twice = spark.createDataFrame([("a", "p", "b", 0), ("a", "p", "b", 0), ("b", "p", "a", 0), ("b", "q", "c", 0)], "from_id string, predicate string, to_id string, ord int")
     assert [(r.path, r.ending) for r in paths.paths(twice, "a").orderBy("rank").collect()] == [("a>b>a", "cycle"), ("a>b>c", "leaf")]
+
+
+def test_words_stay_in_batches_and_counts_in_rows(spark):
+    docs = spark.createDataFrame([("a", "Red Pumps", "pump IDs x²y"), ("b", None, "parseURLs pump " + "w" * 40), ("c", None, None)], "entity_id string, name string, body string")
+    index = search.word_index(docs)
+    assert {r.entity_id: (r.name_words, r.body_words) for r in index.collect()} == {"a": (["red", "pump"], ["pump", "id", "x", "y"]), "b": ([], ["parse", "url", "pump"]), "c": ([], [])}
+    counts = search.document_counts(index)
+    assert {r.word: (r.df, r.occurrences) for r in counts.where("word in ('pump', 'id')").collect()} == {"pump": (2, 3), "id": (1, 1)}
+    assert "entity_id" not in plan(counts).split("Relation")[0]
+
+
+def test_frequent_words_of_an_entity_in_several_texts(spark):
+    docs = spark.createDataFrame([("o.p.s.d.t.a", "Pump the valve"), ("o.p.s.d.t.a", "valve-PUMP ab pump Kit"), ("o.p.s.d.t.b", "the of x"), ("o.p.s.d.t.c", None)], "id string, text string")
+    assert [(r.id[-1], r.word) for r in communities.entity_terms(docs, 2).collect()] == [("a", "pump"), ("a", "valve")]
+    assert {r.id[-1] for r in communities.representatives(docs).collect()} == {"a"}
