@@ -6,12 +6,14 @@ digits comes to doesn't depend on its neighbours, so a task works it out once fo
 """
 
 import re
+import sys
 from collections import Counter
 from heapq import nsmallest
 from itertools import chain
 
 import pyarrow as pa
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -74,6 +76,8 @@ class Known(dict):
 
 
 KNOWN = Known()
+# Tasks get these functions by value: a search needs no more of this package on the executors than it did.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def lists(found: list) -> pa.Array:
