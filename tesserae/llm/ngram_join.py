@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, documents, grams, hashed_words, mixed, pieces, removed, small_batches, stored, texts_of
+from .common import NOT_SPACE, documents, grams, hashed_words, mixed, pieces, removed, shuffles_freed, small_batches, stored, texts_of
 
 WORDS, PERCENT, LEADERS, GROUP_BLOCK, HOT = 5, 75, 3, 512, 512
 BLOCK_DOCS, BLOCK_SHINGLES, BUCKET_SHINGLES = 60_000, 1_000_000, 500_000
@@ -61,10 +61,20 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(mixed(np.array(sums, np.uint64)).view(np.int64).tolist())
 
 
-def spread(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with a table that holds a key once at most; keys with over 1 / HOT of the rows, so HOT at most, meet a broadcast."""
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys with over 1 / HOT of the rows, so HOT at most, as a stored table; None if there are none, or hardly a row."""
     n = rows.count()
-    hot = rows.groupBy(key).agg(F.count("*").alias("times_")).where(F.col("times_") * HOT > n).select(key)
+    if n <= HOT:
+        return None
+    hot = stored(rows.groupBy(key).agg(F.count("*").alias("times_")).where(F.col("times_") * HOT > n).select(key), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot: DataFrame | None | bool = False) -> DataFrame:
+    """rows joined with a table that holds a key once at most; the hot keys, looked for unless given, meet a broadcast. Without any this is a plain join."""
+    hot = hot_keys(rows, key) if hot is False else hot
+    if hot is None:
+        return rows.join(table, key, how)
     few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
     return rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
 
@@ -174,8 +184,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    hot = hot_keys(both, "b")
     while True:
-        near = spread(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        near = spread(both, labels.select(F.col("node").alias("b"), "label"), "b", hot=hot).groupBy("a").agg(F.min("label").alias("near"))
         step = stored(labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
         after = stored(spread(step, jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
@@ -203,7 +214,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in ("a", "b")], names=["a", "b"])
 
-    return spread(spread(stored(pairs, "pairs"), left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = stored(pairs, "pairs")
+    # Each text of a pair has its set, so the first join changes no count of the second one's keys.
+    return spread(spread(pairs, left, "a"), right, "b", hot=hot_keys(pairs, "b")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def linked_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -238,6 +251,7 @@ def linked_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     labels = stored(short.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
     for k in range(LEADERS + 1):
+        shuffles_freed(df.sparkSession)
         open_lists = several_labels(short, labels)
         if k < LEADERS:
             first = F.struct("n", "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")

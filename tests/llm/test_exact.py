@@ -299,6 +299,17 @@ def test_short_lines_recur_at_every_size(spark):
     assert got[10] == texts[10] and got[11] == "second"
 
 
+def test_joins_without_a_hot_key_are_plain(spark):
+    """Keys with a large share of the rows meet a broadcast; without any there is one join and nothing is read twice. Both give a join's rows."""
+    table_ = spark.range(0, 2_000, 2).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    for hot in (False, True):
+        rows = spark.range(1_500).select("id", (F.when(F.col("id") % 3 == 0, 4).otherwise(F.col("id")) if hot else F.col("id")).alias("k"))
+        for how in ("inner", "left"):
+            got = ngram_join.spread(rows, table_, "k", how)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(table_, "k", how).collect()), key=str)
+            assert hot == ("Union" in got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_shards(spark):
     texts = [*TEXTS, *["copy"] * 50, *(f"text {k}" for k in range(100)), *(f"pair {k // 2}" for k in range(40))]
     rows = sharding.shard_by_text(table(spark, texts), 8).collect()
