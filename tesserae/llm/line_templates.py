@@ -24,6 +24,9 @@ Templates are told apart by 96 bits, made of 64-bit hashes of their quarters. A
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +37,16 @@ LAST = (1 << 63) - 1
 KEY, ROW = ["key", "key2"], ["doc", "row"]
 
 
+def marked(text: Column, end: str = "\n") -> Column:
+    """The text with a record separator after each line end and sentence; `end` may stand for the line end, as a character for a character."""
+    for mark in (". ", "! ", "? "):
+        text = F.replace(text, F.lit(mark), F.lit(f"{mark}\x1e"))
+    return F.replace(text, F.lit("\n"), F.lit(f"{end}\x1e"))
+
+
 def pieces_of(text: Column) -> Column:
     """The pieces of a text, each with the line end or space that follows it."""
-    return F.split(F.regexp_replace(text, "(\\n|[.!?] )", "$1\x1e"), "\x1e")
+    return F.split(marked(text), "\x1e")
 
 
 def row_of() -> list[Column]:
@@ -46,14 +56,17 @@ def row_of() -> list[Column]:
 
 def parsed(df: DataFrame) -> DataFrame:
     """doc, row, at (number of the piece), key, key2, sure: one row for each template that a piece belongs to."""
-    pieces = df.where("text is not null").select(*row_of(), F.posexplode(pieces_of(F.col("text"))).alias("at", "piece")).where(F.length("piece") >= LEAST_CHARS)
-    # White space other than single spaces, and variable fields, are looked for in the few pieces that hold them.
-    plain = F.regexp_replace("piece", r" [ \t\r\n\f\x0B]+|[\t\r\n\f\x0B][ \t\r\n\f\x0B]*", " ")
+    # Made once for a text, not for each piece: the row's hash, and whether white space other than single spaces and line ends is in it.
+    odd = reduce(or_, (F.contains("text", F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")))
+    pieces = df.where("text is not null").select(*row_of(), odd.alias("odd"), marked(F.col("text"), " ").alias("marked"))
+    pieces = pieces.select(*ROW, "odd", F.posexplode(F.split("marked", "\x1e")).alias("at", "piece")).where(F.length("piece") >= LEAST_CHARS)
+    plain = F.trim(F.when(F.col("odd"), F.regexp_replace("piece", r" [ \t\r\f\x0B]+|[\t\r\f\x0B][ \t\r\f\x0B]*", " ")).otherwise(F.col("piece")))
+    pieces = pieces.select(*ROW, "at", plain.alias("plain"))
+    # From its first character on, a token is either a variable field or left alone: nothing is tried twice.
+    plain = F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("plain"))
     pieces = pieces.select(*ROW, "at", plain.alias("plain"))
-    plain = F.trim(F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("plain")))
-    pieces = pieces.select(*ROW, "at", plain.alias("plain")).where(F.length("plain") >= LEAST_CHARS)
     sure = (F.length("plain") >= LONG_CHARS) | F.col("plain").rlike("[^ ]{6}.* [^ ]{6}")
-    n = F.char_length("plain") - F.char_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1  # tokens: one more than spaces
+    n = F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1  # tokens: one more than spaces
     pieces = pieces.select(*ROW, "at", "plain", n.alias("n"), F.floor(n / 4).cast("int").alias("q"), sure.alias("sure"))
     long = F.col("q") * 4 >= 2 * HALF
     cut = [F.expr(f"substring_index({x})") for x in ("plain, ' ', q", "substring_index(plain, ' ', 2 * q), ' ', -q", "substring_index(plain, ' ', -2 * q), ' ', q", "plain, ' ', -q")]
@@ -62,7 +75,8 @@ def parsed(df: DataFrame) -> DataFrame:
     hashes = lambda *x: F.struct(F.xxhash64(*x).alias("key"), F.hash(*x).alias("key2"))
     # Equal long pieces agree in all quarters, so they need no key of their own.
     alike = F.array(*(hashes(F.lit(4 * i + j), "leaf", f"q{i}", f"q{j}") for i in range(4) for j in range(i + 1, 4)))
-    keys = F.when(F.col("long"), alike).otherwise(F.array(hashes(F.lit(-1), F.col("plain"))))
+    keys = F.when(F.col("long"), alike).when(F.length("plain") >= LEAST_CHARS, F.array(hashes(F.lit(-1), F.col("plain"))))
+    # A piece that is too short has no keys and so no rows; a filter would work out `plain` a second time.
     return pieces.select(*ROW, "at", "sure", F.explode(keys).alias("k")).select(*ROW, "at", "sure", "k.*")
 
 
@@ -85,7 +99,8 @@ def drop_recurring(df: DataFrame) -> DataFrame:
     own = df.select(*names, *(c.alias(f"{k}_") for k, c in zip(ROW, row_of(), strict=True)))
     out = own.join(drops.select(*(F.col(k).alias(f"{k}_") for k in ROW), "drops_"), [f"{k}_" for k in ROW], "left")
     left = F.array_join(F.filter(pieces_of(F.col("text")), lambda piece, i: ~F.array_contains("drops_", i)), "")
-    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n|[.!?] |\x1e")) + 1, F.lit(0)).cast("long")
+    cuts = F.octet_length(marked(F.col("text"))) - F.octet_length(F.replace("text", F.lit("\x1e"), F.lit("")))
+    n_lines = F.coalesce(cuts + 1, F.lit(0)).cast("long")
     n_dropped = F.when(F.col("drops_").isNull(), 0).otherwise(F.size("drops_")).cast("long")
     return out.select(*(F.when(F.col("drops_").isNull(), F.col("text")).otherwise(left).alias(c) if c == "text" else c for c in names), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 

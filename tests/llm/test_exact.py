@@ -290,6 +290,29 @@ def test_lines_with_an_edit_in_each_half(spark):
     assert got[0] == texts[0] and [got[k] for k in range(1, 5)] == ["x"] * 4 and got[5] == texts[5]
 
 
+def test_lines_are_parsed_once(spark):
+    """No filter works out a piece a second time, and a text is hashed before it is cut, not once for each piece."""
+    plan = line_templates.parsed(table(spark))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "Filter" in x and ("regexp_replace" in x or "split(" in x)]
+    at = lambda what: [k for k, x in enumerate(plan) if what in x]
+    assert min(at("xxhash64(text")) > max(at("posexplode"))
+
+
+def test_pieces_and_tokens_of_awkward_white_space(spark):
+    texts = ["one.\ntwo. three!\tfour? five!  six\x1eseven. \x1e\n\n eight. \nnine", "", ".", ". ", "\x1e", "a. b", "? \n! ", "no cut at all.", "日本語。 é! ü? \n"]
+    want = [re.split("\x1e", re.sub("(\n|[.!?] )", "\\1\x1e", t)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", line_templates.pieces_of(F.col("text")).alias("x"))
+    assert [r.x for r in df.orderBy("doc_id").collect()] == want
+    assert [r.n_lines for r in line_templates.drop_recurring(table(spark, texts)).where("doc_id is not null").orderBy("doc_id").collect()] == [len(w) for w in want]
+    # Each is the same template as the first, however its white space and variable fields are written.
+    like = "several longer words 12a <*> b7 stand\there \x0b at 3 \n"
+    texts = [like, "  several longer words  x1 y2z b7 stand here at 44.5", "several\tlonger words 1 2 3 stand here at 9\r\f\n", "several longer words 12a b7 stand here at 3"]
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(table(spark, texts)).collect()}
+    assert [got[k] for k in range(4)] == [like, "", "", texts[3]]
+    keys = {r.key for r in line_templates.parsed(table(spark, ["1 2 3 4 5 6 7 8 9", "1 2 3 4 5 6 7 8 9 10", "z" * 20_000 + "1 " + "z" * 20_000])).where("doc < 9").collect()}
+    assert len(keys) == 2  # the first is too short as it stands, though not with its fields replaced
+
+
 def test_short_lines_recur_at_every_size(spark):
     short, long = "we all saw it in may and june", "これは空白のない一行の長い文章です" * 5
     texts = [f"{short}\nown{k}" for k in range(10)] + [f"{long}\nfirst", f"{long}\nsecond"]
