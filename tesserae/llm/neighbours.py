@@ -187,8 +187,10 @@ def places_in_probes(q: np.ndarray, x: np.ndarray, axes: list[int]) -> np.ndarra
 def probes_needed(nodes: DataFrame, n: int, hashed: DataFrame, queries: DataFrame, axes: list[int], k: int) -> tuple[int, int] | None:
     """Probes and votes that find AIM of the true neighbours of TRIED queries, as far as these are hashed; None if none do."""
     tried = stored(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED), "tried")
-    true = exact(nodes, n, tried, k).select("query_id", "vec_id")
-    near = hashed.select("node", "vector", F.explode("ids").alias("vec_id")).join(F.broadcast(true), "vec_id").select("query_id", F.col("vector").alias("near"))
+    true = exact(nodes, n, tried, k).join(F.broadcast(tried), "query_id").select("query_id", "vec_id", F.col("vector").alias("q"))
+    near = hashed.select("vector", F.explode("ids").alias("vec_id")).join(F.broadcast(true), "vec_id")
+    score = F.aggregate(F.zip_with("vector", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    near = near.groupBy("query_id", "vec_id").agg(F.max_by("vector", score).alias("near"))  # an id that many rows share counts once, where it is nearest
     pairs, asked = near.toPandas(), tried.toPandas()  # TRIED queries and k for each, however large the table is
     removed(tried)
     if not len(pairs):
@@ -243,11 +245,12 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     index = hashed.select("node", "vector").mapInPandas(placed, "place long, node long")
     spread = queries.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     asked = spread.mapInPandas(probed, "place long, query_id long")
-    pairs = index.join(asked, "place").groupBy("query_id", "node").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+    # Both sides hold many rows for each row they are made of, which Spark's sizes don't know; and files of equal vectors are small. So neither join may broadcast.
+    pairs = index.join(asked.hint("merge"), "place").groupBy("query_id", "node").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
     # Parts of hashed nodes come first, then those of the small bands, where every query goes.
     parts, more = n_hashed // BLOCK + 1, (n - n_hashed) // BLOCK + 1
     named = in_parts(pairs, parts).groupBy("query_id", "part").agg(F.collect_list("node").alias("some"))
-    named = named.join(queries, "query_id").select("query_id", "vector", "some", "part")
+    named = named.join(queries.hint("merge"), "query_id").select("query_id", "vector", "some", "part")
     visits = named.unionByName(everywhere(queries, more).withColumn("part", F.col("part") + parts))
     dealt = in_parts(hashed, parts).unionByName(in_parts(few, more).withColumn("part", F.col("part") + parts))
     found = stored(answered(dealt, visits, k), "found")

@@ -100,6 +100,27 @@ def test_neighbours_recall_where_norms_differ(spark, monkeypatch, kind):
     assert np.mean([len(set(best_of(np.arange(1500), x, r.query_id)) & set(r.found)) for r in got]) >= 0.9 * 20
 
 
+def test_neighbours_broadcast_and_collect_nothing_that_grows(spark, monkeypatch):
+    """Probes and queries meet by shuffles, though their files are small; of an id that many rows share, one vector for each query is collected."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    plans, sizes, stored, places = [], [], neighbours.stored, neighbours.places_in_probes
+
+    def kept(df, name):
+        if name == "found":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(neighbours, "stored", kept)
+    monkeypatch.setattr(neighbours, "places_in_probes", lambda q, x, axes: sizes.append((len(q), len(x))) or places(q, x, axes))
+    x = np.random.default_rng(8).normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k if k < 40 else 40 + k % 60, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert neighbours.nearest(df, F.col("vec_id") < 5).groupBy("query_id").count().where("count = 20").count() == 5
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    assert sizes == [(5, 100)]
+
+
 @pytest.mark.parametrize("block", [4096, 4])
 def test_neighbours_of_a_small_table_are_all(spark, monkeypatch, block):
     monkeypatch.setattr(neighbours, "BLOCK", block)
