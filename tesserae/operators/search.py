@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import in_scope, level_prefix
@@ -47,12 +47,29 @@ def postings(index: DataFrame) -> DataFrame:
     return index.select("entity_id", F.explode(both).alias("p")).groupBy("entity_id", "p.word").agg(F.sum("p.weight").alias("tf"))
 
 
+def matching(q: Query, scope: list[str] | None = None) -> Column:
+    """Whether a row of the index holds a scored word, every phrase and no excluded run, and is in scope."""
+    held = F.lit(False)
+    for w in q.scored():
+        held = held | F.array_contains("name_words", w) | F.array_contains("body_words", w)
+    for phrase in q.phrases:
+        held = held & (holds_run(F.col("name_words"), phrase) | holds_run(F.col("body_words"), phrase))
+    for run in q.excluded:
+        held = held & ~(holds_run(F.col("name_words"), run) | holds_run(F.col("body_words"), run))
+    return held & in_scope(F.col("entity_id"), scope)
+
+
+def all_matches(index: DataFrame, query: str | Query, scope: list[str] | None = None) -> DataFrame:
+    """entity_id: every entity that the search matches, in no order."""
+    q = parse_query(query) if isinstance(query, str) else query
+    return index.where(matching(q, scope)).select("entity_id")
+
+
 def word_search(index: DataFrame, query: str | Query, scope: list[str] | None = None, limit: int = 10) -> DataFrame:
     """rank, entity_id, score, matched: the best entities by BM25F; matched counts before the limit.
 
-    Counts and lengths are those of the whole index; the scope filters afterwards. A candidate holds a scored word, every phrase and no
-    excluded run. Words are counted inside the row: one pass over the index for the counts and one for the scores of the few that match, which are
-    stored, as their number and the best of them are both asked for.
+    Counts and lengths are those of the whole index; the scope filters afterwards. Words are counted inside the row: one pass over the index for
+    the counts and one for the scores of the few that match, which are stored, as their number and the best of them are both asked for.
     """
     q = parse_query(query) if isinstance(query, str) else query
     limit = checked_limit(limit)
@@ -62,10 +79,7 @@ def word_search(index: DataFrame, query: str | Query, scope: list[str] | None =
     tf = F.array(*(times("name_words", w) * NAME_WEIGHT + times("body_words", w) for w in wanted))
     rows = index.select("entity_id", "name_words", "body_words", length.cast("double").alias("length"), tf.alias("tf"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *(F.sum(F.when(F.col("tf")[i] > 0, 1).otherwise(0)).alias(f"df_{i}") for i in range(len(wanted))))
-    holds = F.lit(False)
-    for w in wanted:
-        holds = holds | F.array_contains("name_words", w) | F.array_contains("body_words", w)
-    scored = rows.where(holds).crossJoin(F.broadcast(stats))
+    scored = rows.where(matching(q, scope)).crossJoin(F.broadcast(stats))
     parts = []
     for i in range(len(wanted)):
         t, df = F.col("tf")[i].cast("double"), F.col(f"df_{i}")
@@ -74,12 +88,7 @@ def word_search(index: DataFrame, query: str | Query, scope: list[str] | None =
     score = parts[0]
     for part in parts[1:]:
         score = score + part
-    held = F.lit(True)
-    for phrase in q.phrases:
-        held = held & (holds_run(F.col("name_words"), phrase) | holds_run(F.col("body_words"), phrase))
-    for run in q.excluded:
-        held = held & ~(holds_run(F.col("name_words"), run) | holds_run(F.col("body_words"), run))
-    hits = stored(scored.where(held & in_scope(F.col("entity_id"), scope)).select("entity_id", F.round(score, 6).alias("score")), "hits")
+    hits = stored(scored.select("entity_id", F.round(score, 6).alias("score")), "hits")
     total = hits.agg(F.count("*").alias("matched"))
     top = hits.orderBy(F.col("score").desc(), "entity_id").limit(limit).crossJoin(F.broadcast(total))
     return top.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "entity_id")).cast("long").alias("rank"), "entity_id", "score", "matched")
@@ -163,10 +172,10 @@ def with_records(hits: DataFrame, records: DataFrame, level: int = 0) -> DataFra
     return own.join(kept, "group_id", "left").select("rank", "entity_id", "group_id", F.when(F.col("summary").isNull(), "none").otherwise("read").alias("record_state"), "summary")
 
 
-def answer_text(hits: DataFrame, level: int = 0) -> DataFrame:
-    """answer: one sentence on how many entities match, in how many groups."""
-    groups = grouped_hits(hits, level)
-    rows = groups.agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("n"), F.count("*").alias("g"))
+def answer_text(matches: DataFrame, level: int = 0) -> DataFrame:
+    """answer: one sentence on how many entities match, in how many groups, of all matches (entity_id)."""
+    group = level_prefix(F.col("entity_id"), {0: 4, 1: 3, 2: 2}[level])
+    rows = matches.groupBy(group.alias("group_id")).agg(F.count("*").alias("matches")).agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("n"), F.count("*").alias("g"))
     return rows.select(F.format_string("Found %d matching entities in %d groups", "n", "g").alias("answer"))
 
 

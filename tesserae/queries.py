@@ -344,7 +344,7 @@ def word_df(spark, d):
     return search.document_counts(search.word_index(corpus(spark, d)))
 
 
-def bm25_sql(words_: list[str], also: str = "", scope: str = "TRUE", limit: int = 10) -> str:
+def bm25_sql(words_: list[str], also: str = "", scope: str = "TRUE", limit: int | None = 10) -> str:
     wanted = "('" + "', '".join(words_) + "')"
     return with_triples(
         _TEXTS,
@@ -352,7 +352,7 @@ def bm25_sql(words_: list[str], also: str = "", scope: str = "TRUE", limit: int
 s AS (SELECT entity_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))), 6) AS score FROM tf JOIN df USING (word) JOIN len USING (entity_id), st GROUP BY entity_id),
 flat AS (SELECT entity_id, ' ' || string_agg(word, ' ' ORDER BY pos) || ' ' AS line FROM tokens GROUP BY entity_id, field),
 hit AS (SELECT * FROM s WHERE {scope} {also})
-SELECT row_number() OVER (ORDER BY score DESC, entity_id) AS rank, entity_id, score, (SELECT count(*) FROM hit) AS matched FROM (SELECT * FROM hit ORDER BY score DESC, entity_id LIMIT {limit})""",
+SELECT row_number() OVER (ORDER BY score DESC, entity_id) AS rank, entity_id, score, (SELECT count(*) FROM hit) AS matched FROM (SELECT * FROM hit ORDER BY score DESC, entity_id{f' LIMIT {limit}' if limit else ''})""",
     )
 
 
@@ -422,9 +422,9 @@ def grouped_hits(spark, d):
     return search.grouped_hits(search.word_search(search.word_index(corpus(spark, d)), "therst anoned", limit=100)).withColumn("group_rank", F.col("group_rank").cast("long"))
 
 
-@query(_HITS + " SELECT 'Found ' || count(*) || ' matching entities in ' || count(DISTINCT array_to_string(string_split(entity_id, '.')[1:4], '.')) || ' groups' AS answer FROM w")
+@query(f"WITH w AS ({bm25_sql(['therst', 'anoned'], limit=None)})" + " SELECT 'Found ' || count(*) || ' matching entities in ' || count(DISTINCT array_to_string(string_split(entity_id, '.')[1:4], '.')) || ' groups' AS answer FROM w")
 def answer_text(spark, d):
-    return search.answer_text(search.word_search(search.word_index(corpus(spark, d)), "therst anoned", limit=100))
+    return search.answer_text(search.all_matches(search.word_index(corpus(spark, d)), "therst anoned"))
 
 
 @query(bm25_sql(["license"], scope="entity_id LIKE 'acme.corp.docs.text.%'", limit=20))

@@ -50,3 +50,14 @@ def test_by_name_answers_however_many_bear_the_name(spark, tmp_path):
     names.write.parquet(f"{tmp_path}/part.parquet")
     got = queries.queries()["by_name"](spark, str(tmp_path)).orderBy("rank").collect()
     assert len(got) == 20 and (got[0].entity_id, got[0].exact) == ("acme.shop.erp.supply.part.p2400", True)
+
+
+def test_answer_text_counts_all_matches_and_groups(spark, tmp_path):
+    spark.range(130).selectExpr("id as doc_id", "if(id < 120, 'therst anoned', 'other words') as text", "'en' as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(30).selectExpr("id as page_id", "'x' as url", "concat('<p>anoned ', repeat('filler ', 40), '</p>') as html").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.range(8).selectExpr("id as conv_id", "0 as turn", "'user' as role", "concat('therst ', repeat('more filler ', 40)) as text").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.answer for r in queries.queries()["answer_text"](spark, str(tmp_path)).collect()] == ["Found 158 matching entities in 3 groups"]
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    assert con.sql(queries.oracle_sql()["answer_text"]).fetchall() == [("Found 158 matching entities in 3 groups",)]
